@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from plotweave.functions.geometry import inside_edges, polygon_edges, ring_signed_area
 from plotweave.operators.zones import zone_lookup
@@ -97,16 +100,22 @@ def sweep_self_contact(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.nd
     return False
 
 
-@F.pandas_udf("boolean")
-def _long_ring_contact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Does one of the (long) rings of a polygon touch itself?"""
+def _long_ring_contact(rings: Column) -> Column:
+    """Does one of the (long) rings of a polygon touch itself? Evaluated in Arrow batches."""
 
     def contact(ring) -> bool:
         corners = np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in ring], dtype=float)
         return sweep_self_contact(*corners.T)
 
-    for polygons in batches:
-        yield polygons.map(lambda rings: rings is not None and any(contact(r) for r in rings)).astype(bool)
+    def batches(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for polygons in columns:
+            yield polygons.map(lambda rings: rings is not None and any(contact(r) for r in rings)).astype(bool)
+
+    # The code travels with the job, so executors need no copy of this package. Marked as not
+    # deterministic, so that filters on the result do not make Spark evaluate it once more.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    batches.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(batches, BooleanType()).asNondeterministic()(rings)
 
 
 def geometry_validity(polygons: DataFrame, long_rings: bool = True) -> DataFrame:

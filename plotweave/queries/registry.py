@@ -15,11 +15,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("catalog",)
+_MODULES = ("catalog", "labels", "features", "zones", "text", "discovery", "files", "geometry", "streams")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` may name fixtures and tables in braces."""
+def query(name: str, sql: str | None = None, **patterns: str) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` may name fixtures and tables in braces.
+
+    ``patterns`` are put in place of ``<name>`` afterwards: regular expressions hold braces themselves.
+    """
 
     def register(build: Query) -> Query:
         if name in QUERIES:
@@ -30,7 +33,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            plain = oracle(sql)
+            for key, pattern in patterns.items():
+                plain = plain.replace(f"<{key}>", pattern)
+            ORACLES[name] = plain
         return build
 
     return register
