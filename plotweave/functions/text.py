@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 WHITE_SPACE = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+WHITE_SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Control characters dropped from document text (tab, LF and CR stay).
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]"
 # Characters a file title may hold besides white space and hyphen.
@@ -17,8 +18,8 @@ WORD = r"\p{L}\p{N}_"
 
 
 def strip(text: Column) -> Column:
-    """Remove white space, Unicode included, at both ends."""
-    return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    """Remove white space, Unicode included, at both ends: a trim with the set spelled out."""
+    return F.btrim(text, F.lit(WHITE_SPACE_CHARS))
 
 
 def norm_text(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plotweave.functions import paths
 from plotweave.functions.text import blank_to_null, norm_text, strip
 from plotweave.plans.picking import priority_pick
+from plotweave.plans.skew import salted_join
 
 
 def pdf_catalog_filter(manifest: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def first_by(df: DataFrame, key: str, order: str, *payload: str) -> DataFrame:
 def hash_by_path(requests: DataFrame, manifest: DataFrame) -> DataFrame:
     """Hash of every requested map path, from the first manifest entry with that path; null if unknown."""
     wanted = requests.withColumn("relpath", F.concat(F.lit(paths.MAPS_PREFIX), F.col("path")))
-    return wanted.join(first_by(manifest, "relpath", "ord", "md5"), "relpath", "left")
+    known = first_by(manifest, "relpath", "ord", "md5")
+    return salted_join(wanted, known, ["relpath"], salt_by=requests.columns, how="left")
 
 
 def candidate_paths(path: Column) -> Column:
@@ -76,7 +78,8 @@ def candidate_paths(path: Column) -> Column:
 def resolve_candidates(requests: DataFrame, manifest: DataFrame, candidates: Column) -> DataFrame:
     """First existing candidate of every request (``request_id``); its hash is null when none exists."""
     tried = requests.select("*", F.posexplode(candidates).alias("_pos", "relpath"))
-    found = tried.join(first_by(manifest, "relpath", "ord", "md5"), "relpath", "left")
+    known = first_by(manifest, "relpath", "ord", "md5")
+    found = salted_join(tried, known, ["relpath"], salt_by=["request_id"], how="left")
     # Misses sort last, so a request without any match keeps one row with a null hash.
     best = priority_pick(found, ["request_id"], [F.col("md5").isNull(), F.col("_pos")])
     return best.withColumn("relpath", F.when(F.col("md5").isNotNull(), F.col("relpath"))).drop("_pos")
@@ -84,7 +87,8 @@ def resolve_candidates(requests: DataFrame, manifest: DataFrame, candidates: Col
 
 def document_by_hash(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """Catalog row of every requested hash; of equal contents the first entry, null if unknown."""
-    return requests.join(first_by(documents, "hash", "ord", "path", "name", "state", "city"), "hash", "left")
+    known = first_by(documents, "hash", "ord", "path", "name", "state", "city")
+    return salted_join(requests, known, ["hash"], salt_by=requests.columns, how="left")
 
 
 def pending_downloads(targets: DataFrame, inventory: DataFrame, on: str = "relpath") -> DataFrame:
@@ -105,22 +109,22 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     before = first_by(old, "relpath", "ord", "md5").withColumnRenamed("md5", "old_md5")
     after = first_by(new, "relpath", "ord", "md5").withColumnRenamed("md5", "new_md5")
     both = before.join(after, "relpath", "full")
-    # One row per content: many copies of a file must not multiply the added side.
-    gone = (
-        before.join(after.select("relpath"), "relpath", "left_anti")
-        .groupBy(F.col("old_md5").alias("new_md5")).agg(F.min("relpath").alias("moved_from"))
-        .withColumn("_added", F.lit(True))
-    )
-    marked = both.withColumn("_added", F.col("old_md5").isNull())
-    joined = marked.join(gone, ["new_md5", "_added"], "left")
-    status = (
-        F.when(F.col("moved_from").isNotNull(), "moved")
-        .when(F.col("_added"), "added")
-        .when(F.col("new_md5").isNull(), "removed")
+    # Only added paths look for the place they came from; the bulk is never shuffled by content. Removed
+    # paths are folded to one row per content first, so copies of a file do not multiply the result.
+    gone = both.where("new_md5 IS NULL").groupBy(F.col("old_md5").alias("new_md5")).agg(F.min("relpath").alias("moved_from"))
+    added = salted_join(both.where("old_md5 IS NULL"), gone, ["new_md5"], salt_by=["relpath"], how="left")
+    origin = F.when(F.col("moved_from").isNotNull(), "moved").otherwise("added")
+    kept = both.where("old_md5 IS NOT NULL")
+    fate = (
+        F.when(F.col("new_md5").isNull(), "removed")
         .when(F.col("old_md5") != F.col("new_md5"), "modified")
         .otherwise("unchanged")
     )
-    return joined.select("relpath", "old_md5", "new_md5", status.alias("status"), "moved_from")
+    columns = ["relpath", "old_md5", "new_md5", "status", "moved_from"]
+    nowhere = F.lit(None).cast("string")
+    return added.withColumn("status", origin).select(columns).unionByName(
+        kept.withColumns({"status": fate, "moved_from": nowhere}).select(columns)
+    )
 
 
 def dir_listing(files: DataFrame, prefix: str, path: str = "relpath") -> DataFrame:
@@ -203,7 +207,7 @@ def gazetteer_lookup(queries: DataFrame, gazetteer: DataFrame, country: str = "u
     )
     top = priority_pick(places, ["_name"], [F.col("place_rank"), F.col("place_id")], n)
     asked = queries.withColumn("_name", norm_text(F.col("query"))).where(F.col("_name") != "")
-    return asked.join(top.drop("country"), "_name", "left").drop("_name")
+    return salted_join(asked, top.drop("country"), ["_name"], salt_by=["query_id"], how="left").drop("_name")
 
 
 def parse_coordinates(places: DataFrame) -> DataFrame:

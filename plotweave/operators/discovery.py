@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from plotweave.functions import paths
 from plotweave.functions.text import WHITE_SPACE, strip
 from plotweave.functions.urls import url_path_parts
-from plotweave.plans.picking import dedup_keep_first, priority_pick
+from plotweave.plans.picking import dedup_keep_first
+from plotweave.plans.skew import salted_join
 from plotweave.schemas import TOC
 
 # Path parts of a code site that are no municipality.
@@ -107,10 +108,11 @@ def codes_url_pick(links: DataFrame, patterns: Sequence[str] = CODES_PATTERNS) -
     tests = [F.contains("href", F.lit(p)) for p in patterns] + [F.contains(F.col("href"), own)]
     for rank in reversed(range(len(tests))):
         priority = F.when(tests[rank], rank).otherwise(priority)
-    usable = links.where(F.coalesce("href", F.lit("")) != "").withColumn("priority", priority)
-    best = priority_pick(usable.where("priority IS NOT NULL"), ["state", "slug"], ["priority", "pos"])
-    places = links.select("state", "slug").distinct()
-    return places.join(best.select("state", "slug", F.col("href").alias("codes_url")), ["state", "slug"], "left")
+    # Rows without priority do not count as a minimum, so a place without a link gets null. The minimum is
+    # combined before the shuffle.
+    ranked = links.withColumn("_priority", priority)
+    rank = F.when(F.col("_priority").isNotNull(), F.struct("_priority", "pos"))
+    return ranked.groupBy("state", "slug").agg(F.min_by("href", rank).alias("codes_url"))
 
 
 def toc_flatten(tocs: DataFrame) -> DataFrame:
@@ -138,7 +140,7 @@ def parse_toc(lines: DataFrame, column: str = "value") -> DataFrame:
 def supported_key(df: DataFrame, registry: DataFrame, column: str = "city", base_url: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is registered (and whose URL starts with the site's base), and the rejected rest."""
     known = registry.select(F.col(column), F.lit(True).alias("_known")).distinct()
-    marked = df.join(known, column, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    marked = salted_join(df, known, [column], salt_by=df.columns, how="left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     if base_url is not None:
         marked = marked.withColumn("_known", F.col("_known") & F.coalesce(F.startswith("url", F.lit(base_url)), F.lit(False)))
     return marked.where("_known").drop("_known"), marked.where(~F.col("_known")).drop("_known")

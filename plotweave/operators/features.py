@@ -13,6 +13,8 @@ from plotweave.schemas import SERVICE_PAGE_BODY
 
 SOURCE_LAYER = "_source_layer"
 DEFAULT_PAGE = 1000
+#: Requests planned at a time from one layer row.
+PLAN_BLOCK = 10_000
 
 
 # --- planning requests -----------------------------------------------------------------------------
@@ -42,9 +44,19 @@ def layer_info_join(layers: DataFrame, info: DataFrame) -> DataFrame:
 
 def page_plan(layers: DataFrame, total: Column, page_size: Column) -> DataFrame:
     """One row per request: offsets 0, n, 2n ... below the total; empty layers need none."""
-    offsets = F.sequence(F.lit(0).cast("bigint"), total.cast("bigint") - 1, page_size.cast("bigint"))
-    planned = F.when(total > 0, offsets).otherwise(F.array().cast("array<bigint>"))
-    return layers.select("*", F.posexplode(planned).alias("page_no", "result_offset"))
+    pages = F.ceil(total / page_size).cast("bigint")
+    block = F.lit(PLAN_BLOCK).cast("bigint")
+
+    def counted(first: Column, last: Column, step: Column) -> Column:
+        return F.when(last >= first, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
+
+    # Two steps, so that no row ever holds the offsets of a whole huge layer.
+    blocks = layers.select("*", pages.alias("_pages"), page_size.cast("bigint").alias("_size")).withColumn(
+        "_block", F.explode(counted(F.lit(0).cast("bigint"), F.col("_pages") - 1, block))
+    )
+    last = F.least(F.col("_block") + block, F.col("_pages")) - 1
+    planned = blocks.withColumn("page_no", F.explode(counted(F.col("_block"), last, F.lit(1).cast("bigint"))))
+    return planned.withColumn("result_offset", F.col("page_no") * F.col("_size")).drop("_pages", "_size", "_block")
 
 
 def id_chunk_plan(ids: DataFrame, layer: str, id_column: str, size: int) -> DataFrame:

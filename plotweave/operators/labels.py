@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions.geometry import bilinear, corners_centroid, corners_flatten, corners_nest, round_corner
+from plotweave.plans.skew import salted_join
 from plotweave.schemas import CORNER_COLUMNS
 
 LABEL_PAYLOAD = ("pdf_path", *CORNER_COLUMNS)
@@ -56,7 +58,7 @@ def label_delete(labels: DataFrame, keys: DataFrame) -> DataFrame:
 def label_status(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Catalog rows with a flag: has the document a label?"""
     labelled = labels.select(F.col("pdf_hash").alias("hash"), F.lit(True).alias("_labelled")).distinct()
-    joined = documents.join(labelled, "hash", "left")
+    joined = salted_join(documents, labelled, ["hash"], salt_by=["path"], how="left")
     return joined.withColumn("is_labeled", F.coalesce("_labelled", F.lit(False))).drop("_labelled")
 
 
@@ -104,15 +106,16 @@ def labels_flat(nested: DataFrame) -> DataFrame:
     return nested.select("pdf_hash", "pdf_path", *corners_flatten(F.col("corners")))
 
 
-def labels_as_map(labels: DataFrame, by: Sequence[str] = ("prefix2",)) -> DataFrame:
-    """Lookup maps hash -> label, one per ``by`` group.
+def labels_as_map(labels: DataFrame, per_map: int = 1000) -> DataFrame:
+    """Lookup maps hash -> label, one per hash prefix.
 
-    The default group is the two-character hash prefix, which spreads evenly; the label of a
-    hash is unique, so a group holds at most its share of the labels.
+    One map of all labels would have to fit one task. Hashes are unique and even, so a prefix just long
+    enough for the number of labels keeps each map at about ``per_map`` entries.
     """
-    prefixed = labels_nested(labels).withColumn("prefix2", F.substring("pdf_hash", 1, 2))
+    digits = max(1, math.ceil(math.log(max(labels.count(), 1) / per_map, 16)))
+    prefixed = labels_nested(labels).withColumn("prefix", F.substring("pdf_hash", 1, digits))
     entry = F.struct("pdf_hash", F.struct("pdf_path", "corners", "created_at", "updated_at"))
-    return prefixed.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("labels"))
+    return prefixed.groupBy("prefix").agg(F.map_from_entries(F.collect_list(entry)).alias("labels"))
 
 
 def round_corners(labels: DataFrame) -> DataFrame:
@@ -209,5 +212,5 @@ def pixel_to_geo(points: DataFrame, labels: DataFrame, width: float, height: flo
     """Locate points of a map sheet (``pdf_hash, px, py``) on the ground through the sheet's corners."""
     nested = labels.select("pdf_hash", corners_nest().alias("_corners"))
     at = bilinear(F.col("_corners"), F.col("px") / float(width), F.col("py") / float(height))
-    located = points.join(nested, "pdf_hash").withColumn("_at", at)
+    located = salted_join(points, nested, ["pdf_hash"], salt_by=points.columns).withColumn("_at", at)
     return located.select(*points.columns, F.col("_at.lng").alias("lng"), F.col("_at.lat").alias("lat"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,15 +70,20 @@ ZONING_FILTER = "(ZONEDESC <> 'Residential Rental Short Term') AND (ZONEDESC <>
 RENTAL_FILTER = "ZONEDESC = 'Residential Rental Short Term'"
 
 
+def _literal_table(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """A local relation: the planner knows its size and broadcasts it by its own rule."""
+    return spark.createDataFrame(pa.table({name: list(column) for name, column in zip(names, zip(*rows))}))
+
+
 def zone_dim(spark: SparkSession) -> DataFrame:
     """The zone dimension: 15 literal rows, so a broadcast of it has a fixed size."""
-    return spark.createDataFrame(list(ZONES), "zone STRING, code STRING, name STRING, color STRING, description STRING")
+    return _literal_table(spark, ("zone", "code", "name", "color", "description"), ZONES)
 
 
 def renderer_classes(spark: SparkSession) -> DataFrame:
     """The classes of the zoning layer: 30 literal rows."""
-    rows = [(value, label, list(color)) for value, label, color in RENDERER_CLASSES]
-    return spark.createDataFrame(rows, "value STRING, label STRING, color ARRAY<INT>")
+    rows = _literal_table(spark, ("value", "label", "color"), RENDERER_CLASSES)
+    return rows.withColumn("color", F.col("color").cast("array<int>"))
 
 
 def zone_code(zone: Column) -> Column:

@@ -18,19 +18,22 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
-def polygon_cells(polygons: DataFrame) -> DataFrame:
-    """Polygons with bbox and edges, one row per covered cell of the grid level that suits their size.
+def leveled_polygons(polygons: DataFrame) -> DataFrame:
+    """Polygons with bbox and the grid level that suits their size: cells as large as the larger side."""
+    sized = polygons.withColumn("_box", rings_bbox(F.col("rings")))
+    side = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"))
+    return sized.withColumn("_level", F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int"))
+
 
-    The level follows from the larger bbox side, so a polygon covers at most 2 x 2 cells, however
-    large it is; polygons of very different size simply use different levels.
+def polygon_cells(leveled: DataFrame) -> DataFrame:
+    """Polygons with their edges, one row per covered cell of their level.
+
+    Cells are as large as the polygon, so it covers at most 2 x 2 of them, however large it is;
+    polygons of very different size simply use different levels. Empty polygons cover none.
     """
-    sized = polygons.withColumn("_box", rings_bbox(F.col("rings"))).where(F.col("_box.min_x").isNotNull())
-    side = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"))
-    level = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int")
-    leveled = sized.withColumn("_level", level).withColumn("_edges", polygon_edges(F.col("rings")))
     span = lambda lo, hi: F.sequence(_cell(F.col(lo), F.col("_level")), _cell(F.col(hi), F.col("_level")))
     return (
-        leveled.drop("rings")
+        leveled.withColumn("_edges", polygon_edges(F.col("rings"))).drop("rings")
         .withColumn("_cx", F.explode(span("_box.min_x", "_box.max_x")))
         .withColumn("_cy", F.explode(span("_box.min_y", "_box.max_y")))
     )
@@ -38,7 +41,7 @@ def polygon_cells(polygons: DataFrame) -> DataFrame:
 
 def grid_levels(polygons: DataFrame) -> list[int]:
     """Grid levels in use: a list of exponents, so a few dozen at most, whatever the row count."""
-    return sorted(r[0] for r in polygons.select("_level").distinct().collect())
+    return sorted(r[0] for r in polygons.select("_level").distinct().collect() if r[0] is not None)
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -47,10 +50,9 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, hot_rows: int = HOT
     A polygon lives in one level and a point in one cell per level, so each pair meets once and no
     deduplication is needed. Cells with many points are split.
     """
-    covered = polygon_cells(polygons)
-    levels = grid_levels(covered)
-    if not levels:
-        levels = [0]
+    leveled = leveled_polygons(polygons)
+    covered = polygon_cells(leveled)
+    levels = grid_levels(leveled) or [0]
     keyed = (
         points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
         .withColumn("_cx", _cell(F.col("x"), F.col("_level")))

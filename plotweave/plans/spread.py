@@ -1,0 +1,17 @@
+"""Enough tasks for work that is heavy per row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out over all cores when its files split into fewer tasks than there are cores.
+
+    A file is read by as many tasks as it has row groups. For work that costs far more per row than
+    moving the row (text clean-up, markup, geometry) a small or badly written input would leave cores
+    idle. Large inputs have more splits than cores and pass through untouched. Columns are still
+    pruned at the scan. Use it on scans only: counting the tasks of a shuffle would run it.
+    """
+    width = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(width) if scan.rdd.getNumPartitions() < width else scan

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plotweave.fixtures import frame, table
 from plotweave.functions import paths
 from plotweave.operators import discovery as op
+from plotweave.plans.spread import spread
 from plotweave.queries.registry import query
 from plotweave.session import staging_path
 from plotweave.sources import landed
@@ -27,7 +28,7 @@ def _(spark, sf):
           FROM (SELECT page_id, regexp_extract_all(<visible>, '<heading>') AS hs FROM {pages}) AS a) AS b WHERE <inner> <> ''""",
        inner=_INNER, visible=_VISIBLE, heading=r"(?is)<h[1-4]\b[^>]*>.*?</h[1-4]\s*>")
 def _(spark, sf):
-    return op.html_headings(table(spark, sf, "pages"))
+    return op.html_headings(spread(table(spark, sf, "pages")))
 
 
 @query("page_links", """
@@ -37,7 +38,7 @@ def _(spark, sf):
        inner=_INNER, visible=_VISIBLE, anchor=r"""(?is)<a\b[^>]*?\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a\s*>""",
        href=r"""(?is)\bhref\s*=\s*["'']([^"'']*)["'']""")
 def _(spark, sf):
-    return op.page_links(table(spark, sf, "pages"))
+    return op.page_links(spread(table(spark, sf, "pages")))
 
 
 @query("link_has_text", "SELECT link_id, href, text FROM {links} AS l WHERE href <> '' AND trim(text) <> ''")

@@ -133,7 +133,7 @@ def _(spark, sf):
 
 
 @query("page_plan", """
-    SELECT o_custkey, CAST(k AS INTEGER) AS page_no, CAST(k * 3 AS BIGINT) AS result_offset
+    SELECT o_custkey, k AS page_no, CAST(k * 3 AS BIGINT) AS result_offset
     FROM (SELECT c_custkey AS o_custkey, (SELECT count(*) FROM {orders} WHERE o_custkey = c_custkey) AS total FROM {customer}) AS t,
          generate_series(0, 100000) AS g(k) WHERE k * 3 < total""")
 def _(spark, sf):

@@ -83,11 +83,12 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str) -> None:
             if not touched:
                 return
             state = _state(spark, table).where(F.col("bucket").isin(touched))
-            merge_changes(state, last.drop("bucket")).write.mode("overwrite").parquet(staged)
+            merged = merge_changes(state, last.drop("bucket"))
+            merged.hint("rebalance", "bucket").write.mode("overwrite").parquet(staged)
         finally:
             last.unpersist()
     (
-        spark.read.schema(STATE_SCHEMA).parquet(staged)
+        spark.read.schema(STATE_SCHEMA).parquet(staged).hint("rebalance", "bucket")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket").parquet(table)
     )
