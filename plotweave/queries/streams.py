@@ -73,7 +73,7 @@ def _(spark, sf):
     events = frame(spark, sf, "label_events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3, F.xxhash64("event_id")).write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    lab.label_stream_upsert(stream, store, staging_path(spark, "label-state"))
+    lab.label_stream_upsert(stream, store, staging_path(spark, "label-state"), buckets=8)
     current = lab.label_table(spark, store)
     return current.select("pdf_hash", "pdf_path", "top_left_lng", F.unix_micros("updated_at").alias("event_us"))
 

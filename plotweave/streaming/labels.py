@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from plotweave.operators.labels import LABEL_PAYLOAD, latest_label
 from plotweave.schemas import CORNER_COLUMNS
 
+#: File groups of a label table. Fixed for the life of a table; more buckets for more labels.
 BUCKETS = 64
 
 STATE_SCHEMA = (
@@ -19,9 +20,9 @@ STATE_SCHEMA = (
 )
 
 
-def _bucket() -> F.Column:
+def _bucket(buckets: int) -> Column:
     """Bucket of a hash, from its even leading digits."""
-    return F.pmod(F.conv(F.substring("pdf_hash", 1, 4), 16, 10).cast("int"), F.lit(BUCKETS)).alias("bucket")
+    return F.pmod(F.conv(F.substring("pdf_hash", 1, 4), 16, 10).cast("int"), F.lit(buckets)).alias("bucket")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -39,7 +40,7 @@ def _state(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path) if _exists(spark, path) else spark.createDataFrame([], STATE_SCHEMA)
 
 
-def merge_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
+def merge_changes(state: DataFrame, changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """State after the changes: per hash the later of stored and new, by (time, event id).
 
     A deletion stays as a marker with its time, so an older save that arrives late cannot bring the
@@ -63,11 +64,11 @@ def merge_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(
         "pdf_hash", *[pick(c).alias(c) for c in LABEL_PAYLOAD],
         created.alias("created_at"), pick("ts", "updated_at").alias("updated_at"),
-        pick("event_id").alias("event_id"), pick("deleted").alias("deleted"), _bucket(),
+        pick("event_id").alias("event_id"), pick("deleted").alias("deleted"), _bucket(buckets),
     )
 
 
-def apply_batch(changes: DataFrame, batch_id: int, table: str) -> None:
+def apply_batch(changes: DataFrame, batch_id: int, table: str, buckets: int = BUCKETS) -> None:
     """Merge one micro-batch into the table; safe to repeat.
 
     Only the buckets the batch touches are read and rewritten. The merged buckets are first written
@@ -77,13 +78,13 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str) -> None:
     spark = changes.sparkSession
     staged = f"{table.rstrip('/')}_merged/batch_id={batch_id}"
     if not _exists(spark, f"{staged}/_SUCCESS"):
-        last = latest_label(changes).withColumn("bucket", _bucket()).persist()
+        last = latest_label(changes).withColumn("bucket", _bucket(buckets)).persist()
         try:
-            touched = [r[0] for r in last.select("bucket").distinct().collect()]  # at most BUCKETS values
+            touched = [r[0] for r in last.select("bucket").distinct().collect()]  # a few numbers
             if not touched:
                 return
             state = _state(spark, table).where(F.col("bucket").isin(touched))
-            merged = merge_changes(state, last.drop("bucket"))
+            merged = merge_changes(state, last.drop("bucket"), buckets)
             merged.hint("rebalance", "bucket").write.mode("overwrite").parquet(staged)
         finally:
             last.unpersist()
@@ -94,13 +95,14 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str) -> None:
     )
 
 
-def label_stream_upsert(stream: DataFrame, table: str, checkpoint: str, timeout: int = 600) -> StreamingQuery:
+def label_stream_upsert(stream: DataFrame, table: str, checkpoint: str, timeout: int = 600,
+                        buckets: int = BUCKETS) -> StreamingQuery:
     """Merge a stream of saves and deletes (``event_id, ts, op, pdf_hash`` and the payload) into a table.
 
     One query per table: there is a single writer.
     """
     query = (
-        stream.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, table))
+        stream.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, table, buckets))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     if not query.awaitTermination(timeout):
