@@ -48,28 +48,23 @@ def html_headings(pages: DataFrame) -> DataFrame:
     Works on tags that are closed by their own end tag; headings nested in one another or left open
     are not separated.
     """
-    pattern = r"(?is)<h([1-4])\b[^>]*>(.*?)</h\1\s*>"
-    shown = visible_html(F.col("html"))
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(shown, F.lit(pattern), F.lit(1)).alias("level"),
-        F.transform(F.regexp_extract_all(shown, F.lit(pattern), F.lit(2)), inner_text).alias("text"),
-    )
-    kept = F.filter(pairs, lambda h: h.getField("text") != "")
-    return pages.select("page_id", F.posexplode(kept).alias("pos", "_h")).select(
-        "page_id", "pos", F.col("_h.level").cast("int").alias("level"), F.col("_h.text").alias("text")
+    found = F.regexp_extract_all(visible_html(F.col("html")), F.lit(r"(?is)<h([1-4])\b[^>]*>.*?</h\1\s*>"), F.lit(0))
+    headings = F.transform(
+        found, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), inner_text(h).alias("text"))
     )
+    kept = F.filter(headings, lambda h: h.getField("text") != "")
+    return pages.select("page_id", F.posexplode(kept).alias("pos", "_h")).select("page_id", "pos", "_h.level", "_h.text")
 
 
 def page_links(pages: DataFrame, *keep: str) -> DataFrame:
     """Anchors of every page in page order, with address and text."""
-    pattern = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
-    shown = visible_html(F.col("html"))
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(shown, F.lit(pattern), F.lit(1)).alias("href"),
-        F.transform(F.regexp_extract_all(shown, F.lit(pattern), F.lit(2)), inner_text).alias("text"),
+    href = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>"""
+    found = F.regexp_extract_all(visible_html(F.col("html")), F.lit(href + r".*?</a\s*>"), F.lit(0))
+    links = F.transform(
+        found, lambda a: F.struct(F.regexp_extract(a, href, 1).alias("href"), inner_text(a).alias("text"))
     )
-    return pages.select("page_id", *keep, F.posexplode(pairs).alias("pos", "_a")).select(
-        "page_id", *keep, "pos", F.col("_a.href").alias("href"), F.col("_a.text").alias("text")
+    return pages.select("page_id", *keep, F.posexplode(links).alias("pos", "_a")).select(
+        "page_id", *keep, "pos", "_a.href", "_a.text"
     )
 
 

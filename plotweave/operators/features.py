@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_row_number
 from plotweave.schemas import SERVICE_PAGE_BODY
 
@@ -83,18 +84,23 @@ def page_slice(df: DataFrame, order: Sequence[str | Column], offset: int, n: int
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages with the parsed body; unreadable bodies parse to null, the page stays."""
-    return pages.withColumn("parsed", F.from_json("body", SERVICE_PAGE_BODY, {"mode": "PERMISSIVE"}))
+    """Landed pages with the parsed body; unreadable bodies parse to nulls, the page stays."""
+    return with_once(pages, "parsed", F.from_json("body", SERVICE_PAGE_BODY, {"mode": "PERMISSIVE"}))
 
 
-def blank(page: Column) -> Column:
-    return F.coalesce(F.trim(page), F.lit("")) == ""
+def answered() -> Column:
+    """The request succeeded and its answer has text."""
+    return (F.coalesce(F.trim("body"), F.lit("")) != "") & (F.coalesce("status", F.lit(200)) < 400)
+
+
+def readable() -> Column:
+    """The body parsed to features, and to no error object."""
+    return F.col("parsed.features").isNotNull() & F.col("parsed.error").isNull()
 
 
 def empty_response_check(pages: DataFrame) -> DataFrame:
     """Per page: is there an answer with text? Pages that fail are skipped, the rest is kept."""
-    passed = ~blank(F.col("body")) & (F.coalesce("status", F.lit(200)) < 400)
-    return pages.select(page_key(), F.lit("has_response").alias("rule"), passed.alias("passed"))
+    return pages.select(page_key(), F.lit("has_response").alias("rule"), answered().alias("passed"))
 
 
 def service_error_check(pages: DataFrame) -> DataFrame:
@@ -109,18 +115,14 @@ def page_key() -> Column:
 
 def usable_pages(pages: DataFrame) -> DataFrame:
     """Pages with a readable body and no error object."""
-    parsed = parse_pages(pages.where(~blank(F.col("body")) & (F.coalesce("status", F.lit(200)) < 400)))
-    return parsed.where(F.col("parsed").isNotNull() & F.col("parsed.error").isNull())
+    parsed = parse_pages(pages.where(answered()))
+    return parsed.where(readable())
 
 
 def layer_isolation(pages: DataFrame) -> DataFrame:
     """Per layer: pages that gave rows and pages that failed. A failing layer does not stop others."""
-    parsed = parse_pages(pages)
-    good = (
-        ~blank(F.col("body")) & (F.coalesce("status", F.lit(200)) < 400)
-        & F.col("parsed").isNotNull() & F.col("parsed.error").isNull()
-    )
-    marked = parsed.select("layer_id", "layer_name", F.coalesce(good, F.lit(False)).alias("good"))
+    good = F.coalesce(answered() & readable(), F.lit(False))
+    marked = parse_pages(pages).select("layer_id", "layer_name", good.alias("good"))
     counted = marked.groupBy("layer_id", "layer_name").agg(
         F.count_if("good").alias("good_pages"), F.count_if(~F.col("good")).alias("failed_pages")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotweave import schemas
 from plotweave.functions.text import blank_to_null
+from plotweave.plans.once import with_once
 
 
 def manifest_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +54,7 @@ def feature_lines_scan(spark: SparkSession, path: str) -> DataFrame:
 def geojson_page_scan(spark: SparkSession, path: str) -> DataFrame:
     """Features of landed GeoJSON pages (one response per line). A response with an error fails the read."""
     pages = spark.read.schema(schemas.LANDED_PAGE).json(path)
-    parsed = pages.withColumn("doc", F.from_json("body", schemas.FEATURE_COLLECTION))
+    parsed = with_once(pages, "doc", F.from_json("body", schemas.FEATURE_COLLECTION))
     failed = F.raise_error(F.concat(F.lit("service error: "), F.col("doc.error")))
     checked = parsed.withColumn("features", F.when(F.col("doc.error").isNull(), F.col("doc.features")).otherwise(failed))
     return checked.select("layer_id", "page_no", F.posexplode("features").alias("pos", "f")).select(

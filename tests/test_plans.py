@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotweave.operators.geometry import nearest_anchor
+from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_lag, ordered_row_number
 from plotweave.plans.picking import priority_pick
+from plotweave.plans import skew
 from plotweave.plans.skew import salted_join
 from plotweave.plans.spatial_join import point_in_polygon, radius_join
 
@@ -22,6 +24,12 @@ def rows(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
+@pytest.fixture
+def salting(monkeypatch):
+    """Salt even inputs that fit one task."""
+    monkeypatch.setattr(skew, "SMALL_INPUT", 0)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows under one key, and some without key."""
@@ -65,7 +73,7 @@ def test_priority_pick_limits_before_the_shuffle(skewed):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_join(spark, skewed, how):
+def test_salted_join_equals_join(spark, salting, skewed, how):
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(
         spark.createDataFrame([(0, 777)], "k BIGINT, w BIGINT"))
     plain = skewed.join(right, ["k"], how)
@@ -73,6 +81,20 @@ def test_salted_join_equals_join(spark, skewed, how):
     assert rows(ours, "id", "k", "w") == rows(plain, "id", "k", "w")
 
 
+def test_small_input_is_joined_plainly(spark, sf):
+    """The planner knows the size of files, so no key is counted for a small one."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    customers = spark.read.parquet(f"{sf}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
+    assert skew.estimated_bytes(orders) < skew.SMALL_INPUT
+    assert "Aggregate" not in plan(salted_join(orders, customers, ["o_custkey"], ["o_orderkey"]))
+
+
+def test_expression_is_evaluated_once(spark):
+    texts = spark.range(3).select(F.concat(F.lit('{"a": '), "id", F.lit("}")).alias("t"))
+    parsed = with_once(texts, "p", F.from_json("t", "a INT, b INT")).where("p.a > 0 AND p.b IS NULL").select("p.a")
+    assert plan(parsed).count("from_json") == 1 and sorted(r.a for r in parsed.collect()) == [1, 2]
+
+
 def test_salted_join_rejects_right_joins(skewed):
     with pytest.raises(ValueError):
         salted_join(skewed, skewed, ["k"], ["id"], how="full")
@@ -118,7 +140,7 @@ def scene(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_point_in_polygon_equals_nested_loop(scene, hot_rows):
+def test_point_in_polygon_equals_nested_loop(salting, scene, hot_rows):
     points_df, shapes_df, points, shapes = scene
     expected = sorted((p, s) for p, x, y in points for s, rings in shapes if sum(crossings(r, x, y) for r in rings) % 2)
     assert len(expected) > 500
@@ -149,7 +171,7 @@ def test_point_in_polygon_joins_on_cells(scene):
 
 
 @pytest.mark.parametrize("hot_rows", [5, 1_000_000])
-def test_radius_join_equals_nested_loop(spark, hot_rows):
+def test_radius_join_equals_nested_loop(spark, salting, hot_rows):
     rng = random.Random(3)
     points = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(300)] + [(900 + i, 1.0, 2.0) for i in range(50)]
     anchors = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(80)] + [(99, 5.0, 5.0)]
