@@ -49,8 +49,8 @@ def test_format_count(spark):
 
 
 def test_content_key(spark):
-    assert of_text(spark, paths.content_addressed_layout, "aca543f3") == "files/md5/ac/a543f3"
-    assert of_text(spark, lambda c: paths.content_addressed_layout(c, ".dir"), "aca543f3") == "files/md5/ac/a543f3.dir"
+    assert of_text(spark, paths.content_addressed_layout, "0123abcd") == "files/md5/01/23abcd"
+    assert of_text(spark, lambda c: paths.content_addressed_layout(c, ".dir"), "0123abcd") == "files/md5/01/23abcd.dir"
 
 
 def test_relative_layout(spark):

@@ -50,9 +50,9 @@ def test_broken_manifest_fails(spark, tmp_path):
 
 
 def test_manifest_version_takes_the_first_pin(spark, tmp_path):
-    (tmp_path / "data.dvc").write_text("outs:\n- md5: aca543f303438b3df1f6e174c47af627.dir\n  size: 1\n- md5: 00.dir\n")
+    (tmp_path / "data.pin").write_text("outs:\n- md5: 0123456789abcdef0123456789abcdef.dir\n  size: 1\n- md5: 00.dir\n")
     pins = landed.pin_lines(spark, str(tmp_path))
-    assert [r.manifest_id for r in cat.manifest_version(pins).collect()] == ["aca543f303438b3df1f6e174c47af627"]
+    assert [r.manifest_id for r in cat.manifest_version(pins).collect()] == ["0123456789abcdef0123456789abcdef"]
     assert [r.manifest_id for r in cat.manifest_version(pins, "ffff").collect()] == ["ffff"]
 
 
