@@ -182,8 +182,7 @@ def order_by_name(df: DataFrame, *columns: str) -> DataFrame:
 
 def state_dim(states: DataFrame, base_url: str) -> DataFrame:
     """State dimension (``abbrev, name``) with its URL, and the federal district added."""
-    spark = states.sparkSession
-    district = spark.createDataFrame([("dc", "District of Columbia")], "abbrev STRING, name STRING")
+    district = states.sparkSession.range(1).select(F.lit("dc").alias("abbrev"), F.lit("District of Columbia").alias("name"))
     both = states.select(F.lower("abbrev").alias("abbrev"), "name").unionByName(district)
     return both.withColumn("url", F.concat(F.lit(base_url + "/"), F.col("abbrev")))
 

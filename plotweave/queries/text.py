@@ -19,7 +19,7 @@ def _strip(sql):
 _CLEAN = _strip(
     r"regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g')"
 )
-_TITLE = _strip(r"regexp_replace(substr(text, 1, 60), '[^\p{L}\p{N}_\t-\r\x1c-\x20-]', '', 'g')")
+_TITLE = _strip(r"regexp_replace(text, '[^\p{L}\p{N}_\t-\r\x1c-\x20-]', '', 'g')")
 
 
 @query("norm_text", """
@@ -35,7 +35,7 @@ def _(spark, sf):
 
 @query("safe_title", "SELECT doc_id, replace(<title>, ' ', '_') AS title FROM {documents}", title=_TITLE)
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", text.safe_title(F.substring("text", 1, 60)).alias("title"))
+    return spread(table(spark, sf, "documents")).select("doc_id", text.safe_title(F.col("text")).alias("title"))
 
 
 @query("slugify", "SELECT p_partkey, replace(lower(p_name), ' ', '-') AS slug FROM {part}")
