@@ -106,9 +106,11 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
     An added path whose content was removed elsewhere counts as moved, and names the path it left.
     """
-    before = first_by(old, "relpath", "ord", "md5").withColumnRenamed("md5", "old_md5")
-    after = first_by(new, "relpath", "ord", "md5").withColumnRenamed("md5", "new_md5")
-    both = before.join(after, "relpath", "full")
+    entries = old.select("relpath", "md5", F.col("ord").alias("_old")).unionByName(
+        new.select("relpath", "md5", F.col("ord").alias("_new")), allowMissingColumns=True
+    )
+    # One aggregation instead of a join of two: rows without an order on one side do not count there.
+    both = entries.groupBy("relpath").agg(F.min_by("md5", "_old").alias("old_md5"), F.min_by("md5", "_new").alias("new_md5"))
     # Only added paths look for the place they came from; the bulk is never shuffled by content. Removed
     # paths are folded to one row per content first, so copies of a file do not multiply the result.
     gone = both.where("new_md5 IS NULL").groupBy(F.col("old_md5").alias("new_md5")).agg(F.min("relpath").alias("moved_from"))

@@ -16,7 +16,7 @@ from plotweave.functions.geometry import inside_edges, polygon_edges, ring_signe
 from plotweave.operators.zones import zone_lookup
 from plotweave.plans.picking import priority_pick
 from plotweave.plans.skew import HOT_ROWS
-from plotweave.plans.spatial_join import point_in_polygon, radius_join
+from plotweave.plans.spatial_join import point_in_box, point_in_polygon, radius_join
 
 #: Largest number of edges whose pairs are compared inside the JVM; larger polygons are swept.
 PAIRWISE_EDGES = 64
@@ -210,6 +210,37 @@ def nearest_anchor(points: DataFrame, frames: DataFrame, radius: float = 12.0, h
     return priority_pick(corners.unionByName(bodies), ["pt_id", "frame_id"], ["priority"]).drop("priority")
 
 
+#: Handles of an upright rectangle after its corners, as fractions of width and height.
+RECT_HANDLES = {
+    "top_left": (0.0, 0.0), "top_right": (1.0, 0.0), "bottom_right": (1.0, 1.0), "bottom_left": (0.0, 1.0),
+    "left": (0.0, 0.5), "right": (1.0, 0.5), "top": (0.5, 0.0), "bottom": (0.5, 1.0),
+}
+
+
+def nearest_rect_handle(points: DataFrame, rects: DataFrame, radius: float = 12.0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As :func:`nearest_anchor` for upright rectangles (``frame_id, left, top, width, height``).
+
+    Corners win over the middles of the sides, and these over the body, whose edges all count as inside.
+    """
+    handles = F.array(*[
+        F.struct(
+            F.lit(i).alias("priority"), F.lit(name).alias("handle"),
+            (F.col("left") + F.col("width") * fx).alias("ax"), (F.col("top") + F.col("height") * fy).alias("ay"),
+        )
+        for i, (name, (fx, fy)) in enumerate(RECT_HANDLES.items())
+    ])
+    anchors = rects.select("frame_id", F.inline(handles))
+    near = radius_join(points, anchors, radius, hot_rows).select("pt_id", "frame_id", "priority", "handle")
+    box = F.struct(
+        F.col("left").alias("min_x"), F.col("top").alias("min_y"),
+        (F.col("left") + F.col("width")).alias("max_x"), (F.col("top") + F.col("height")).alias("max_y"),
+    )
+    bodies = point_in_box(points, rects.select("frame_id", box.alias("_box")), hot_rows).select(
+        "pt_id", "frame_id", F.lit(len(RECT_HANDLES)).alias("priority"), F.lit(BODY).alias("handle")
+    )
+    return priority_pick(near.unionByName(bodies), ["pt_id", "frame_id"], ["priority"]).drop("priority")
+
+
 def feature_at_click(points: DataFrame, polygons: DataFrame, zones: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Zone information of the polygons under each point."""
     return zone_lookup(point_in_polygon(points, polygons, hot_rows), zones)

@@ -18,41 +18,39 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
-def leveled_polygons(polygons: DataFrame) -> DataFrame:
-    """Polygons with bbox and the grid level that suits their size: cells as large as the larger side."""
-    sized = polygons.withColumn("_box", rings_bbox(F.col("rings")))
+def leveled(sized: DataFrame) -> DataFrame:
+    """Shapes with a ``_box`` and the grid level that suits its size: cells as large as the larger side."""
     side = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"))
     return sized.withColumn("_level", F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int"))
 
 
-def polygon_cells(leveled: DataFrame) -> DataFrame:
-    """Polygons with their edges, one row per covered cell of their level.
+def box_cells(shapes: DataFrame) -> DataFrame:
+    """Shapes, one row per covered cell of their level.
 
-    Cells are as large as the polygon, so it covers at most 2 x 2 of them, however large it is;
-    polygons of very different size simply use different levels. Empty polygons cover none.
+    Cells are as large as the shape, so it covers at most 2 x 2 of them, however large it is; shapes of
+    very different size simply use different levels. Empty shapes cover none.
     """
     span = lambda lo, hi: F.sequence(_cell(F.col(lo), F.col("_level")), _cell(F.col(hi), F.col("_level")))
     return (
-        leveled.withColumn("_edges", polygon_edges(F.col("rings"))).drop("rings")
-        .withColumn("_cx", F.explode(span("_box.min_x", "_box.max_x")))
+        shapes.withColumn("_cx", F.explode(span("_box.min_x", "_box.max_x")))
         .withColumn("_cy", F.explode(span("_box.min_y", "_box.max_y")))
     )
 
 
-def grid_levels(polygons: DataFrame) -> list[int]:
+def grid_levels(shapes: DataFrame) -> list[int]:
     """Grid levels in use: a list of exponents, so a few dozen at most, whatever the row count."""
-    return sorted(r[0] for r in polygons.select("_level").distinct().collect() if r[0] is not None)
+    return sorted(r[0] for r in shapes.select("_level").distinct().collect() if r[0] is not None)
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pairs of points (``pt_id, x, y``) and the polygons (``poly_id, rings``) that hold them.
+def point_in_box(points: DataFrame, sized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs of points (``pt_id, x, y``) and the shapes whose ``_box`` holds them, edges included.
 
-    A polygon lives in one level and a point in one cell per level, so each pair meets once and no
+    A shape lives in one level and a point in one cell per level, so each pair meets once and no
     deduplication is needed. Cells with many points are split.
     """
-    leveled = leveled_polygons(polygons)
-    covered = polygon_cells(leveled)
-    levels = grid_levels(leveled) or [0]
+    shapes = leveled(sized)
+    covered = box_cells(shapes)
+    levels = grid_levels(shapes) or [0]
     keyed = (
         points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
         .withColumn("_cx", _cell(F.col("x"), F.col("_level")))
@@ -62,8 +60,14 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, hot_rows: int = HOT
     in_box = F.col("x").between(F.col("_box.min_x"), F.col("_box.max_x")) & F.col("y").between(
         F.col("_box.min_y"), F.col("_box.max_y")
     )
-    hits = pairs.where(in_box).where(inside_edges(F.col("_edges"), F.col("x"), F.col("y")))
-    return hits.drop("_level", "_cx", "_cy", "_box", "_edges")
+    return pairs.where(in_box).drop("_level", "_cx", "_cy", "_box")
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs of points (``pt_id, x, y``) and the polygons (``poly_id, rings``) that hold them (even-odd rule)."""
+    sized = polygons.withColumns({"_box": rings_bbox(F.col("rings")), "_edges": polygon_edges(F.col("rings"))}).drop("rings")
+    near = point_in_box(points, sized, hot_rows)
+    return near.where(inside_edges(F.col("_edges"), F.col("x"), F.col("y"))).drop("_edges")
 
 
 def radius_join(points: DataFrame, anchors: DataFrame, radius: float, hot_rows: int = HOT_ROWS) -> DataFrame:

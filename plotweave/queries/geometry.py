@@ -57,6 +57,25 @@ def _(spark, sf):
     return op.nearest_anchor(frame(spark, sf, "points"), frame(spark, sf, "frames")).select("pt_id", "frame_id", "handle")
 
 
+# Rectangles: the frames' upright boxes of 80 x 60.
+_RECT_ANCHORS = [(0, 0), (80, 0), (80, 60), (0, 60), (0, 30), (80, 30), (40, 0), (40, 60)]
+_RECT_NAMES = ("top_left", "top_right", "bottom_right", "bottom_left", "left", "right", "top", "bottom")
+_RECT_HIT = "CASE " + " ".join(
+    f"WHEN sqrt((x - l - {dx}) * (x - l - {dx}) + (y - t - {dy}) * (y - t - {dy})) <= 12 THEN '{name}'"
+    for name, (dx, dy) in zip(_RECT_NAMES, _RECT_ANCHORS)
+) + " WHEN x BETWEEN l AND l + 80 AND y BETWEEN t AND t + 60 THEN 'body' END"
+
+
+@query("nearest_rect_handle", f"""
+    SELECT pt_id, frame_id, handle FROM (SELECT pt_id, frame_id, {_RECT_HIT} AS handle
+        FROM {{points}} AS p JOIN (SELECT frame_id, top_left_x AS l, top_left_y AS t FROM {{frames}} AS f) AS r
+          ON x BETWEEN l - 20 AND l + 110 AND y BETWEEN t - 20 AND t + 90) AS h WHERE handle IS NOT NULL""")
+def _(spark, sf):
+    rects = frame(spark, sf, "frames").select(
+        "frame_id", F.col("top_left_x").alias("left"), F.col("top_left_y").alias("top"), F.lit(80.0).alias("width"), F.lit(60.0).alias("height"))
+    return op.nearest_rect_handle(frame(spark, sf, "points"), rects)
+
+
 @query("priority_pick", f"""
     SELECT pt_id, min(poly_id) AS poly_id FROM ({_INSIDE}) AS i GROUP BY pt_id""")
 def _(spark, sf):

@@ -30,6 +30,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path: JavaObject = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def label_table(spark: SparkSession, path: str) -> DataFrame:
     """Current labels of a stored table."""
     return _state(spark, path).where(~F.col("deleted")).drop("deleted", "event_id", "bucket")
@@ -76,7 +81,8 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str, buckets: int = BU
     repeated batch finds its complete copy and only moves it again.
     """
     spark = changes.sparkSession
-    staged = f"{table.rstrip('/')}_merged/batch_id={batch_id}"
+    copies = f"{table.rstrip('/')}_merged"
+    staged = f"{copies}/batch_id={batch_id}"
     if not _exists(spark, f"{staged}/_SUCCESS"):
         last = latest_label(changes).withColumn("bucket", _bucket(buckets)).persist()
         try:
@@ -93,6 +99,8 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str, buckets: int = BU
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket").parquet(table)
     )
+    # Only the last batch can be repeated, so the copies before it have served.
+    _delete(spark, f"{copies}/batch_id={batch_id - 2}")
 
 
 def label_stream_upsert(stream: DataFrame, table: str, checkpoint: str, timeout: int = 600,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plotweave.operators.geometry import nearest_anchor
+from plotweave.operators.geometry import nearest_anchor, nearest_rect_handle
 from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_lag, ordered_row_number
 from plotweave.plans.picking import priority_pick
@@ -189,3 +189,11 @@ def test_nearest_anchor_prefers_order_over_distance(spark):
     points = [(1, 11.0, 0.0), (2, 27.0, 0.0), (3, 40.0, 60.0), (4, 500.0, 500.0), (5, 0.0, 12.0), (6, 0.0, 12.001)]
     found = nearest_anchor(spark.createDataFrame(points, "pt_id BIGINT, x DOUBLE, y DOUBLE"), frame)
     assert {r.pt_id: r.handle for r in found.collect()} == {1: "top_left", 2: "top_right", 3: "body", 5: "top_left", 6: "body"}
+
+
+def test_rect_handles(spark):
+    rect = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 60.0)], "frame_id INT, left DOUBLE, top DOUBLE, width DOUBLE, height DOUBLE")
+    points = [(1, 0.0, 12.0), (2, 0.0, 13.0), (3, -12.0, 30.0), (4, 50.0, 65.0), (5, 100.0, 45.0), (6, 100.0, 44.0), (7, 30.0, 60.0), (8, 30.0, 60.1), (9, 50.0, 30.0)]
+    found = nearest_rect_handle(spark.createDataFrame(points, "pt_id BIGINT, x DOUBLE, y DOUBLE"), rect)
+    assert {r.pt_id: r.handle for r in found.collect()} == {
+        1: "top_left", 2: "body", 3: "left", 4: "bottom", 5: "body", 6: "body", 7: "body", 9: "body"}
