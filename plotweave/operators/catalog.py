@@ -58,7 +58,10 @@ def first_by(df: DataFrame, key: str, order: str, *payload: str) -> DataFrame:
 
 
 def hash_by_path(requests: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Hash of every requested map path, from the first manifest entry with that path; null if unknown."""
+    """Hash of every requested map path, from the first manifest entry with that path; null if unknown.
+
+    ``requests`` has ``path`` and whatever tells requests for the same path apart.
+    """
     wanted = requests.withColumn("relpath", F.concat(F.lit(paths.MAPS_PREFIX), F.col("path")))
     known = first_by(manifest, "relpath", "ord", "md5")
     return salted_join(wanted, known, ["relpath"], salt_by=requests.columns, how="left")

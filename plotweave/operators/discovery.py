@@ -118,10 +118,9 @@ def toc_flatten(tocs: DataFrame) -> DataFrame:
     parsed = tocs.select("*", F.coalesce("children", F.array().cast("array<struct<heading:string,node_id:string>>")).alias("_c"))
     sections = parsed.select("root_heading", "root_id", F.posexplode_outer("_c").alias("pos", "_child"))
     childless = F.col("_child").isNull()
-    heading = lambda c: strip(c)
+    root = strip(F.col("root_heading"))
     return sections.select(
-        F.when(childless, F.array(heading(F.col("root_heading"))))
-        .otherwise(F.array(heading(F.col("root_heading")), heading(F.col("_child.heading")))).alias("path"),
+        F.when(childless, F.array(root)).otherwise(F.array(root, strip(F.col("_child.heading")))).alias("path"),
         F.when(~childless, F.col("root_id")).alias("parent_node_id"),
         F.when(childless, F.col("root_id")).otherwise(F.col("_child.node_id")).alias("node_id"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from plotweave.functions.geometry import inside_edges, polygon_edges, ring_signed_area
+from plotweave.functions.geometry import inside_edges, polygon_edges, ring_edges, ring_signed_area, rings_bbox
 from plotweave.operators.zones import zone_lookup
 from plotweave.plans.picking import priority_pick
 from plotweave.plans.skew import HOT_ROWS
@@ -46,8 +46,6 @@ def _neighbours_fold(a: Column, b: Column) -> Column:
 
 def _distinct_edges(ring: Column) -> Column:
     """Edges of a ring without zero-length ones, numbered."""
-    from plotweave.functions.geometry import ring_edges
-
     real = F.filter(ring_edges(ring), lambda e: (e.x1 != e.x2) | (e.y1 != e.y2))
     return F.transform(
         real, lambda e, i: F.struct(i.alias("i"), e.x1.alias("x1"), e.y1.alias("y1"), e.x2.alias("x2"), e.y2.alias("y2"))
@@ -248,8 +246,6 @@ def feature_at_click(points: DataFrame, polygons: DataFrame, zones: DataFrame, h
 
 def layer_extent(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Bounding box over all polygons of a group."""
-    from plotweave.functions.geometry import rings_bbox
-
     boxed = polygons.withColumn("_box", rings_bbox(F.col("rings")))
     return boxed.groupBy(*by).agg(
         F.min("_box.min_x").alias("min_x"), F.min("_box.min_y").alias("min_y"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 #: Estimated bytes up to which one task could take a whole input, so no key of it can be too hot.
 SMALL_INPUT = 128 * 1024 * 1024
+#: Over how many salts rows without a key are dealt.
+KEYLESS_SALTS = 4096
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -22,10 +25,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
                 hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """Equi-join in which keys with more than ``hot_rows`` left rows are split over several tasks.
 
-    ``salt_by`` names left columns that tell the rows of a key apart; the salt is a hash of them,
-    so a recomputed task deals the rows out the same way. Only right rows of hot keys are copied.
+    ``salt_by`` names left columns that tell the rows of a key apart (rows equal in all of them stay
+    together); the salt is a hash of them, so a recomputed task deals the rows out the same way. Only right rows of hot keys are copied.
     The table of hot keys holds at most ``rows / hot_rows`` entries, whatever the data looks like,
-    which is why it may be broadcast. A left side small enough for one task is joined plainly.
+    which is why it may be broadcast. Left rows without a key match nothing, so in a left join they are
+    dealt out freely. A left side small enough for one task is joined plainly.
     """
     if how not in ("inner", "left"):
         raise ValueError("a salted join copies right rows, so it supports inner and left joins only")
@@ -37,8 +41,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
         .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     dealt = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")
+        "_salt", F.pmod(F.xxhash64(*salt_by), F.when(keyless, KEYLESS_SALTS).otherwise(salts)).cast("int")
     ).drop("_salts")
     copied = right.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))

@@ -4,9 +4,13 @@ from pyspark.sql import functions as F
 
 from plotweave.fixtures import frame, table
 from plotweave.functions import paths
+from plotweave.functions.geometry import bbox_reorder
 from plotweave.functions.text import format_count
 from plotweave.operators import catalog as op
+from plotweave.operators.features import json_parse
+from plotweave.plans.picking import top_n_per_query
 from plotweave.queries.registry import query
+from plotweave.schemas import MANIFEST_ENTRY
 from plotweave.session import staging_path
 from plotweave.sources import landed, sinks
 
@@ -14,15 +18,12 @@ from plotweave.sources import landed, sinks
 @query("manifest_scan", "SELECT md5, relpath FROM {manifest} AS m")
 def _(spark, sf):
     path = staging_path(spark, "manifest")
-    sinks.manifest_sink(frame(spark, sf, "manifest"), path, per_shard=500)
+    sinks.manifest_sink(frame(spark, sf, "manifest"), path)
     return landed.manifest_scan(spark, path).select("md5", "relpath")
 
 
 @query("json_parse", "SELECT md5, relpath FROM {manifest} AS m")
 def _(spark, sf):
-    from plotweave.operators.features import json_parse
-    from plotweave.schemas import MANIFEST_ENTRY
-
     texts = frame(spark, sf, "manifest").select(F.to_json(F.struct("md5", "relpath")).alias("value"))
     return texts.select(json_parse(F.col("value"), MANIFEST_ENTRY).alias("e")).select("e.md5", "e.relpath")
 
@@ -263,8 +264,6 @@ def _(spark, sf):
         SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM {customer}) AS r
     WHERE rn <= 5""")
 def _(spark, sf):
-    from plotweave.plans.picking import top_n_per_query
-
     top = top_n_per_query(table(spark, sf, "customer"), ["c_nationkey"], [F.col("c_acctbal").desc(), "c_custkey"], 5)
     return top.select("c_nationkey", "c_custkey")
 
@@ -281,8 +280,6 @@ def _(spark, sf):
 @query("bbox_reorder", """
     SELECT place_id, CAST(lat AS DOUBLE) - 1 AS south, CAST(lat AS DOUBLE) + 1 AS north, -90e0 AS west, -80e0 AS east FROM {gazetteer} AS g""")
 def _(spark, sf):
-    from plotweave.functions.geometry import bbox_reorder
-
     lat = F.col("lat").cast("double")
     boxes = frame(spark, sf, "gazetteer").withColumn("box", bbox_reorder(F.array(lat - 1, lat + 1, F.lit(-90.0), F.lit(-80.0))))
     corner = lambda i, j: F.col("box")[i][j]
@@ -290,10 +287,10 @@ def _(spark, sf):
 
 
 def _stored_documents(spark, sf):
-    """Document texts as files of one folder per language: some text files by Spark itself."""
+    """Document texts as files of one folder per language; a file holds a bounded number of texts."""
     path = staging_path(spark, "files")
     docs = table(spark, sf, "documents").select("lang", F.col("text").alias("value"))
-    docs.repartition(8).write.partitionBy("lang").option("lineSep", "\u0001").text(path)
+    docs.write.partitionBy("lang").option("lineSep", "\u0001").option("maxRecordsPerFile", 200).text(path)
     return path
 
 

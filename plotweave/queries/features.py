@@ -282,15 +282,14 @@ def _(spark, sf):
 
 
 @query("feature_row_id", """
-    SELECT id % 17 AS part, id AS feature, CAST(floor(id / 17) AS BIGINT) AS row_id FROM {features} AS f""")
+    SELECT id AS feature, id % 200 AS row_id FROM {features} AS f""")
 def _(spark, sf):
-    """Ids by place in the file: one collection per line holds one part's features."""
+    """Ids by place in the collection; every collection holds 200 features."""
     path = staging_path(spark, "collections")
-    features = stored_features(spark, sf).withColumn("pos", F.floor(F.col("id") / 17)).withColumn("part", F.col("id") % 17)
-    sinks.geojson_collections_sink(features, path, "part", 1_000_000)
+    features = stored_features(spark, sf).withColumn("pos", F.col("id") % 200).withColumn("part", F.floor(F.col("id") / 200))
+    sinks.geojson_collections_sink(features, path, "part", 200)
     read = op.feature_row_id(landed.geojson_scan(spark, path), "row_id")
-    feature = F.col("properties")["id"].cast("bigint")
-    return read.select((feature % 17).alias("part"), feature.alias("feature"), "row_id")
+    return read.select(F.col("properties")["id"].cast("bigint").alias("feature"), "row_id")
 
 
 @query("feature_global_id", """

@@ -1,5 +1,7 @@
 """Georeference labels."""
 
+import hashlib
+
 
 from pyspark.sql import functions as F
 
@@ -44,8 +46,6 @@ def _(spark, sf):
 
 @query("label_by_hash", f"SELECT pdf_hash, {_CORNERS} FROM {{geolabels}} AS l WHERE pdf_hash = md5('orphan3')")
 def _(spark, sf):
-    import hashlib
-
     return op.label_by_hash(geolabels(spark, sf), hashlib.md5(b"orphan3").hexdigest()).select("pdf_hash", *CORNER_COLUMNS)
 
 

@@ -20,7 +20,7 @@ def event_stream(spark, sf):
     """
     path = staging_path(spark, "event-stream")
     timed = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    timed.repartition(4).write.parquet(path)
+    timed.write.parquet(path)
     end = spark.range(1).select(
         F.lit(-1).cast("bigint").alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"),
         F.lit(FLUSH_USER).cast("bigint").alias("user_id"), F.lit("flush").alias("event_type"), F.lit(0.0).alias("value"),
@@ -68,11 +68,11 @@ def _(spark, sf):
         SELECT *, CAST(epoch_us(ts) AS BIGINT) AS event_us, row_number() OVER (PARTITION BY pdf_hash ORDER BY ts DESC, event_id DESC) AS rn FROM {label_events} AS e) AS r
     WHERE rn = 1 AND op = 'save'""")
 def _(spark, sf):
-    """Label events in shuffled order, in several micro-batches."""
+    """Label events in shuffled order; the stored table keeps the last state of each hash."""
     source, store = staging_path(spark, "label-events"), staging_path(spark, "label-table")
     events = frame(spark, sf, "label_events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartition(3, F.xxhash64("event_id")).write.parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    events.repartition(F.xxhash64("event_id")).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
     lab.label_stream_upsert(stream, store, staging_path(spark, "label-state"), buckets=8)
     current = lab.label_table(spark, store)
     return current.select("pdf_hash", "pdf_path", "top_left_lng", F.unix_micros("updated_at").alias("event_us"))

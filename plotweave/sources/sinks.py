@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plotweave.functions.paths import content_addressed_layout
@@ -12,14 +12,18 @@ from plotweave.operators.features import feature_to_json, strip_properties
 def geojson_sink(features: DataFrame, path: str, layer_name: str = "", url: str = "") -> DataFrame:
     """Write features one per line, in parallel; returns the export's summary row.
 
-    The count is taken from what was written, not by computing the features again.
+    The count is observed while writing, so the features are neither computed nor read a second time.
     """
-    features.select(feature_to_json(features).alias("value")).write.mode("overwrite").text(path)
-    written = features.sparkSession.read.text(path)
-    return written.agg(F.count("*").alias("feature_count")).select(
-        F.lit(layer_name).alias("layer_name"), F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("filename"),
-        F.lit(path).alias("filepath"), "feature_count", F.lit(url).alias("url"),
-    )
+    written = Observation()
+    lines = features.select(feature_to_json(features).alias("value"))
+    lines.observe(written, F.count("*").alias("feature_count")).write.mode("overwrite").text(path)
+    summary = {
+        "layer_name": layer_name, "filename": path.rstrip("/").rsplit("/", 1)[-1], "filepath": path,
+        "feature_count": written.get["feature_count"], "url": url,
+    }
+    return features.sparkSession.range(1).select(*[
+        F.lit(v).cast("bigint" if k == "feature_count" else "string").alias(k) for k, v in summary.items()
+    ])
 
 
 def geojson_collections_sink(features: DataFrame, path: str, by: str, per_collection: int) -> None:
@@ -59,7 +63,7 @@ def metadata_sink(df: DataFrame, path: str) -> None:
 def content_store_sink(files: DataFrame, path: str) -> None:
     """Catalog of stored objects, laid out by the two-character hash prefix of their keys."""
     keyed = files.withColumn("object_key", content_addressed_layout(F.col("md5"))).withColumn("prefix2", F.substring("md5", 1, 2))
-    keyed.write.mode("overwrite").partitionBy("prefix2").parquet(path)
+    keyed.hint("rebalance", "prefix2").write.mode("overwrite").partitionBy("prefix2").parquet(path)
 
 
 def manifest_sink(manifest: DataFrame, path: str, per_shard: int = 100_000) -> None:

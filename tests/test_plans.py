@@ -81,6 +81,21 @@ def test_salted_join_equals_join(spark, salting, skewed, how):
     assert rows(ours, "id", "k", "w") == rows(plain, "id", "k", "w")
 
 
+def test_rows_without_key_are_spread(spark, salting):
+    """Half of the rows have no key; a left join must not send them all to one task."""
+    left = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))
+    right = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(left, right, ["k"], salt_by=["id"], hot_rows=100, how="left")
+        shares = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(shares) == 8000 and max(shares) < 2000
+
+
 def test_small_input_is_joined_plainly(spark, sf):
     """The planner knows the size of files, so no key is counted for a small one."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
