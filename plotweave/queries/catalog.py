@@ -35,12 +35,12 @@ def _(spark, sf):
 
 
 @query("url_grid", """
-    SELECT n_name, CAST(k AS INTEGER) AS number,
-           'https://maps.example.com/zoning_' || n_name || '_' || lpad(CAST(k AS VARCHAR), 3, '0') || '.pdf' AS url
-    FROM {nation}, generate_series(1, 50) AS g(k)""")
+    SELECT s_name, CAST(k AS INTEGER) AS number,
+           'https://maps.example.com/zoning_' || s_name || '_' || lpad(CAST(k AS VARCHAR), 3, '0') || '.pdf' AS url
+    FROM {supplier}, generate_series(1, 50) AS g(k)""")
 def _(spark, sf):
-    grid = op.url_grid(table(spark, sf, "nation").select("n_name"), 1, 50, "https://maps.example.com/zoning_%s_%03d.pdf", "n_name")
-    return grid.select("n_name", "number", "url")
+    grid = op.url_grid(table(spark, sf, "supplier").select("s_name"), 1, 50, "https://maps.example.com/zoning_%s_%03d.pdf", "s_name")
+    return grid.select("s_name", "number", "url")
 
 
 @query("url_list_scan", "SELECT DISTINCT url FROM {pages}")
@@ -317,24 +317,25 @@ def _(spark, sf):
 
 
 @query("metadata_sink", """
-    SELECT n_name AS municipality, r_name AS state_abbrev, 'https://codes.example.com/' || n_name AS resource_url
-    FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""")
+    SELECT n_name AS municipality, r_name AS state_abbrev, 'https://codes.example.com/' || s_name AS resource_url
+    FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""")
 def _(spark, sf):
     path = staging_path(spark, "metadata")
     places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    sinks.metadata_sink(places.select(
+    collected = table(spark, sf, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+    sinks.metadata_sink(collected.select(
         F.col("n_name").alias("municipality"), F.col("r_name").alias("state_abbrev"),
-        F.concat(F.lit("https://codes.example.com/"), "n_name").alias("resource_url"),
+        F.concat(F.lit("https://codes.example.com/"), "s_name").alias("resource_url"),
     ), path)
     stored = spark.read.schema("resource_url STRING, state_abbrev STRING, municipality STRING").json(path)
     return stored.select("municipality", "state_abbrev", "resource_url")
 
 
 @query("storage_prefix", """
-    SELECT n_nationkey, 'zoning_ordinance/' || r_name || '/' || n_name AS prefix FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""")
+    SELECT c_custkey, 'zoning_ordinance/' || n_name || '/' || c_name AS prefix FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""")
 def _(spark, sf):
-    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return places.select("n_nationkey", paths.storage_prefix(F.col("r_name"), F.col("n_name")).alias("prefix"))
+    cities = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return cities.select("c_custkey", paths.storage_prefix(F.col("n_name"), F.col("c_name")).alias("prefix"))
 
 
 @query("md5_hex", "SELECT doc_id, md5(text) AS md5 FROM {documents}")

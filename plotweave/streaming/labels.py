@@ -73,16 +73,16 @@ def merge_changes(state: DataFrame, changes: DataFrame, buckets: int = BUCKETS)
     )
 
 
-def apply_batch(changes: DataFrame, batch_id: int, table: str, buckets: int = BUCKETS) -> None:
+def apply_batch(changes: DataFrame, batch_id: int, table: str, copies: str, buckets: int = BUCKETS) -> None:
     """Merge one micro-batch into the table; safe to repeat.
 
     Only the buckets the batch touches are read and rewritten. The merged buckets are first written
     aside in full, then moved into the table by a dynamic overwrite: if a run dies in between, the
-    repeated batch finds its complete copy and only moves it again.
+    repeated batch finds its complete copy and only moves it again. ``copies`` is the folder for them; it
+    belongs to one run of batch numbers, so it lives and dies with the stream's checkpoint.
     """
     spark = changes.sparkSession
-    copies = f"{table.rstrip('/')}_merged"
-    staged = f"{copies}/batch_id={batch_id}"
+    staged = f"{copies.rstrip('/')}/batch_id={batch_id}"
     if not _exists(spark, f"{staged}/_SUCCESS"):
         last = latest_label(changes).withColumn("bucket", _bucket(buckets)).persist()
         try:
@@ -100,7 +100,7 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str, buckets: int = BU
         .partitionBy("bucket").parquet(table)
     )
     # Only the last batch can be repeated, so the copies before it have served.
-    _delete(spark, f"{copies}/batch_id={batch_id - 2}")
+    _delete(spark, f"{copies.rstrip('/')}/batch_id={batch_id - 2}")
 
 
 def label_stream_upsert(stream: DataFrame, table: str, checkpoint: str, timeout: int = 600,
@@ -110,7 +110,7 @@ def label_stream_upsert(stream: DataFrame, table: str, checkpoint: str, timeout:
     One query per table: there is a single writer.
     """
     query = (
-        stream.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, table, buckets))
+        stream.writeStream.foreachBatch(lambda df, batch_id: apply_batch(df, batch_id, table, f"{checkpoint}/merged", buckets))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     if not query.awaitTermination(timeout):

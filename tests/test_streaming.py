@@ -32,36 +32,36 @@ A, B, C = "0" * 32, "1" * 32, "2" * 32
 
 def test_older_late_event_cannot_overwrite(spark, tmp_path):
     t = str(tmp_path / "labels")
-    lab.apply_batch(changes(spark, (1, 1, "save", A), (3, 3, "save", A), (4, 4, "save", B)), 0, t, 4)
-    lab.apply_batch(changes(spark, (2, 2, "save", A), (5, 5, "save", C)), 1, t, 4)
+    lab.apply_batch(changes(spark, (1, 1, "save", A), (3, 3, "save", A), (4, 4, "save", B)), 0, t, t + "_merged", 4)
+    lab.apply_batch(changes(spark, (2, 2, "save", A), (5, 5, "save", C)), 1, t, t + "_merged", 4)
     assert current(spark, t) == {A: ("p3", at(3), at(3)), B: ("p4", at(4), at(4)), C: ("p5", at(5), at(5))}
 
 
 def test_late_save_cannot_undo_a_delete(spark, tmp_path):
     t = str(tmp_path / "labels")
-    lab.apply_batch(changes(spark, (1, 1, "save", A)), 0, t, 4)
-    lab.apply_batch(changes(spark, (5, 5, "delete", A)), 1, t, 4)
+    lab.apply_batch(changes(spark, (1, 1, "save", A)), 0, t, t + "_merged", 4)
+    lab.apply_batch(changes(spark, (5, 5, "delete", A)), 1, t, t + "_merged", 4)
     assert current(spark, t) == {}
-    lab.apply_batch(changes(spark, (3, 3, "save", A)), 2, t, 4)
+    lab.apply_batch(changes(spark, (3, 3, "save", A)), 2, t, t + "_merged", 4)
     assert current(spark, t) == {}
-    lab.apply_batch(changes(spark, (9, 9, "save", A)), 3, t, 4)
+    lab.apply_batch(changes(spark, (9, 9, "save", A)), 3, t, t + "_merged", 4)
     assert current(spark, t) == {A: ("p9", at(9), at(9))}
 
 
 def test_creation_time_survives_updates(spark, tmp_path):
     t = str(tmp_path / "labels")
-    lab.apply_batch(changes(spark, (1, 1, "save", A)), 0, t, 4)
-    lab.apply_batch(changes(spark, (2, 7, "save", A)), 1, t, 4)
+    lab.apply_batch(changes(spark, (1, 1, "save", A)), 0, t, t + "_merged", 4)
+    lab.apply_batch(changes(spark, (2, 7, "save", A)), 1, t, t + "_merged", 4)
     assert current(spark, t) == {A: ("p2", at(1), at(7))}
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     t = str(tmp_path / "labels")
     first, second = changes(spark, (1, 1, "save", A), (2, 2, "save", B)), changes(spark, (3, 3, "save", A), (4, 4, "delete", B))
-    lab.apply_batch(first, 0, t, 4)
-    lab.apply_batch(second, 1, t, 4)
+    lab.apply_batch(first, 0, t, t + "_merged", 4)
+    lab.apply_batch(second, 1, t, t + "_merged", 4)
     expected = current(spark, t)
-    lab.apply_batch(second, 1, t, 4)
+    lab.apply_batch(second, 1, t, t + "_merged", 4)
     assert current(spark, t) == expected == {A: ("p3", at(1), at(3))}
 
 
@@ -70,23 +70,33 @@ def test_interrupted_move_is_repeated_from_the_full_copy(spark, tmp_path):
     import shutil
 
     t = str(tmp_path / "labels")
-    lab.apply_batch(changes(spark, (1, 1, "save", A), (2, 2, "save", B)), 0, t, 4)
+    lab.apply_batch(changes(spark, (1, 1, "save", A), (2, 2, "save", B)), 0, t, t + "_merged", 4)
     second = changes(spark, (3, 3, "save", A), (4, 4, "save", C))
-    lab.apply_batch(second, 1, t, 4)
+    lab.apply_batch(second, 1, t, t + "_merged", 4)
     expected = current(spark, t)
     bucket = next(p for p in (tmp_path / "labels").iterdir() if p.name.startswith("bucket="))
     shutil.move(str(bucket), str(tmp_path / "lost"))
-    lab.apply_batch(second, 1, t, 4)
+    lab.apply_batch(second, 1, t, t + "_merged", 4)
     assert current(spark, t) == expected
 
 
+def test_new_checkpoint_does_not_see_old_copies(spark, tmp_path):
+    """Batch numbers start again with a new checkpoint; changes under an old number must not be skipped."""
+    t, source = str(tmp_path / "labels"), str(tmp_path / "in")
+    for run, event in enumerate([(1, 1, "save", A), (2, 2, "save", B)]):
+        changes(spark, event).write.mode("overwrite").parquet(source)
+        stream = spark.readStream.schema(CHANGE).parquet(source)
+        lab.label_stream_upsert(stream, t, str(tmp_path / f"cp{run}"), buckets=4)
+    assert set(current(spark, t)) == {A, B}
+
+
 def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
     t = str(tmp_path / "labels")
     hashes = [f"{i:04x}" + "0" * 28 for i in range(4)]
-    lab.apply_batch(changes(spark, *[(i, i, "save", h) for i, h in enumerate(hashes)]), 0, t, 4)
+    lab.apply_batch(changes(spark, *[(i, i, "save", h) for i, h in enumerate(hashes)]), 0, t, t + "_merged", 4)
     names = lambda: {p.parent.name: p.name for p in (tmp_path / "labels").glob("bucket=*/*.parquet")}
     before = names()
-    lab.apply_batch(changes(spark, (9, 9, "save", hashes[2])), 1, t, 4)
+    lab.apply_batch(changes(spark, (9, 9, "save", hashes[2])), 1, t, t + "_merged", 4)
     after = names()
     assert {b for b in after if after[b] != before[b]} == {"bucket=2"}
 
