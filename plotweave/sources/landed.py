@@ -38,6 +38,20 @@ def geojson_scan(spark: SparkSession, path: str, multiline: bool = False) -> Dat
     return collection_features(lines)
 
 
+def geojson_split_scan(spark: SparkSession, path: str, opening: str = '{"type":"Feature",') -> DataFrame:
+    """Features of collections too large for one task: ``source, geometry, properties``.
+
+    Files are cut where a feature opens, exactly as the exporter writes it, so that many tasks read one
+    file and each parses single features. There is no place in the file, as no task sees the whole.
+    """
+    pieces = spark.read.option("lineSep", opening).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    # What precedes the first feature is the head of the collection. What follows a feature up to the next
+    # one (a comma, or the end of the collection) is behind the closed object, where the parser stops.
+    features = pieces.where(~F.startswith(F.ltrim("value"), F.lit("{")))
+    parsed = with_once(features, "f", F.from_json(F.concat(F.lit(opening), "value"), schemas.FEATURE))
+    return parsed.select("source", "f.geometry", "f.properties")
+
+
 def collection_features(lines: DataFrame) -> DataFrame:
     parsed = lines.withColumn("doc", F.from_json("value", schemas.FEATURE_COLLECTION))
     return parsed.select("source", F.posexplode("doc.features").alias("pos", "f")).select(

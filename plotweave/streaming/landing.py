@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def landing_stream(stream: DataFrame, key: Sequence[str], delay: str, ts: str = "ts") -> DataFrame:
+def landing_stream(stream: DataFrame, key: Sequence[str], delay: str, ts: str = "ts", salts: int = 1) -> DataFrame:
     """Each key once within the re-delivery delay. Give it keys and small columns, not contents.
 
     State holds the keys of one delay; what comes back later still is caught by the batch anti-join
-    with the inventory.
+    with the inventory. Where one key may be delivered very often, ``salts`` above 1 first drops
+    duplicates per key and share of the arrival times, so that its rows meet in that many tasks and only
+    one row per share goes on to the key's own task.
     """
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+    timed = stream.withWatermark(ts, delay)
+    if salts > 1:
+        dealt = timed.withColumn("_salt", F.pmod(F.xxhash64(ts), F.lit(salts)))
+        timed = dealt.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(list(key))
 
 
 def search_burst_collapse(stream: DataFrame, gap: str, delay: str | None = None) -> DataFrame:

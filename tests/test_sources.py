@@ -90,6 +90,23 @@ def test_pretty_printed_collection(spark, tmp_path):
     assert json.loads(got[2].geometry.coordinates)[0][3] == [0, 0]
 
 
+def test_one_huge_collection_is_read_by_many_tasks(spark, tmp_path):
+    text = lambda i: json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, {"a": i}["a"]]},
+                                 "properties": {"id": i, "note": "},{[" * (i % 3), "more": {"deep": [i]}}}, separators=(",", ":"))
+    body = ",".join(text(i) for i in range(4000))
+    (tmp_path / "c.json").write_text('{"type":"FeatureCollection","name":"x","crs":{"type":"name"},"features":[' + body + '],"total":4000}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        scan = landed.geojson_split_scan(spark, str(tmp_path / "c.json"))
+        assert scan.rdd.getNumPartitions() > 5
+        got = {int(r.properties["id"]): r for r in scan.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    whole = landed.geojson_scan(spark, str(tmp_path / "c.json"), multiline=True).collect()
+    assert len(got) == len(whole) == 4000
+    assert all(got[r.pos].geometry == r.geometry and got[r.pos].properties == r.properties for r in whole)
+
+
 def test_error_page_fails_the_read(spark, tmp_path):
     page = {"layer_id": 0, "layer_name": "a", "page_no": 0, "status": 200, "body": json.dumps({"error": {"code": 400}})}
     (tmp_path / "p.json").write_text(json.dumps(page))

@@ -157,12 +157,13 @@ def test_burst_keeps_the_last_query(spark):
     assert got == [(1, "map", 1), (1, "zone", 3), (2, "x", 1)]
 
 
-def test_landing_drops_redelivery_over_runs(spark, tmp_path):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_landing_drops_redelivery_over_runs(spark, tmp_path, salts):
     """A second run continues from the checkpoint and still knows what came before."""
     source, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
     schema = "md5 STRING, ts TIMESTAMP"
     run = lambda: landing.run_to_parquet(
-        landing.landing_stream(spark.readStream.schema(schema).parquet(source), ["md5"], "1 hour"), out, cp)
+        landing.landing_stream(spark.readStream.schema(schema).parquet(source), ["md5"], "1 hour", salts=salts), out, cp)
     spark.createDataFrame([("a", at(0)), ("a", at(1)), ("b", at(2))], schema).write.parquet(source)
     run()
     spark.createDataFrame([("a", at(5)), ("c", at(6))], schema).write.mode("append").parquet(source)
