@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from plotweave.plans.picking import priority_pick
 from plotweave.plans.skew import HOT_ROWS
 from plotweave.plans.spatial_join import point_in_box, point_in_polygon, radius_join
 
-#: Largest number of edges whose pairs are compared inside the JVM; larger polygons are swept.
-PAIRWISE_EDGES = 64
+#: Largest number of edges whose pairs are compared inside the JVM; longer rings are swept.
+PAIRWISE_EDGES = 16
+#: Edge pairs a sweep holds in memory.
+PAIRS_AT_ONCE = 1_000_000
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
@@ -68,52 +71,69 @@ def _crosses_itself(edges: Column) -> Column:
 
 
 def sweep_self_contact(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> bool:
-    """Same test as the pairwise one for long rings: only edges overlapping in x are compared."""
+    """Same test as the pairwise one for long rings: only edges overlapping in x and y are compared.
+
+    Edges are sorted by their left end, so the partners of an edge follow it without gaps. Pairs are
+    built and tested as arrays, a bounded number at a time.
+    """
     n = len(x1)
     if n < 2:
         return False
     lo_x, hi_x = np.minimum(x1, x2), np.maximum(x1, x2)
     lo_y, hi_y = np.minimum(y1, y2), np.maximum(y1, y2)
     order = np.argsort(lo_x, kind="stable")
-    stop = np.searchsorted(lo_x[order], hi_x[order], side="right")
-    side = lambda a, px, py: np.sign((x2[a] - x1[a]) * (py - y1[a]) - (y2[a] - y1[a]) * (px - x1[a]))
-    for rank in range(n):
-        a, others = order[rank], order[rank + 1:stop[rank]]
-        others = others[(lo_y[others] <= hi_y[a]) & (lo_y[a] <= hi_y[others])]
-        if not len(others):
-            continue
-        gap = np.abs(others - a)
-        near = others[(gap == 1) | (gap == n - 1)]
-        far = others[(gap != 1) & (gap != n - 1)]
-        if len(far):
-            d1 = side(a, x1[far], y1[far]) * side(a, x2[far], y2[far])
-            d2 = side(far, x1[a], y1[a]) * side(far, x2[a], y2[a])
-            if ((d1 <= 0) & (d2 <= 0)).any():
-                return True
-        for b in near:
-            cross = (x2[a] - x1[a]) * (y2[b] - y1[b]) - (y2[a] - y1[a]) * (x2[b] - x1[b])
-            dot = (x2[a] - x1[a]) * (x2[b] - x1[b]) + (y2[a] - y1[a]) * (y2[b] - y1[b])
-            if cross == 0 and dot < 0:
-                return True
+    partners = np.searchsorted(lo_x[order], hi_x[order], side="right") - np.arange(n) - 1
+    total = np.concatenate([[0], np.cumsum(partners)])
+
+    def side(e: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        return np.sign((x2[e] - x1[e]) * (py - y1[e]) - (y2[e] - y1[e]) * (px - x1[e]))
+
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS_AT_ONCE, side="right")) - 1)
+        ranks = np.repeat(np.arange(start, stop), partners[start:stop])
+        step = np.arange(len(ranks)) - np.repeat(total[start:stop] - total[start], partners[start:stop])
+        a, b = order[ranks], order[ranks + 1 + step]
+        overlap = (lo_y[b] <= hi_y[a]) & (lo_y[a] <= hi_y[b])
+        a, b = a[overlap], b[overlap]
+        gap = np.abs(a - b)
+        adjacent = (gap == 1) | (gap == n - 1)
+        cross = (x2[a] - x1[a]) * (y2[b] - y1[b]) - (y2[a] - y1[a]) * (x2[b] - x1[b])
+        dot = (x2[a] - x1[a]) * (x2[b] - x1[b]) + (y2[a] - y1[a]) * (y2[b] - y1[b])
+        folded = adjacent & (cross == 0) & (dot < 0)
+        met = (
+            ~adjacent
+            & (side(a, x1[b], y1[b]) * side(a, x2[b], y2[b]) <= 0)
+            & (side(b, x1[a], y1[a]) * side(b, x2[a], y2[a]) <= 0)
+        )
+        if (folded | met).any():
+            return True
+        start = stop
     return False
 
 
 def _long_ring_contact(rings: Column) -> Column:
-    """Does one of the (long) rings of a polygon touch itself? Evaluated in Arrow batches."""
-
-    def contact(ring) -> bool:
-        corners = np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in ring], dtype=float)
-        return sweep_self_contact(*corners.T)
-
-    def batches(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for polygons in columns:
-            yield polygons.map(lambda rings: rings is not None and any(contact(r) for r in rings)).astype(bool)
+    """Does one of the (long) rings of a polygon touch itself? Works on Arrow arrays of edges."""
+
+    def contact(polygons: pa.Array) -> pa.Array:
+        per_polygon = pa.compute.fill_null(pa.compute.list_value_length(polygons), 0).to_numpy(zero_copy_only=False)
+        all_rings = polygons.flatten()
+        bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(all_rings).to_numpy(zero_copy_only=False))]).astype(int)
+        edges = all_rings.flatten()
+        x1, y1, x2, y2 = (edges.field(name).to_numpy(zero_copy_only=False) for name in ("x1", "y1", "x2", "y2"))
+        touching = np.array([
+            sweep_self_contact(x1[a:b], y1[a:b], x2[a:b], y2[a:b]) for a, b in zip(bounds[:-1], bounds[1:])
+        ], dtype=bool)
+        owner = np.repeat(np.arange(len(polygons)), per_polygon)
+        found = np.zeros(len(polygons), dtype=bool)
+        found[owner[touching]] = True
+        return pa.array(found)
 
     # The code travels with the job, so executors need no copy of this package. Marked as not
     # deterministic, so that filters on the result do not make Spark evaluate it once more.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    batches.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(batches, BooleanType()).asNondeterministic()(rings)
+    contact.__annotations__ = {"polygons": pa.Array, "return": pa.Array}
+    return F.arrow_udf(contact, BooleanType()).asNondeterministic()(rings)
 
 
 def geometry_validity(polygons: DataFrame, long_rings: bool = True) -> DataFrame:

@@ -96,6 +96,24 @@ def brute_contact(points):
     return False
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_sweep_in_pieces(monkeypatch, at_once):
+    monkeypatch.setattr(op, "PAIRS_AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    seen = set()
+    for _ in range(200):
+        points = [tuple(int(v) for v in rng.integers(0, 12, 2)) for _ in range(rng.integers(4, 7))]
+        points = [p for i, p in enumerate(points) if p != points[i - 1]]
+        if len(points) < 4:
+            continue
+        a = np.array(points, dtype=float)
+        b = np.roll(a, -1, axis=0)
+        expected = brute_contact(points)
+        seen.add(expected)
+        assert op.sweep_self_contact(a[:, 0], a[:, 1], b[:, 0], b[:, 1]) == expected
+    assert seen == {True, False}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=4, max_size=9))
 def test_sweep_equals_all_pairs(points):
