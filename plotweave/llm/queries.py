@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
 from plotweave.session import configure
 
@@ -58,3 +59,32 @@ FROM placed
 """)
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_line_frequency", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT rid, i, ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2] AS g
+        FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+raw AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d)
+        WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+norm AS (SELECT rid, source, text, unnest(string_split(regexp_replace(regexp_replace(lower(text), '[0-9]', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS x FROM d),
+lines AS (SELECT DISTINCT rid, source, text, trim(x, ' ') AS x FROM norm WHERE trim(x, ' ') <> ''),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+common AS (SELECT l.source, x FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
+           GROUP BY l.source, x HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) * 1000 > any_value(n) * 5),
+per AS (SELECT rid, sum(len(string_split(l.x, ' ')))::BIGINT AS line_words,
+               coalesce(sum(len(string_split(l.x, ' '))) FILTER (WHERE c.x IS NOT NULL), 0)::BIGINT AS removed_words
+        FROM lines l LEFT JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.x = c.x GROUP BY rid),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+             coalesce(raw.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+             coalesce(line_words, 0)::BIGINT AS line_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+      FROM w LEFT JOIN raw USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN per USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 100 * (line_words - removed_words) >= 30 * line_words AS kept FROM f
+""")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"))
