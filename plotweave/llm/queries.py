@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
 from plotweave.session import configure
@@ -17,9 +18,15 @@ LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with batches small enough for whole texts of any length."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return spark
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
-        LLM_QUERIES[name] = lambda spark, sf_dir: build(configure(spark), sf_dir)
+        LLM_QUERIES[name] = lambda spark, sf_dir: build(prepared(spark), sf_dir)
         if sql is not None:
             LLM_ORACLES[name] = sql
         return build
@@ -88,3 +95,20 @@ SELECT *, NOT base_failed AND 100 * (line_words - removed_words) >= 30 * line_wo
 """)
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op3_hyperminhash", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END AS s
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
+          JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = d.doc_id
+""")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
