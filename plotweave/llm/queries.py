@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
+from plotweave.llm.pii import find_personal_data, personal_digest
+from plotweave.llm.secrets import find_secrets, secrets_digest
 from plotweave.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +114,13 @@ FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = d.doc_id
 """)
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query("op1_personal_data")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op10_markov_secrets")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(find_secrets(table(spark, sf_dir, "documents")))
