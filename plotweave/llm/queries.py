@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
 from plotweave.llm.pii import find_personal_data, personal_digest
 from plotweave.llm.secrets import find_secrets, secrets_digest
+from plotweave.llm.winnow import repeated_lines
 from plotweave.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +126,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_markov_secrets")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op7_winnow_lines")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("lines").cast("bigint").alias("n_removed"), F.col("n_words").alias("n_removed_words"),
+                        F.array_join(F.transform("lines", lambda i: i.cast("string")), ",").alias("removed_lines"))

@@ -49,3 +49,40 @@ def joined(spans):
 
 def sha(spans):
     return hashlib.sha256(joined(spans).encode()).hexdigest()
+
+
+def repeated_lines(docs, least=50):
+    """doc key -> numbers of lines to remove, for {(doc_id, order): text} in document order."""
+    rows = {}
+    for key in sorted(docs):
+        kept = [(p, " ".join(words(x))) for p, x in enumerate((docs[key] or "").split("\n")) if words(x)]
+        rows[key] = kept
+    windows, first = {}, {}
+    for key, lines in rows.items():
+        windows[key] = []
+        for i in range(len(lines)):
+            n, j = 0, i
+            while j < len(lines) and n < least:
+                n += len(lines[j][1].split(" "))
+                j += 1
+            if n >= least:
+                content = tuple(x for _, x in lines[i:j])
+                windows[key].append((i, content))
+                first.setdefault(content, (key, i))
+    removed = {}
+    for key, lines in rows.items():
+        gone, last = set(), {}
+        for i, content in windows[key]:
+            source = (key, last[content]) if content in last else first[content]
+            last[content] = i
+            if source == (key, i):
+                continue
+            other, i0 = rows[source[0]], source[1]
+            d, a, b = i - i0, i, i
+            while a - 1 >= 0 and a - 1 - d >= 0 and lines[a - 1][1] == other[a - 1 - d][1]:
+                a -= 1
+            while b + 1 < len(lines) and b + 1 - d < len(other) and lines[b + 1][1] == other[b + 1 - d][1]:
+                b += 1
+            gone |= set(range(a, b + 1))
+        removed[key] = sorted(lines[i][0] for i in gone)
+    return removed
