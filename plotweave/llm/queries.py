@@ -12,6 +12,7 @@ from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
 from plotweave.llm.pii import find_personal_data, personal_digest
+from plotweave.llm.quality import fit_quality, in_held_out, with_quality
 from plotweave.llm.secrets import find_secrets, secrets_digest
 from plotweave.llm.winnow import repeated_lines
 from plotweave.session import configure
@@ -133,3 +134,15 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", F.size("lines").cast("bigint").alias("n_removed"), F.col("n_words").alias("n_removed_words"),
                         F.array_join(F.transform("lines", lambda i: i.cast("string")), ",").alias("removed_lines"))
+
+
+#: Least score of documents that pass.
+LEAST_QUALITY = 0.3
+
+
+@query("op5_quality_network")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = with_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "score",
+                         F.when(F.col("score") >= LEAST_QUALITY, 1).otherwise(0).alias("predicted"))
