@@ -14,6 +14,7 @@ from plotweave.llm.mixing import mix_sources
 from plotweave.llm.pii import find_personal_data, personal_digest
 from plotweave.llm.quality import fit_quality, in_held_out, with_quality
 from plotweave.llm.secrets import find_secrets, secrets_digest
+from plotweave.llm.toxicity import fit_toxicity, with_toxicity
 from plotweave.llm.winnow import repeated_lines
 from plotweave.session import configure
 
@@ -146,3 +147,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "score",
                          F.when(F.col("score") >= LEAST_QUALITY, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_toxicity_chain")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = with_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "p_severe", "p_mild", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
