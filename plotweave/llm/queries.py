@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
+from plotweave.llm.decontaminate import indexes_of, with_hits
 from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
@@ -154,3 +155,10 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = with_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "p_severe", "p_mild", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+@query("op6_benchmark_hits")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), indexes_of(table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", F.explode("hits").alias("h")).select(
+        "doc_id", "h.item_id", "h.score", "h.question", "h.answer", F.lit(True).alias("contaminated"))
