@@ -15,6 +15,7 @@ from plotweave.llm.mixing import mix_sources
 from plotweave.llm.pii import find_personal_data, personal_digest
 from plotweave.llm.quality import fit_quality, in_held_out, with_quality
 from plotweave.llm.secrets import find_secrets, secrets_digest
+from plotweave.llm.toolcalls import MESSAGE_SCHEMAS, link_calls, message_calls
 from plotweave.llm.toxicity import fit_toxicity, with_toxicity
 from plotweave.llm.winnow import repeated_lines
 from plotweave.session import configure
@@ -162,3 +163,8 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), indexes_of(table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", F.explode("hits").alias("h")).select(
         "doc_id", "h.item_id", "h.score", "h.question", "h.answer", F.lit(True).alias("contaminated"))
+
+
+@query("op9_tool_calls")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(*message_calls(table(spark, sf_dir, "conversations")), MESSAGE_SCHEMAS)
