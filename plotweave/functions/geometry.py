@@ -109,11 +109,14 @@ def unproject_mercator(x: Column, y: Column, zoom: float, center: tuple[float, f
 
 
 def tile_key(lng: Column, lat: Column, z: int) -> Column:
-    """Address of the map tile that holds a location; the outermost tiles absorb the rim."""
+    """Address of the map tile that holds a location; the outermost tiles absorb the rim.
+
+    The map ends at 85.06 degrees: latitudes beyond belong to the first and last row. Null places have null tiles.
+    """
     n = 2**z
-    x, y = _world(lng, lat, 0)
+    x, y = _world(lng, F.when(lat.isNotNull(), F.greatest(F.lit(-89.0), F.least(F.lit(89.0), lat))), 0)
     last = F.lit(n - 1).cast("bigint")
-    clamp = lambda c: F.least(F.greatest(F.floor(c / WORLD_PIXELS * n).cast("bigint"), F.lit(0).cast("bigint")), last)
+    clamp = lambda c: F.when(c.isNotNull(), F.least(F.greatest(F.floor(c / WORLD_PIXELS * n).cast("bigint"), F.lit(0).cast("bigint")), last))
     return F.struct(F.lit(z).alias("z"), clamp(x).alias("x"), clamp(y).alias("y"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotweave.functions import paths
 from plotweave.functions.text import blank_to_null, norm_text, strip
 from plotweave.plans.picking import priority_pick
-from plotweave.plans.skew import salted_join
+from plotweave.plans.skew import HOT_ROWS, salted_join
 
 
 def pdf_catalog_filter(manifest: DataFrame) -> DataFrame:
@@ -57,14 +57,14 @@ def first_by(df: DataFrame, key: str, order: str, *payload: str) -> DataFrame:
     return df.groupBy(key).agg(first).select(key, *[F.col(f"_first.{c}").alias(c) for c in payload])
 
 
-def hash_by_path(requests: DataFrame, manifest: DataFrame) -> DataFrame:
+def hash_by_path(requests: DataFrame, manifest: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hash of every requested map path, from the first manifest entry with that path; null if unknown.
 
     ``requests`` has ``path`` and whatever tells requests for the same path apart.
     """
     wanted = requests.withColumn("relpath", F.concat(F.lit(paths.MAPS_PREFIX), F.col("path")))
     known = first_by(manifest, "relpath", "ord", "md5")
-    return salted_join(wanted, known, ["relpath"], salt_by=requests.columns, how="left")
+    return salted_join(wanted, known, ["relpath"], salt_by=requests.columns, hot_rows=hot_rows, how="left")
 
 
 def candidate_paths(path: Column) -> Column:

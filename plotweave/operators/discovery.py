@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ CODES_PATTERNS = (
     "codes/land_development",
     "codes/unified_development",
 )
-# Character references resolved in text, ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Character references: decimal, hexadecimal, or a name of HTML 4.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 _INVISIBLE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 
@@ -36,12 +37,28 @@ def visible_html(html: Column) -> Column:
 
 def inner_text(html: Column) -> Column:
     """Text of a fragment: tags dropped, references resolved, white space collapsed."""
-    text = F.regexp_replace(html, "<[^>]*>", "")
-    for reference, char in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
+    text = resolve_references(F.regexp_replace(html, "<[^>]*>", ""))
     return strip(F.regexp_replace(text, f"{WHITE_SPACE}+", " "))
 
 
+def _character(reference: Column) -> Column:
+    """What one reference stands for; unknown names and numbers outside Unicode stay as written."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+    body = F.substr(reference, F.lit(2), F.length(reference) - 2)
+    digits = F.when(F.rlike(body, F.lit("^#[xX]")), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
+    code = F.when(F.startswith(body, F.lit("#")), digits.try_cast("int"))
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code.isNull(), F.coalesce(F.try_element_at(names, body), reference)).when(valid, character).otherwise(reference)
+
+
+def resolve_references(text: Column) -> Column:
+    """Text with its character references resolved, each once: ``&amp;lt;`` becomes ``&lt;``."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), found, lambda plain, ref: F.concat(plain, F.when(ref.isNull(), "").otherwise(_character(ref))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
 def html_headings(pages: DataFrame) -> DataFrame:
     """Headings h1 to h4 with text, in document order.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions.geometry import bilinear, corners_centroid, corners_flatten, corners_nest, round_corner
-from plotweave.plans.skew import salted_join
+from plotweave.plans.skew import HOT_ROWS, salted_join
 from plotweave.schemas import CORNER_COLUMNS
 
 LABEL_PAYLOAD = ("pdf_path", *CORNER_COLUMNS)
@@ -106,13 +105,12 @@ def labels_flat(nested: DataFrame) -> DataFrame:
     return nested.select("pdf_hash", "pdf_path", *corners_flatten(F.col("corners")))
 
 
-def labels_as_map(labels: DataFrame, per_map: int = 1000) -> DataFrame:
+def labels_as_map(labels: DataFrame, digits: int = 4) -> DataFrame:
     """Lookup maps hash -> label, one per hash prefix.
 
-    One map of all labels would have to fit one task. Hashes are unique and even, so a prefix just long
-    enough for the number of labels keeps each map at about ``per_map`` entries.
+    One map of all labels would have to fit one task. Hashes are unique and even, so a prefix of ``digits``
+    hexadecimal digits makes 16^digits maps of about equal size, the same keys whatever the table holds.
     """
-    digits = max(1, math.ceil(math.log(max(labels.count(), 1) / per_map, 16)))
     prefixed = labels_nested(labels).withColumn("prefix", F.substring("pdf_hash", 1, digits))
     entry = F.struct("pdf_hash", F.struct("pdf_path", "corners", "created_at", "updated_at"))
     return prefixed.groupBy("prefix").agg(F.map_from_entries(F.collect_list(entry)).alias("labels"))
@@ -146,8 +144,14 @@ def corners_bbox(labels: DataFrame, by: Sequence[str] | None = None) -> DataFram
 
 
 def _moved(labels: DataFrame, adjustments: DataFrame, move) -> DataFrame:
-    """Labels with corners replaced by ``move(axis, lng, lat)``; labels without adjustment stay."""
-    joined = labels.join(adjustments, "pdf_hash", "left")
+    """Labels with corners replaced by ``move(axis, lng, lat)``; labels without adjustment stay.
+
+    A label adjusted twice would have two places, so a repeated hash among the adjustments is an error.
+    """
+    counted = adjustments.groupBy("pdf_hash").agg(F.count("*").alias("_times"), *[F.first(c).alias(c) for c in adjustments.columns if c != "pdf_hash"])
+    twice = F.raise_error(F.concat(F.lit("more than one adjustment of label "), F.col("pdf_hash")))
+    single = counted.where(F.when(F.col("_times") > 1, twice.cast("boolean")).otherwise(F.lit(True))).drop("_times")
+    joined = labels.join(single, "pdf_hash", "left")
     changed = {}
     for corner in ("top_left", "top_right", "bottom_right", "bottom_left"):
         lng, lat = F.col(f"{corner}_lng"), F.col(f"{corner}_lat")
@@ -208,9 +212,9 @@ def rotate_corners(labels: DataFrame, angles: DataFrame) -> DataFrame:
     return _moved(labels, angles, move)
 
 
-def pixel_to_geo(points: DataFrame, labels: DataFrame, width: float, height: float) -> DataFrame:
+def pixel_to_geo(points: DataFrame, labels: DataFrame, width: float, height: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Locate points of a map sheet (``pdf_hash, px, py``) on the ground through the sheet's corners."""
     nested = labels.select("pdf_hash", corners_nest().alias("_corners"))
     at = bilinear(F.col("_corners"), F.col("px") / float(width), F.col("py") / float(height))
-    located = salted_join(points, nested, ["pdf_hash"], salt_by=points.columns).withColumn("_at", at)
+    located = salted_join(points, nested, ["pdf_hash"], salt_by=points.columns, hot_rows=hot_rows).withColumn("_at", at)
     return located.select(*points.columns, F.col("_at.lng").alias("lng"), F.col("_at.lat").alias("lat"))

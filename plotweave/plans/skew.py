@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a single task may take before the key is split.
 HOT_ROWS = 2_000_000
-#: Estimated bytes up to which one task could take a whole input, so no key of it can be too hot.
-SMALL_INPUT = 128 * 1024 * 1024
 #: Over how many salts rows without a key are dealt.
 KEYLESS_SALTS = 4096
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Upper estimate the planner has for a result, from file sizes and known row counts; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
                 hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
     """Equi-join in which keys with more than ``hot_rows`` left rows are split over several tasks.
@@ -29,12 +22,10 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     together); the salt is a hash of them, so a recomputed task deals the rows out the same way. Only right rows of hot keys are copied.
     The table of hot keys holds at most ``rows / hot_rows`` entries, whatever the data looks like,
     which is why it may be broadcast. Left rows without a key match nothing, so in a left join they are
-    dealt out freely. A left side small enough for one task is joined plainly.
+    dealt out freely. The plan is the same for inputs of every size: what is hot is counted, not estimated.
     """
     if how not in ("inner", "left"):
         raise ValueError("a salted join copies right rows, so it supports inner and left joins only")
-    if estimated_bytes(left) <= SMALL_INPUT:
-        return left.join(right, list(keys), how)
     hot = (
         left.groupBy(*keys).agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > hot_rows)

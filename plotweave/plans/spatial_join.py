@@ -21,7 +21,7 @@ def _cell(value: Column, level: Column) -> Column:
 def leveled(sized: DataFrame) -> DataFrame:
     """Shapes with a ``_box`` and the grid level that suits its size: cells as large as the larger side."""
     side = F.greatest(F.col("_box.max_x") - F.col("_box.min_x"), F.col("_box.max_y") - F.col("_box.min_y"))
-    return sized.withColumn("_level", F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int"))
+    return sized.where("_box.min_x IS NOT NULL AND _box.min_y IS NOT NULL").withColumn("_level", F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int"))
 
 
 def box_cells(shapes: DataFrame) -> DataFrame:

@@ -157,6 +157,20 @@ def _(spark, sf):
     return found.select("request_id", "path", "md5")
 
 
+# A third of all requests ask for one path; a low ``hot_rows`` splits it over several tasks.
+_HOT = "(SELECT request_id, CASE WHEN request_id % 3 = 0 THEN (SELECT min(path) FROM {requests} AS s) ELSE path END AS path FROM {requests} AS t)"
+
+
+@query("hash_by_path_hot", f"""
+    SELECT r.request_id, r.path, f.md5 FROM {_HOT} AS r LEFT JOIN {_FIRST} AS f ON f.relpath = 'maps/' || r.path""")
+def _(spark, sf):
+    requests = frame(spark, sf, "requests").select("request_id", "path")
+    one = requests.agg(F.min("path").alias("_one"))
+    asked = requests.join(F.broadcast(one)).select("request_id", F.when(F.col("request_id") % 3 == 0, F.col("_one")).otherwise(F.col("path")).alias("path"))
+    found = op.hash_by_path(asked, frame(spark, sf, "manifest"), hot_rows=50)
+    return found.select("request_id", "path", "md5")
+
+
 @query("document_url", f"""
     SELECT r.request_id, f.md5 AS hash, '/api/pdf/' || r.path AS url
     FROM {{requests}} AS r JOIN {_FIRST} AS f ON f.relpath = 'maps/' || r.path""")
@@ -311,9 +325,12 @@ def _(spark, sf):
 
 
 @query("corpus_size", """
-    SELECT CAST(sum(n_chars) AS BIGINT) AS total_bytes, count(*) AS n_files FROM {documents}""")
+    SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes, count(DISTINCT lang) AS n_files FROM {documents}""")
 def _(spark, sf):
-    return op.corpus_size(table(spark, sf, "documents").select(F.col("n_chars").alias("length")))
+    path = staging_path(spark, "texts")
+    # One file per language; what is summed afterwards are lengths of files.
+    table(spark, sf, "documents").select("text", "lang").repartition("lang").write.partitionBy("lang").text(path)
+    return op.corpus_size(landed.object_metadata(spark, path, "*.txt"))
 
 
 @query("metadata_sink", """

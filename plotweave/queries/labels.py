@@ -236,6 +236,21 @@ def _(spark, sf):
     return located.select("doc_id", "px", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
 
 
+@query("pixel_to_geo_hot", f"""
+    SELECT doc_id, px, {_blend('lng')} AS lng, {_blend('lat')} AS lat
+    FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN (SELECT min(pdf_hash) FROM {{geolabels}} AS g) ELSE md5(text) END AS pdf_hash,
+                 doc_id, px, px / 997e0 AS u, CAST(doc_id % 500 AS DOUBLE) / 491e0 AS v
+          FROM {{documents}}, (VALUES (100e0), (750e0)) AS x(px)) AS p JOIN {{geolabels}} AS l USING (pdf_hash)""")
+def _(spark, sf):
+    sheets = geolabels(spark, sf)
+    one = sheets.agg(F.min("pdf_hash").alias("_one"))
+    # A third of all points lie on one sheet, which a low ``hot_rows`` splits over several tasks.
+    points = _sheet_points(spark, sf).join(F.broadcast(one)).withColumn(
+        "pdf_hash", F.when(F.col("doc_id") % 3 == 0, F.col("_one")).otherwise(F.col("pdf_hash"))).drop("_one")
+    located = op.pixel_to_geo(points, sheets, 997, 491, hot_rows=50)
+    return located.select("doc_id", "px", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
+
+
 _WORLD = 512 * 2**10
 
 

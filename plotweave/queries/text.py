@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from plotweave.fixtures import frame, table
 from plotweave.functions import paths, text, urls
 from plotweave.operators import discovery as disc
-from plotweave.plans.spread import spread
 from plotweave.queries.registry import query
 
 # The checking engine's form of Unicode white space.
@@ -25,17 +24,17 @@ _TITLE = _strip(r"regexp_replace(text, '[^\p{L}\p{N}_\t-\r\x1c-\x20-]', '', 'g')
 @query("norm_text", """
     SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '<space>+', ' ', 'g'))) AS text FROM {dirty} AS d""", space=_SPACE)
 def _(spark, sf):
-    return spread(frame(spark, sf, "dirty")).select("doc_id", text.norm_text(F.col("text")).alias("text"))
+    return frame(spark, sf, "dirty").select("doc_id", text.norm_text(F.col("text")).alias("text"))
 
 
 @query("clean_text", "SELECT doc_id, <clean> AS text FROM {dirty} AS d", clean=_CLEAN)
 def _(spark, sf):
-    return spread(frame(spark, sf, "dirty")).select("doc_id", text.clean_text(F.col("text")).alias("text"))
+    return frame(spark, sf, "dirty").select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
 @query("safe_title", "SELECT doc_id, replace(<title>, ' ', '_') AS title FROM {documents}", title=_TITLE)
 def _(spark, sf):
-    return spread(table(spark, sf, "documents")).select("doc_id", text.safe_title(F.col("text")).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", text.safe_title(F.col("text")).alias("title"))
 
 
 @query("slugify", "SELECT p_partkey, replace(lower(p_name), ' ', '-') AS slug FROM {part}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotweave import schemas
@@ -13,18 +13,22 @@ from plotweave.plans.once import with_once
 def manifest_scan(spark: SparkSession, path: str) -> DataFrame:
     """A manifest: one file with a JSON array, or a folder of numbered shards of one.
 
-    ``ord`` is the place in the manifest (shard number first), which decides what "first match" means.
+    ``ord`` is the place in the manifest, which decides what "first match" means: files in the order of their
+    paths, numbers in them taken as numbers (part 10 after part 2), then entries of a file.
     A JSON array cannot be split, so one shard is one task; a large manifest should come in shards.
     """
-    numbers = [
-        F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("bigint")
-        for pattern in (r"/shard=(\d+)/", r"(\d+)\.[^./]*$")
-    ]
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.coalesce(*numbers, F.lit(0).cast("bigint")).alias("shard"),
+        F.col("_metadata.file_path").alias("file"),
         F.from_json("value", schemas.MANIFEST_ARRAY, {"mode": "FAILFAST"}).alias("entries"),
     )
-    entries = files.select("shard", F.posexplode("entries").alias("pos", "entry"))
+    # Numbers padded to twenty digits sort as numbers do. One row per file, so ranking them is little work.
+    padded = F.array_join(F.transform(
+        F.regexp_extract_all("file", F.lit(r"\d+|\D+"), F.lit(0)),
+        lambda part: F.when(F.rlike(part, F.lit(r"^\d")), F.lpad(part, 20, "0")).otherwise(part)), "")
+    numbered = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.col("_metadata.file_path").alias("file")).select(
+        "file", (F.row_number().over(Window.orderBy(padded, "file")) - 1).cast("bigint").alias("shard"))
+    entries = files.join(numbered, "file").select("shard", F.posexplode("entries").alias("pos", "entry"))
     place = F.shiftleft(F.col("shard"), 32) + F.col("pos")
     return entries.select("entry.md5", "entry.relpath", place.alias("ord"))
 

@@ -45,6 +45,16 @@ def _state(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path) if _exists(spark, path) else spark.createDataFrame([], STATE_SCHEMA)
 
 
+def _check_buckets(spark: SparkSession, table: str, buckets: int) -> None:
+    """Note the bucket count with a new table; refuse another one later, which would look for hashes in the wrong places."""
+    note = f"{table.rstrip('/')}/_buckets"
+    if not _exists(spark, f"{note}/_SUCCESS"):
+        spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(note)
+    noted = spark.read.schema("buckets INT").json(note).first()["buckets"]
+    if noted != buckets:
+        raise ValueError(f"{table} has {noted} buckets, not {buckets}")
+
+
 def merge_changes(state: DataFrame, changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """State after the changes: per hash the later of stored and new, by (time, event id).
 
@@ -79,9 +89,12 @@ def apply_batch(changes: DataFrame, batch_id: int, table: str, copies: str, buck
     Only the buckets the batch touches are read and rewritten. The merged buckets are first written
     aside in full, then moved into the table by a dynamic overwrite: if a run dies in between, the
     repeated batch finds its complete copy and only moves it again. ``copies`` is the folder for them; it
-    belongs to one run of batch numbers, so it lives and dies with the stream's checkpoint.
+    belongs to one run of batch numbers, so it lives and dies with the stream's checkpoint. Changes without a hash name
+    no label and are left out.
     """
     spark = changes.sparkSession
+    _check_buckets(spark, table, buckets)
+    changes = changes.where(F.col("pdf_hash").isNotNull())
     staged = f"{copies.rstrip('/')}/batch_id={batch_id}"
     if not _exists(spark, f"{staged}/_SUCCESS"):
         last = latest_label(changes).withColumn("bucket", _bucket(buckets)).persist()

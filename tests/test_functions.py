@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import geometry as geo
 from plotweave.functions import paths, text, urls
+from plotweave.operators import discovery as disc
 
 
 def value(spark, expression, **columns):
@@ -175,3 +176,15 @@ def test_tile_key(spark, lng, lat, expected):
 
 def test_bbox_reorder(spark):
     assert value(spark, geo.bbox_reorder(F.col("b")), b=("ARRAY<DOUBLE>", [1.0, 2.0, 3.0, 4.0])) == [[3.0, 1.0], [4.0, 2.0]]
+
+
+def test_character_references_are_resolved_once(spark):
+    texts = [("a&#x27;b&#8212;c&copy;d", "a'b\u2014c\u00a9d"), ("&amp;lt;", "&lt;"), ("&nosuch; & &#1114112; &#xD800;", "&nosuch; & &#1114112; &#xD800;"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "t STRING")
+    assert [r[0] for r in df.select(disc.resolve_references(F.col("t"))).collect()] == [want for _, want in texts]
+
+
+def test_tiles_of_poles_and_nulls(spark):
+    df = spark.createDataFrame([(0.0, -90.0), (0.0, 90.0), (0.0, None), (None, 1.0)], "lng DOUBLE, lat DOUBLE")
+    got = [(r.k.x, r.k.y) for r in df.select(geo.tile_key(F.col("lng"), F.col("lat"), 3).alias("k")).collect()]
+    assert got[0] == (4, 7) and got[1] == (4, 0) and got[2] == (4, None) and got[3][0] is None

@@ -80,7 +80,7 @@ def test_progress_counts_orphans_apart(spark, sf):
 
 def test_lookup_maps_stay_small(spark, sf):
     labels = geolabels(spark, sf)
-    maps = op.labels_as_map(labels, per_map=5)
+    maps = op.labels_as_map(labels, digits=2)
     sizes = [r[0] for r in maps.select(F.size("labels")).collect()]
     assert sum(sizes) == labels.count() and max(sizes) < 30
 
@@ -173,3 +173,11 @@ def test_gazetteer(spark):
 def test_unreadable_coordinates(spark):
     df = spark.createDataFrame([("1.5", "x", ["1", "", "3", "4"])], "lat STRING, lon STRING, bbox ARRAY<STRING>")
     assert tuple(cat.parse_coordinates(df).first()) == (1.5, None, [1.0, None, 3.0, 4.0])
+
+
+def test_two_adjustments_of_one_label_are_an_error(spark):
+    label = spark.createDataFrame([("h", *[1.0] * 8)], "pdf_hash STRING, " + ", ".join(f"{c} DOUBLE" for c in CORNER_COLUMNS))
+    moves = spark.createDataFrame([("h", 1.0, 1.0), ("h", 2.0, 2.0)], "pdf_hash STRING, dx DOUBLE, dy DOUBLE")
+    with pytest.raises(Exception, match="more than one adjustment"):
+        op.translate_corners(label, moves).collect()
+    assert op.translate_corners(label, moves.limit(1)).count() == 1

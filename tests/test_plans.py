@@ -11,7 +11,6 @@ from plotweave.operators.geometry import nearest_anchor, nearest_rect_handle
 from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_lag, ordered_row_number
 from plotweave.plans.picking import priority_pick
-from plotweave.plans import skew
 from plotweave.plans.skew import salted_join
 from plotweave.plans.spatial_join import point_in_polygon, radius_join
 
@@ -24,12 +23,6 @@ def rows(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-@pytest.fixture
-def salting(monkeypatch):
-    """Salt even inputs that fit one task."""
-    monkeypatch.setattr(skew, "SMALL_INPUT", 0)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     """A third of all rows under one key, and some without key."""
@@ -73,7 +66,7 @@ def test_priority_pick_limits_before_the_shuffle(skewed):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_join(spark, salting, skewed, how):
+def test_salted_join_equals_join(spark, skewed, how):
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")).unionByName(
         spark.createDataFrame([(0, 777)], "k BIGINT, w BIGINT"))
     plain = skewed.join(right, ["k"], how)
@@ -81,7 +74,7 @@ def test_salted_join_equals_join(spark, salting, skewed, how):
     assert rows(ours, "id", "k", "w") == rows(plain, "id", "k", "w")
 
 
-def test_rows_without_key_are_spread(spark, salting):
+def test_rows_without_key_are_spread(spark):
     """Half of the rows have no key; a left join must not send them all to one task."""
     left = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))
     right = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("w"))
@@ -96,12 +89,26 @@ def test_rows_without_key_are_spread(spark, salting):
     assert sum(shares) == 8000 and max(shares) < 2000
 
 
-def test_small_input_is_joined_plainly(spark, sf):
-    """The planner knows the size of files, so no key is counted for a small one."""
+def test_keys_are_counted_whatever_the_size(spark, sf):
+    """One plan for inputs of every size: an exploded left side looks small to the planner and is not."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     customers = spark.read.parquet(f"{sf}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
-    assert skew.estimated_bytes(orders) < skew.SMALL_INPUT
-    assert "Aggregate" not in plan(salted_join(orders, customers, ["o_custkey"], ["o_orderkey"]))
+    assert "Aggregate" in plan(salted_join(orders, customers, ["o_custkey"], ["o_orderkey"]))
+
+
+def test_hot_key_is_split(spark):
+    """A key with a third of the rows ends up in several tasks."""
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    right = spark.range(6000).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = salted_join(left, right, ["k"], salt_by=["id"], hot_rows=100)
+        tasks = joined.where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in tasks) == 2000 and len(tasks) > 4 and max(r["count"] for r in tasks) < 1000
 
 
 def test_expression_is_evaluated_once(spark):
@@ -155,7 +162,7 @@ def scene(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_point_in_polygon_equals_nested_loop(salting, scene, hot_rows):
+def test_point_in_polygon_equals_nested_loop(scene, hot_rows):
     points_df, shapes_df, points, shapes = scene
     expected = sorted((p, s) for p, x, y in points for s, rings in shapes if sum(crossings(r, x, y) for r in rings) % 2)
     assert len(expected) > 500
@@ -186,7 +193,7 @@ def test_point_in_polygon_joins_on_cells(scene):
 
 
 @pytest.mark.parametrize("hot_rows", [5, 1_000_000])
-def test_radius_join_equals_nested_loop(spark, salting, hot_rows):
+def test_radius_join_equals_nested_loop(spark, hot_rows):
     rng = random.Random(3)
     points = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(300)] + [(900 + i, 1.0, 2.0) for i in range(50)]
     anchors = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(80)] + [(99, 5.0, 5.0)]

@@ -289,3 +289,11 @@ def test_landed_and_live_pages_agree(spark, tmp_path):
     pages.write.json(str(tmp_path / "pages"))
     again = landed.feature_page_scan(spark, str(tmp_path / "pages"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pages.collect()))
+
+
+def test_manifest_parts_are_numbered_by_path(spark, tmp_path):
+    """Part files of a Spark job end in the same digits; their order is that of their names, numbers as numbers."""
+    for name, md5 in (("part-00002-x-c000.json", "c"), ("part-00000-x-c000.json", "a"), ("part-00001-x-c000.json", "b"), ("part-10-x.json", "d")):
+        (tmp_path / name).write_text(json.dumps([{"md5": md5, "relpath": "p"}]))
+    read = landed.manifest_scan(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.md5 for r in read] == ["a", "b", "c", "d"] and len({r.ord for r in read}) == 4

@@ -169,3 +169,16 @@ def test_landing_drops_redelivery_over_runs(spark, tmp_path, salts):
     spark.createDataFrame([("a", at(5)), ("c", at(6))], schema).write.mode("append").parquet(source)
     run()
     assert sorted(r.md5 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_another_bucket_count_is_refused(spark, tmp_path):
+    """With other buckets a hash would be looked for in the wrong place and end up twice."""
+    table, copies = str(tmp_path / "t"), str(tmp_path / "c")
+    row = ("e1", "p") + tuple(float(i) for i in range(8))
+    columns = "pdf_hash STRING, pdf_path STRING, " + ", ".join(f"{c} DOUBLE" for c in CORNER_COLUMNS)
+    changes = spark.createDataFrame([row, (None, *row[1:])], columns).select(
+        F.lit(1).cast("bigint").alias("event_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit("save").alias("op"), "*")
+    lab.apply_batch(changes, 0, table, copies, buckets=8)
+    assert [r.pdf_hash for r in lab.label_table(spark, table).collect()] == ["e1"]
+    with pytest.raises(ValueError, match="8 buckets"):
+        lab.apply_batch(changes, 1, table, copies, buckets=64)
