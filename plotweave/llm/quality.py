@@ -220,7 +220,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
         .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     )
     # At most sample_rows ids and labels: a bounded table, small enough for every task.
-    labelled = docs.join(F.broadcast(sample), docs[doc_id] == sample["_id"]).select("_id", "_label", tokens_of(F.col(text)).alias("tokens"))
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    labelled = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", tokens_of(F.col("_text")).alias("tokens"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

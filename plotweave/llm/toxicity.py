@@ -137,7 +137,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     # At most sample_rows ids per class: a bounded table, small enough for every task.
     sample = known.where("_label = 1").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).union(
         known.where("_label = 0").orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
-    labelled = docs.join(F.broadcast(sample), docs[doc_id] == sample["_id"]).select("_id", "_label", marks_of(F.col(text)).alias("marks"))
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    labelled = own.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", marks_of(F.col("_text")).alias("marks"))
     rows = labelled.orderBy(F.xxhash64("_id"), "_id", F.size("marks")).limit(2 * sample_rows).toArrow()
     lists = rows.column("marks").combine_chunks()
     toxic = rows.column("_label").to_numpy().astype(np.float64)

@@ -86,3 +86,25 @@ def repeated_lines(docs, least=50):
             gone |= set(range(a, b + 1))
         removed[key] = sorted(lines[i][0] for i in gone)
     return removed
+
+
+def components(docs, k, percent=80):
+    """doc_id -> smallest id reachable over pairs that are similar enough, from all pairs."""
+    sets = {}
+    for d, t in docs.items():
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in words(t)]
+        sets[d] = {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    name = {d: d for d in docs}
+
+    def top(d):
+        while name[d] != d:
+            d = name[d]
+        return d
+
+    for a in docs:
+        for b in docs:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                name[y] = x
+    return {d: top(d) for d in docs}
