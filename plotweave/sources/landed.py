@@ -36,50 +36,93 @@ def manifest_scan(spark: SparkSession, path: str) -> DataFrame:
 def geojson_scan(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """One row per feature of stored collections: ``source, pos, type, geometry, properties``.
 
-    Collections are one per line by default, which splits; ``multiline`` reads one per file.
+    Collections are one per line by default, which splits; ``multiline`` reads one per file, in any layout. What
+    is no collection fails the read; :func:`collection_rejects` lists such texts instead.
     """
-    lines = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("source"), "value")
-    return collection_features(lines)
+    return collection_features(collection_texts(spark, path, multiline))
 
 
-def geojson_split_scan(spark: SparkSession, path: str, opening: str = '{"type":"Feature",') -> DataFrame:
+def collection_texts(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``source, value``: the texts :func:`geojson_scan` parses; blank ones are no texts."""
+    texts = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("source"), "value")
+    return texts.where(F.trim("value") != "")
+
+
+def geojson_split_scan(spark: SparkSession, path: str) -> DataFrame:
     """Features of collections too large for one task: ``source, geometry, properties``.
 
-    Files are cut where a feature opens, exactly as the exporter writes it, so that many tasks read one
-    file and each parses single features. There is no place in the file, as no task sees the whole.
+    Files are cut at the word that names a feature's type, so that many tasks read one file and each parses single
+    features, compact, spaced or indented. That needs the type to be the first member of a feature, as writers put
+    it. A piece without geometry or properties, cut short or in another order fails the read; such files
+    are read whole (:func:`geojson_scan`). There is no place in the file, as no task sees the whole.
     """
-    pieces = spark.read.option("lineSep", opening).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    kind = '"Feature"'
+    pieces = spark.read.option("lineSep", kind).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
     # What precedes the first feature is the head of the collection. What follows a feature up to the next
     # one (a comma, or the end of the collection) is behind the closed object, where the parser stops.
-    features = pieces.where(~F.startswith(F.ltrim("value"), F.lit("{")))
-    parsed = with_once(features, "f", F.from_json(F.concat(F.lit(opening), "value"), schemas.FEATURE))
-    return parsed.select("source", "f.geometry", "f.properties")
+    head = F.startswith(F.ltrim("value"), F.lit("{"))
+    nothing = F.rlike("value", F.lit(r'"features"\s*:\s*\[\s*\]'))
+    cut = pieces.where(~head | ~F.rlike("value", F.lit(r'\{\s*"type"\s*:\s*$')) & ~nothing)
+    piece = F.when(head, F.col("value")).otherwise(F.concat(F.lit('{"type":' + kind), "value"))
+    parsed = with_once(cut.select("source", piece.alias("piece")), "f", F.from_json(
+        "piece", "type STRING, geometry STRING, properties STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
+    members = F.json_object_keys("piece")
+    whole = (F.col("f.type") == "Feature") & F.col("f._bad").isNull() & F.array_contains(members, "geometry") & F.array_contains(members, "properties")
+    failed = F.raise_error(F.concat(F.lit("not a feature with its type first in "), F.col("source"), F.lit(": "), F.substring("piece", 1, 80)))
+    checked = parsed.where(F.when(F.coalesce(whole, F.lit(False)), F.lit(True)).otherwise(failed.cast("boolean")))
+    return with_once(checked, "g", F.from_json("piece", schemas.FEATURE)).select("source", "g.geometry", "g.properties")
 
 
-def collection_features(lines: DataFrame) -> DataFrame:
-    parsed = lines.withColumn("doc", F.from_json("value", schemas.FEATURE_COLLECTION))
-    return parsed.select("source", F.posexplode("doc.features").alias("pos", "f")).select(
-        "source", "pos", "f.geometry", "f.properties"
-    )
+def _parsed_collections(texts: DataFrame) -> DataFrame:
+    """Texts with ``doc`` and ``reason``, null for a collection."""
+    schema = f"{schemas.FEATURE_COLLECTION}, _bad STRING"
+    parsed = with_once(texts, "doc", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    reason = F.when(F.trim("value") == "", "blank").when(F.col("doc").isNull() | F.col("doc._bad").isNotNull(), "no JSON").when(
+        F.col("doc.error").isNotNull(), F.concat(F.lit("service error: "), F.col("doc.error"))).when(F.col("doc.features").isNull(), "no features")
+    return parsed.withColumn("reason", reason)
+
+
+def collection_features(texts: DataFrame) -> DataFrame:
+    """Features of collections; a text that is none fails the read."""
+    failed = F.raise_error(F.concat(F.lit("not a collection in "), F.col("source"), F.lit(": "), F.col("reason")))
+    checked = _parsed_collections(texts).withColumn("features", F.when(F.col("reason").isNull(), F.col("doc.features")).otherwise(failed))
+    return checked.select("source", F.posexplode("features").alias("pos", "f")).select("source", "pos", "f.geometry", "f.properties")
+
+
+def collection_rejects(texts: DataFrame) -> DataFrame:
+    """``source, reason, value`` of the texts that are no collection."""
+    return _parsed_collections(texts).where("reason IS NOT NULL").select("source", "reason", "value")
 
 
 def feature_lines_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Newline-delimited features, the form the sink writes."""
-    parsed = spark.read.text(path).select(F.from_json("value", schemas.FEATURE).alias("f"))
-    return parsed.select("f.geometry", "f.properties")
+    """Newline-delimited features, the form the sink writes. A line that is no feature fails the read."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = with_once(lines, "f", F.from_json("value", schemas.FEATURE))
+    failed = F.raise_error(F.concat(F.lit("no feature: "), F.substring("value", 1, 80)))
+    return parsed.where(F.when(F.col("f.type") == "Feature", F.lit(True)).otherwise(failed.cast("boolean"))).select("f.geometry", "f.properties")
+
+
+def _judged_pages(spark: SparkSession, path: str) -> DataFrame:
+    pages = spark.read.schema(schemas.LANDED_PAGE).json(path).withColumn("value", F.coalesce("body", F.lit("")))
+    status = F.when(F.col("status") >= 400, F.concat(F.lit("status "), F.col("status")))
+    return _parsed_collections(pages).withColumn("reason", F.coalesce(status, F.col("reason")))
 
 
 def geojson_page_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Features of landed GeoJSON pages (one response per line). A response with an error fails the read."""
-    pages = spark.read.schema(schemas.LANDED_PAGE).json(path)
-    parsed = with_once(pages, "doc", F.from_json("body", schemas.FEATURE_COLLECTION))
-    failed = F.raise_error(F.concat(F.lit("service error: "), F.col("doc.error")))
-    checked = parsed.withColumn("features", F.when(F.col("doc.error").isNull(), F.col("doc.features")).otherwise(failed))
+    """Features of landed GeoJSON pages (one response per line). A page with an error status, a service error or an
+    unreadable body fails the read; :func:`geojson_page_rejects` lists such pages instead."""
+    failed = F.raise_error(F.concat_ws(" ", F.lit("page of layer"), "layer_id", F.lit("is unusable:"), "reason"))
+    checked = _judged_pages(spark, path).withColumn("features", F.when(F.col("reason").isNull(), F.col("doc.features")).otherwise(failed))
     return checked.select("layer_id", "page_no", F.posexplode("features").alias("pos", "f")).select(
         "layer_id", "page_no", "pos", "f.geometry", "f.properties"
     )
 
 
+def geojson_page_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``layer_id, page_no, status, reason`` of landed pages without usable features."""
+    return _judged_pages(spark, path).where("reason IS NOT NULL").select("layer_id", "page_no", "status", "reason")
+
+
 def page_crs(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate system of each layer as its last page names it; null when that page has none."""
     pages = spark.read.schema(schemas.LANDED_PAGE).json(path)

@@ -297,3 +297,51 @@ def test_manifest_parts_are_numbered_by_path(spark, tmp_path):
         (tmp_path / name).write_text(json.dumps([{"md5": md5, "relpath": "p"}]))
     read = landed.manifest_scan(spark, str(tmp_path)).orderBy("ord").collect()
     assert [r.md5 for r in read] == ["a", "b", "c", "d"] and len({r.ord for r in read}) == 4
+
+
+COLLECTION = {"type": "FeatureCollection", "features": [
+    {"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 2.5]}, "properties": {"id": i, "deep": {"a": [i]}}} for i in range(20)]}
+
+
+@pytest.mark.parametrize("layout", [{}, {"separators": (",", ":")}, {"indent": 2}])
+def test_collections_in_any_layout(spark, tmp_path, layout):
+    (tmp_path / "c.json").write_text(json.dumps(COLLECTION, **layout))
+    split = landed.geojson_split_scan(spark, str(tmp_path)).collect()
+    whole = landed.geojson_scan(spark, str(tmp_path), multiline=True).collect()
+    assert sorted(int(r.properties["id"]) for r in split) == sorted(int(r.properties["id"]) for r in whole) == list(range(20))
+    assert {json.loads(r.geometry.coordinates)[0] for r in split} == set(range(20))
+
+
+def test_other_key_order_is_read_whole_or_fails(spark, tmp_path):
+    turned = {"features": [dict(reversed(f.items())) for f in COLLECTION["features"]], "type": "FeatureCollection"}
+    (tmp_path / "c.json").write_text(json.dumps(turned))
+    assert landed.geojson_scan(spark, str(tmp_path)).count() == 20
+    with pytest.raises(Exception, match="type first"):
+        landed.geojson_split_scan(spark, str(tmp_path)).collect()
+
+
+def test_nothing_is_dropped_in_silence(spark, tmp_path):
+    text = json.dumps(COLLECTION)
+    for name, body in (("indented", json.dumps(COLLECTION, indent=1)), ("short", text[:-150]), ("html", "<html>no</html>"), ("other", "{}")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "c.json").write_text(body)
+        with pytest.raises(Exception, match="not a collection"):
+            landed.geojson_scan(spark, str(folder)).collect()
+        assert landed.collection_rejects(landed.collection_texts(spark, str(folder))).count() > 0
+        if name != "indented":
+            with pytest.raises(Exception, match="type first"):
+                landed.geojson_split_scan(spark, str(folder)).collect()
+    (tmp_path / "empty.json").write_text('{"type": "FeatureCollection", "features": []}')
+    assert landed.geojson_split_scan(spark, str(tmp_path / "empty.json")).count() == 0
+    assert landed.geojson_scan(spark, str(tmp_path / "empty.json")).count() == 0
+
+
+def test_bad_pages_fail_or_are_listed(spark, tmp_path):
+    page = lambda n, status, body: json.dumps({"layer_id": 0, "layer_name": "a", "page_no": n, "status": status, "body": body})
+    pages = [page(0, 200, json.dumps(COLLECTION)), page(1, 500, "<html>"), page(2, 200, ""), page(3, 200, "<html>"), page(4, 200, '{"error":{"code":1}}')]
+    (tmp_path / "p.json").write_text("\n".join(pages))
+    with pytest.raises(Exception, match="unusable"):
+        landed.geojson_page_scan(spark, str(tmp_path)).collect()
+    rejects = {r.page_no: r.reason for r in landed.geojson_page_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {1: "status 500", 2: "blank", 3: "no JSON", 4: 'service error: {"code":1}'}
