@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sources written in Python may take filters, such as the layer of a feature service.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Geometry and markup cost far more per byte than plain rows, so small partitions stay apart.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Sessions of a hot key are merged before the shuffle, not only after it.

@@ -1,6 +1,6 @@
-"""A paged feature service as a batch source: ``spark.read.format("feature_service")``.
+"""A feature service as a batch source: ``spark.read.format("feature_service")``.
 
-Each page is fetched by a task of its own and comes back as landed text. How a URL is fetched is given
+A task fetches a block of pages, and they come back as landed text. How a URL is fetched is given
 by the caller (option ``fetcher``, ``module:function``); the function takes a URL and a dictionary of
 parameters and returns status and text.
 
@@ -19,22 +19,31 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-# What a layer that does not say otherwise can do.
+# What a layer that does not say otherwise can do, and how its ids are called.
 DEFAULT_MAX_RECORDS = 1000
-#: Tasks per layer without paging. Each of them asks for the list of ids again, so they are few.
-ID_TASKS = 32
+DEFAULT_ID_FIELD = "OBJECTID"
+#: Pages one task fetches one after the other.
+PAGES_PER_TASK = 20
 
 
 @dataclass
-class Request(InputPartition):
-    """One page of a paging layer, or one share of the id chunks of another."""
+class Block(InputPartition):
+    """Successive pages of a layer. Ids start at ``low`` where the layer is read by ranges of ids; the last block of a paging
+    layer reads on until a page is not full. An ``answer`` is a page already there: that of a layer that cannot be planned."""
 
     layer_id: int
     layer_name: str
-    page_no: int
-    size: int
-    paging: bool
-    shares: int = 1
+    first: int = 0
+    pages: int = 1
+    size: int = DEFAULT_MAX_RECORDS
+    last: bool = False
+    id_field: str | None = None
+    low: int = 0
+    answer: tuple[int, str] | None = None
+
+
+class LayerFailure(Exception):
+    """A layer answered with an error; carries the answer."""
 
 
 class FeatureServiceSource(DataSource):
@@ -62,10 +71,15 @@ class FeatureServiceReader(DataSourceReader):
         return getattr(importlib.import_module(module), function)(self.url + path, params)
 
     def _document(self, path: str, params: dict) -> dict:
+        """A JSON object without an error, or the failing answer as an exception."""
         status, text = self._fetch(path, params)
-        if status >= 400 or not text.strip():
-            raise RuntimeError(f"no answer from {self.url}{path}: status {status}")
-        return json.loads(text)
+        try:
+            found = json.loads(text)
+        except ValueError:
+            found = None
+        if status >= 400 or not isinstance(found, dict) or "error" in found:
+            raise LayerFailure(status, text)
+        return found
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """A filter on the layer id spares the requests of all other layers."""
@@ -75,38 +89,83 @@ class FeatureServiceReader(DataSourceReader):
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        """The plan of requests: layers, their abilities and row counts, nothing of the data itself."""
-        layers = self._document("", {"f": "json"}).get("layers", [])
+        """The plan of requests: layers, their abilities and extents, nothing of the data itself.
+
+        A layer that fails to say what it holds becomes one landed page with its answer; the others are read in full.
+        """
+        try:
+            layers = self._document("", {"f": "json"}).get("layers", [])
+        except LayerFailure as failure:
+            raise RuntimeError(f"no answer from {self.url}: status {failure.args[0]}") from failure
         if not layers:
             raise ValueError(f"no layers in service {self.url}")
         planned: list[InputPartition] = []
         for layer in layers:
             if self.only_layer is not None and layer["id"] != self.only_layer:
                 continue
-            info = self._document(f"/{layer['id']}", {"f": "json"})
-            size = info.get("maxRecordCount") or DEFAULT_MAX_RECORDS
-            paging = bool(info.get("supportsPagination", False))
-            count = {"where": self.query["where"], "returnCountOnly": "true", "f": "json"}
-            pages = -(-self._document(f"/{layer['id']}/query", count).get("count", 0) // size)
-            shares = pages if paging else min(pages, ID_TASKS)
-            planned += [Request(layer["id"], layer["name"], n, size, paging, shares) for n in range(shares)]
+            try:
+                planned += self._blocks(layer["id"], layer["name"])
+            except LayerFailure as failure:
+                planned.append(Block(layer["id"], layer["name"], answer=failure.args))
         return planned
 
-    def read(self, partition: Request) -> Iterator[tuple]:
-        path = f"/{partition.layer_id}/query"
-        if partition.paging:
-            params = {"resultOffset": partition.page_no * partition.size, "resultRecordCount": partition.size}
-            status, text = self._fetch(path, self.query | params)
-            yield partition.layer_id, partition.layer_name, partition.page_no, status, text
+    def _blocks(self, layer_id: int, name: str) -> list[Block]:
+        info = self._document(f"/{layer_id}", {"f": "json"})
+        size = info.get("maxRecordCount") or DEFAULT_MAX_RECORDS
+        if info.get("supportsPagination", False):
+            asked = {"where": self.query["where"], "returnCountOnly": "true", "f": "json"}
+            counted = self._document(f"/{layer_id}/query", asked)
+            if not isinstance(counted.get("count"), int):
+                raise LayerFailure(200, json.dumps(counted))
+            pages = -(-counted["count"] // size)
+            starts = range(0, max(pages, 1), PAGES_PER_TASK)
+            return [Block(layer_id, name, n, min(PAGES_PER_TASK, max(pages, 1) - n), size, n == starts[-1]) for n in starts]
+        field = info.get("objectIdField") or DEFAULT_ID_FIELD
+        wanted = [{"statisticType": kind, "onStatisticField": field, "outStatisticFieldName": kind} for kind in ("min", "max")]
+        asked = {"where": self.query["where"], "outStatistics": json.dumps(wanted), "f": "json"}
+        extent = self._document(f"/{layer_id}/query", asked)
+        try:
+            row = extent["features"][0]["attributes"]
+            low, high = row["min"], row["max"]
+        except (KeyError, IndexError, TypeError):
+            raise LayerFailure(200, json.dumps(extent)) from None
+        if low is None:
+            return []
+        # A range of as many ids as a page holds rows is never cut short by the service.
+        pages = (high - low) // size + 1
+        return [Block(layer_id, name, n, min(PAGES_PER_TASK, pages - n), size, False, field, low) for n in range(0, pages, PAGES_PER_TASK)]
+
+    def read(self, partition: Block) -> Iterator[tuple]:
+        p = partition
+        if p.answer is not None:
+            yield p.layer_id, p.layer_name, 0, *p.answer
             return
-        listing = {"where": self.query["where"], "returnIdsOnly": "true", "f": "pjson"}
-        ids = self._document(path, listing).get("objectIds") or []
-        chunks = range(0, len(ids), partition.size)
-        for number, start in enumerate(chunks):
-            if number % partition.shares == partition.page_no:
-                wanted = ",".join(map(str, ids[start:start + partition.size]))
-                status, text = self._fetch(path, {k: v for k, v in self.query.items() if k != "where"} | {"objectIds": wanted})
-                yield partition.layer_id, partition.layer_name, number, status, text
+        page = p.first
+        while page < p.first + p.pages or p.last:
+            if p.id_field:
+                low = p.low + page * p.size
+                ids = f"{p.id_field} >= {low} AND {p.id_field} < {low + p.size}"
+                params = {"where": ids if self.query["where"] == "1=1" else f"({self.query['where']}) AND {ids}"}
+            else:
+                params = {"resultOffset": page * p.size, "resultRecordCount": p.size}
+            status, text = self._fetch(f"/{p.layer_id}/query", self.query | params)
+            beyond = page >= p.first + p.pages
+            rows = self._rows(status, text)
+            # Rows added after planning are on pages beyond the plan; an empty one there is no page of the layer.
+            if not (beyond or p.first + p.pages == 1) or rows != 0:
+                yield p.layer_id, p.layer_name, page, status, text
+            if p.last and page >= p.first + p.pages - 1 and (rows is None or rows < p.size):
+                return
+            page += 1
+
+    @staticmethod
+    def _rows(status: int, text: str) -> int | None:
+        """Features of a page; None if it is no good page."""
+        try:
+            found = json.loads(text)
+            return None if status >= 400 or "error" in found else len(found.get("features") or [])
+        except (ValueError, TypeError, AttributeError):
+            return None
 
 
 def register(spark: SparkSession) -> None:

@@ -10,7 +10,7 @@ from plotweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "4g", **{"spark.sql.shuffle.partitions": "8", "spark.sql.python.filterPushdown.enabled": "true"})
+    session = local_session(8, "4g", **{"spark.sql.shuffle.partitions": "8"})
     yield session
     session.stop()
 

@@ -1,6 +1,7 @@
 """A feature service answered from memory: one paging layer, one with ids only, one without rows."""
 
 import json
+import re
 
 ROWS = {0: 25, 1: 23, 2: 0}
 
@@ -18,10 +19,13 @@ def fetch(url, params):
         return 200, json.dumps({"maxRecordCount": 10, "supportsPagination": layer == 0} if layer != 2 else {})
     if params.get("returnCountOnly"):
         return 200, json.dumps({"count": ROWS[layer]})
-    if params.get("returnIdsOnly"):
-        return 200, json.dumps({"objectIds": list(range(ROWS[layer]))})
-    if "objectIds" in params:
-        wanted = [int(i) for i in params["objectIds"].split(",")]
+    if "outStatistics" in params:
+        kinds = [x["statisticType"] for x in json.loads(params["outStatistics"])]
+        ids = ROWS[layer] and {"min": 0, "max": ROWS[layer] - 1}
+        return 200, json.dumps({"features": [{"attributes": {k: ids[k] if ids else None for k in kinds}}]})
+    if "resultOffset" not in params:
+        low, high = map(int, re.findall(r"OBJECTID (?:>=|<) (\d+)", params["where"]))
+        wanted = range(low, min(high, ROWS[layer]))
     else:
         first = params["resultOffset"]
         wanted = range(first, min(first + params["resultRecordCount"], ROWS[layer]))
@@ -33,3 +37,20 @@ def fetch_only_layer_one(url, params):
     if tail.startswith(("/0", "/2")):
         raise AssertionError(f"layer {tail} was asked for")
     return fetch(url, params)
+
+
+def fetch_broken(url, params):
+    """Layer 0 does not count, layer 2 has no document; layer 1 answers."""
+    tail = url.split("/FeatureServer")[1]
+    if tail == "/2":
+        return 500, "<html>down</html>"
+    if tail == "/0/query" and params.get("returnCountOnly"):
+        return 200, json.dumps({"error": {"code": 400, "message": "no counts"}})
+    return fetch(url, params)
+
+
+def fetch_growing(url, params):
+    """Layer 0 counts rows of an hour ago: it has grown by two pages since."""
+    if params.get("returnCountOnly"):
+        return 200, json.dumps({"count": ROWS[0] - 20})
+    return fetch(url, params)

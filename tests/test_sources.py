@@ -284,6 +284,18 @@ def test_feature_service_asks_only_for_the_filtered_layer(spark):
     assert {r.page_no for r in got.collect()} == {0, 1, 2}
 
 
+def test_failing_layers_become_error_pages(spark):
+    pages = service(spark, "fetch_broken").collect()
+    assert {(r.layer_id, r.status) for r in pages if r.layer_id != 1} == {(0, 200), (2, 500)}
+    assert sum(len(json.loads(r.body)["features"]) for r in pages if r.layer_id == 1) == 23
+    assert "no counts" in next(r.body for r in pages if r.layer_id == 0)
+
+
+def test_rows_added_after_planning_are_read(spark):
+    pages = [r for r in service(spark, "fetch_growing").collect() if r.layer_id == 0]
+    assert sorted(r.page_no for r in pages) == [0, 1, 2] and sum(len(json.loads(r.body)["features"]) for r in pages) == 25
+
+
 def test_landed_and_live_pages_agree(spark, tmp_path):
     pages = service(spark)
     pages.write.json(str(tmp_path / "pages"))
