@@ -36,6 +36,15 @@ _SHAPES = {
     "repeated": [[(0, 0), (100, 0), (100, 0), (100, 100), (0, 100), (0, 0)]],
     "bowtie": [[(0, 0), (100, 100), (100, 0), (0, 80), (0, 0)]],
     "flat": [[(0, 0), (100, 0), (50, 0), (0, 0)]],
+    "leaving": [[(0, 0), (60, 0), (60, 60), (0, 60), (0, 0)], [(40, 20), (80, 20), (80, 40), (40, 40), (40, 20)]],
+    "overlapping": [[(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)], [(10, 10), (50, 10), (50, 50), (10, 50), (10, 10)],
+                    [(30, 30), (70, 30), (70, 70), (30, 70), (30, 30)]],
+    "nested": [[(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)], [(10, 10), (90, 10), (90, 90), (10, 90), (10, 10)],
+               [(30, 30), (70, 30), (70, 70), (30, 70), (30, 30)]],
+    "touching": [[(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)], [(0, 50), (20, 30), (40, 50), (20, 70), (0, 50)]],
+    # Rings too long for the pairwise test: stairs up and down, and the same with two steps exchanged.
+    "stairs": [[(0, 0), (100, 0), *[(100 - 10 * i // 2, 50 + 5 * ((i + 1) // 2)) for i in range(20)], (0, 100), (0, 0)]],
+    "tangled": [[(0, 0), (100, 0), *[(100 - 10 * i // 2, 50 + 5 * ((i + 1) // 2)) for i in (*range(8), 12, 9, 10, 11, 8, *range(13, 20))], (0, 100), (0, 0)]],
     "island": [[(0, 0), (40, 0), (40, 40), (0, 40), (0, 0)], [(60, 60), (90, 60), (90, 90), (60, 90), (60, 60)]],
 }
 _shape_values = ", ".join(
@@ -143,7 +152,8 @@ FIXTURES: dict[str, str] = {
     "faulty_vertices": f"""
         SELECT p.poly_id, p.shape, s.ring_no, s.vertex_no, CAST(p.x0 + s.dx AS DOUBLE) AS x, CAST(p.y0 + s.dy AS DOUBLE) AS y
         FROM (SELECT p_partkey AS poly_id, (p_partkey % 50) * 100 AS x0, CAST(floor(p_partkey / 50) AS BIGINT) * 100 AS y0,
-                     CASE p_partkey % 12 WHEN 0 THEN 'open' WHEN 1 THEN 'three' WHEN 2 THEN 'repeated' WHEN 3 THEN 'bowtie'
+                     CASE p_partkey % 18 WHEN 8 THEN 'leaving' WHEN 9 THEN 'overlapping' WHEN 10 THEN 'nested' WHEN 11 THEN 'touching'
+                          WHEN 12 THEN 'stairs' WHEN 13 THEN 'tangled' WHEN 0 THEN 'open' WHEN 1 THEN 'three' WHEN 2 THEN 'repeated' WHEN 3 THEN 'bowtie'
                           WHEN 4 THEN 'flat' WHEN 5 THEN 'island' WHEN 6 THEN 'holed' WHEN 7 THEN 'ell' ELSE 'rect' END AS shape
               FROM {{part}}) AS p
         JOIN (VALUES {_shape_values}) AS s(shape, ring_no, vertex_no, dx, dy) ON s.shape = p.shape""",

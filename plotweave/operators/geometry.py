@@ -11,9 +11,9 @@ import pyarrow.compute
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
-from plotweave.functions.geometry import inside_edges, polygon_edges, ring_edges, ring_signed_area, rings_bbox
+from plotweave.functions.geometry import ring_edges, ring_signed_area, rings_bbox
 from plotweave.operators.zones import zone_lookup
 from plotweave.plans.picking import priority_pick
 from plotweave.plans.skew import HOT_ROWS
@@ -136,32 +136,100 @@ def _long_ring_contact(rings: Column) -> Column:
     return F.arrow_udf(contact, BooleanType()).asNondeterministic()(rings)
 
 
+def _sides(ax, ay, bx, by, px, py) -> np.ndarray:
+    return np.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+
+def _place(edges: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """1 for points inside a ring, 0 on it, -1 outside (even-odd rule)."""
+    x1, y1, x2, y2 = (edges[:, i][None, :] for i in range(4))
+    out = np.empty(len(points), dtype=int)
+    step = max(1, PAIRS_AT_ONCE // max(len(edges), 1))
+    for start in range(0, len(points), step):
+        px, py = points[start:start + step, 0][:, None], points[start:start + step, 1][:, None]
+        side = _sides(x1, y1, x2, y2, px, py)
+        on = (side == 0) & (np.minimum(x1, x2) <= px) & (px <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= py) & (py <= np.maximum(y1, y2))
+        crossed = ((y1 > py) != (y2 > py)) & (side == np.where(y2 > y1, 1, -1))
+        out[start:start + step] = np.where(on.any(axis=1), 0, np.where(crossed.sum(axis=1) % 2 == 1, 1, -1))
+    return out
+
+
+def _edges_conflict(a: np.ndarray, b: np.ndarray) -> bool:
+    """Do edges of two rings cross, or run along each other? Touching in single points is allowed."""
+    step = max(1, PAIRS_AT_ONCE // max(len(b), 1))
+    bx1, by1, bx2, by2 = (b[:, i][None, :] for i in range(4))
+    for start in range(0, len(a), step):
+        ax1, ay1, ax2, ay2 = (a[start:start + step, i][:, None] for i in range(4))
+        s1, s2 = _sides(ax1, ay1, ax2, ay2, bx1, by1), _sides(ax1, ay1, ax2, ay2, bx2, by2)
+        cross = (s1 * s2 < 0) & (_sides(bx1, by1, bx2, by2, ax1, ay1) * _sides(bx1, by1, bx2, by2, ax2, ay2) < 0)
+        shared_x = np.minimum(np.maximum(ax1, ax2), np.maximum(bx1, bx2)) - np.maximum(np.minimum(ax1, ax2), np.minimum(bx1, bx2))
+        shared_y = np.minimum(np.maximum(ay1, ay2), np.maximum(by1, by2)) - np.maximum(np.minimum(ay1, ay2), np.minimum(by1, by2))
+        along = (s1 == 0) & (s2 == 0) & (shared_x >= 0) & (shared_y >= 0) & (shared_x + shared_y > 0)
+        if (cross | along).any():
+            return True
+    return False
+
+
+def rings_conflict(rings: list[np.ndarray]) -> str | None:
+    """What is wrong between the rings of a polygon, given as edges (x1, y1, x2, y2); the first is the shell."""
+    boxes = [(r[:, [0, 2]].min(), r[:, [1, 3]].min(), r[:, [0, 2]].max(), r[:, [1, 3]].max()) for r in rings]
+    for j, hole in enumerate(rings[1:], 1):
+        for i in range(j):
+            (lx, ly, hx, hy), (mx, my, nx, ny) = boxes[i], boxes[j]
+            if lx <= nx and mx <= hx and ly <= ny and my <= hy and _edges_conflict(rings[i], hole):
+                return "rings cross"
+        if (_place(rings[0], hole[:, :2]) < 0).any():
+            return "hole outside shell"
+        for i in range(1, j):
+            if (_place(rings[i], hole[:, :2]) > 0).any() or (_place(hole, rings[i][:, :2]) > 0).any():
+                return "holes overlap"
+    return None
+
+
+def _rings_against_each_other(rings: Column) -> Column:
+    """Reason of conflict between the rings of polygons with holes; others send an empty array."""
+
+    def judge(polygons: pa.Array) -> pa.Array:
+        counts = pa.compute.fill_null(pa.compute.list_value_length(polygons), 0).to_numpy(zero_copy_only=False).astype(int)
+        all_rings = polygons.flatten()
+        bounds = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(all_rings).to_numpy(zero_copy_only=False))]).astype(int)
+        edges = all_rings.flatten()
+        table = np.stack([edges.field(name).to_numpy(zero_copy_only=False) for name in ("x1", "y1", "x2", "y2")], axis=1)
+        first, found = np.concatenate([[0], np.cumsum(counts)]), []
+        for a, b in zip(first[:-1], first[1:]):
+            own = [table[bounds[k]:bounds[k + 1]] for k in range(a, b)]
+            found.append(rings_conflict(own) if len(own) > 1 and all(map(len, own)) else None)
+        return pa.array(found, pa.string())
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    judge.__annotations__ = {"polygons": pa.Array, "return": pa.Array}
+    return F.arrow_udf(judge, StringType()).asNondeterministic()(rings)
+
+
 def geometry_validity(polygons: DataFrame, long_rings: bool = True) -> DataFrame:
     """Polygons with ``is_valid`` and the first broken rule as ``reason``.
 
-    Rules, in order: has rings; four vertices per ring; closed; area; no ring touches itself; holes lie
-    inside the shell. Short rings are tested pairwise in the JVM, long ones by a sweep in Arrow batches;
-    both are exact. ``long_rings=False`` leaves out the sweep where rings are known to be short.
+    Rules, in order: has rings; four vertices per ring; closed; area; no ring touches itself; rings neither cross
+    nor run along each other, holes lie inside the shell and outside each other. Rings may touch in single points. Short
+    rings are tested against themselves in the JVM, long ones by a sweep in Arrow batches, as are polygons with
+    holes; all are exact. ``long_rings=False`` leaves out the sweep where rings are known to be short.
     """
     rings = F.col("rings")
     checked = polygons.withColumn("_edges", F.transform(rings, _distinct_edges))
-    short = F.exists("_edges", lambda e: (F.size(e) <= PAIRWISE_EDGES) & _crosses_itself(e))
-    contact = short
+    contact = F.exists("_edges", lambda e: (F.size(e) <= PAIRWISE_EDGES) & _crosses_itself(e))
+    # Polygons with nothing to test in Arrow send an empty array there; both tests share one pass.
+    tests = {"_conflict": _rings_against_each_other(F.when(F.size(rings) > 1, F.col("_edges")).otherwise(F.slice("_edges", 1, 0)))}
     if long_rings:
-        # Polygons without long rings send an empty array to Python.
-        long = F.filter("_edges", lambda e: F.size(e) > PAIRWISE_EDGES)
-        checked = checked.withColumn("_contact", _long_ring_contact(long))
-        contact = short | F.col("_contact")
-    shell_edges = polygon_edges(F.slice(rings, 1, 1))
-    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
-    outside = F.exists(holes, lambda hole: ~inside_edges(shell_edges, hole[0].x, hole[0].y))
+        tests["_contact"] = _long_ring_contact(F.filter("_edges", lambda e: F.size(e) > PAIRWISE_EDGES))
+        contact = contact | F.col("_contact")
+    checked = checked.withColumns(tests)
     reason = (
         F.when(rings.isNull() | (F.size(rings) == 0), "empty")
         .when(F.exists(rings, lambda r: F.size(r) < 4), "too few vertices")
         .when(F.exists(rings, lambda r: (r[0].x != F.element_at(r, -1).x) | (r[0].y != F.element_at(r, -1).y)), "not closed")
         .when(F.exists(rings, lambda r: ring_signed_area(r) == 0), "no area")
         .when(contact, "ring touches itself")
-        .when(outside, "hole outside shell")
+        .otherwise(F.col("_conflict"))
     )
     return checked.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull()).select(
         *polygons.columns, "is_valid", "reason"
@@ -180,20 +248,19 @@ def _repaired_ring(ring: Column) -> Column:
     return F.when(open_ring, F.concat(kept, F.array(first))).otherwise(kept)
 
 
-def geometry_basic_repair(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Polygons after simple repair, and those it cannot mend.
+def geometry_basic_repair(polygons: DataFrame) -> DataFrame:
+    """Polygons after simple repair with ``is_valid`` and ``reason``; those it cannot mend keep their rings.
 
-    Repair closes rings, drops repeated vertices and drops rings that are empty or have no area left.
-    Rings that touch themselves go to the second result unchanged.
+    Repair closes rings, drops repeated vertices and drops rings that are empty or have no area left. One result for
+    both, so that a caller who splits it may write it once first.
     """
     filled = F.filter("rings", lambda r: F.size(r) > 0)
     mended = F.filter(
         F.transform(filled, _repaired_ring), lambda r: (F.size(r) >= 4) & (ring_signed_area(r) != 0)
     )
     tried = geometry_validity(polygons.withColumn("_original", F.col("rings")).withColumn("rings", mended))
-    good = tried.where("is_valid").select(*polygons.columns)
-    bad = tried.where(~F.col("is_valid")).withColumn("rings", F.col("_original")).select(*polygons.columns, "reason")
-    return good, bad
+    kept = F.when(F.col("is_valid"), F.col("rings")).otherwise(F.col("_original"))
+    return tried.withColumn("rings", kept).select(*polygons.columns, "is_valid", "reason")
 
 
 # --- joins -----------------------------------------------------------------------------------------

@@ -99,7 +99,8 @@ def _(spark, sf):
 
 # What each shape of the faulty fixture is expected to be, worked out by hand.
 _REASON = """CASE shape WHEN 'open' THEN 'not closed' WHEN 'three' THEN 'too few vertices' WHEN 'bowtie' THEN 'ring touches itself'
-                        WHEN 'flat' THEN 'no area' WHEN 'island' THEN 'hole outside shell' END"""
+                        WHEN 'flat' THEN 'no area' WHEN 'island' THEN 'hole outside shell' WHEN 'tangled' THEN 'ring touches itself'
+                        WHEN 'leaving' THEN 'rings cross' WHEN 'overlapping' THEN 'rings cross' WHEN 'nested' THEN 'holes overlap' END"""
 
 
 @query("geometry_validity", f"SELECT DISTINCT poly_id, shape, {_REASON} IS NULL AS is_valid, {_REASON} AS reason FROM {{faulty_vertices}} AS v")
@@ -108,13 +109,12 @@ def _(spark, sf):
 
 
 @query("geometry_basic_repair", """
-    SELECT poly_id, CASE WHEN shape IN ('bowtie', 'island') THEN FALSE WHEN shape IN ('three', 'flat') THEN FALSE ELSE TRUE END AS repaired,
+    SELECT poly_id, CASE WHEN shape IN ('bowtie', 'island', 'leaving', 'overlapping', 'nested', 'tangled') THEN FALSE WHEN shape IN ('three', 'flat') THEN FALSE ELSE TRUE END AS repaired,
            CAST(CASE WHEN shape IN ('open', 'repeated') THEN 5 ELSE n END AS INTEGER) AS n_vertices
     FROM (SELECT poly_id, shape, count(*) AS n FROM {faulty_vertices} AS v GROUP BY poly_id, shape) AS s""")
 def _(spark, sf):
-    good, bad = op.geometry_basic_repair(faulty_polygons(spark, sf))
-    both = good.withColumn("repaired", F.lit(True)).unionByName(bad.drop("reason").withColumn("repaired", F.lit(False)))
-    return both.select("poly_id", "repaired", F.size(F.flatten("rings")).alias("n_vertices"))
+    tried = op.geometry_basic_repair(faulty_polygons(spark, sf))
+    return tried.select("poly_id", F.col("is_valid").alias("repaired"), F.size(F.flatten("rings")).alias("n_vertices"))
 
 
 @query("invalid_geometry_count", f"""

@@ -1,5 +1,7 @@
 """Validity and repair."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -141,7 +143,7 @@ def test_pairwise_in_spark_equals_all_pairs(spark):
 
 def test_repair(spark):
     bow = closed((0, 0), (10, 10), (10, 0), (0, 8))
-    good, bad = op.geometry_basic_repair(polygons(
+    tried = op.geometry_basic_repair(polygons(
         spark,
         [SQUARE[:-1]],                                       # closed by repair
         [closed((0, 0), (10, 0), (10, 0), (10, 10), (0, 10))],   # repeated vertex goes
@@ -149,9 +151,9 @@ def test_repair(spark):
         [bow],
         [closed((0, 0), (1, 1), (2, 2))],
     ))
-    got = {r.poly_id: [[tuple(v) for v in ring] for ring in r.rings] for r in good.collect()}
+    got = {r.poly_id: [[tuple(v) for v in ring] for ring in r.rings] for r in tried.where("is_valid").collect()}
     assert got == {0: [SQUARE], 1: [SQUARE], 2: [SQUARE]}
-    left = {r.poly_id: r for r in bad.collect()}
+    left = {r.poly_id: r for r in tried.where("NOT is_valid").collect()}
     assert left[3].reason == "ring touches itself" and [tuple(v) for v in left[3].rings[0]] == bow
     assert left[4].reason == "empty"
 
@@ -160,3 +162,17 @@ def test_filter_on_validity_runs_the_sweep_once(spark):
     valid = op.geometry_validity(polygons(spark, [circle(200)])).where("is_valid")
     plan = valid._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_rings_against_each_other(spark):
+    """Holes that cross the shell, touch it, overlap, lie in each other or along an edge; short and long rings."""
+    big = closed((0, 0), (100, 0), (100, 100), (0, 100))
+    box = lambda x, y, d: closed((x, y), (x + d, y), (x + d, y + d), (x, y + d))
+    diamond = closed((0, 50), (20, 30), (40, 50), (20, 70))
+    ring = [(50 + 30 * math.cos(i * math.pi / 20), 50 + 30 * math.sin(i * math.pi / 20)) for i in range(40)]
+    wide = [(50 + 60 * math.cos(i * math.pi / 20), 50 + 60 * math.sin(i * math.pi / 20)) for i in range(40)]
+    got = reasons(
+        spark, [big, box(10, 10, 20), box(50, 50, 20)], [big, box(90, 40, 20)], [big, diamond], [big, box(10, 10, 30), box(20, 20, 30)],
+        [big, box(10, 10, 60), box(20, 20, 10)], [big, box(0, 40, 20)], [big, box(200, 0, 10)], [big, closed(*ring)], [big, closed(*wide)],
+        [big, box(10, 10, 20), box(30, 30, 20)], [big, box(10, 10, 20), box(10, 10, 20)])
+    assert got == [None, "rings cross", None, "rings cross", "holes overlap", "rings cross", "hole outside shell", None, "rings cross", None, "rings cross"]
