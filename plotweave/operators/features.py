@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.text import strip
 from plotweave.plans.once import with_once
-from plotweave.plans.ordered import ordered_row_number
+from plotweave.plans.ordered import number_segment, ordered_row_number, ordered_slice
 from plotweave.schemas import SERVICE_PAGE_BODY
 
 SOURCE_LAYER = "_source_layer"
@@ -66,7 +66,7 @@ def id_chunk_plan(ids: DataFrame, layer: str, id_column: str, size: int) -> Data
 
     Chunks need the row number within the layer; it is computed without gathering a layer in one task.
     """
-    numbered = ordered_row_number(ids.select(layer, id_column), order=[id_column], keys=[layer])
+    numbered = ordered_row_number(ids.select(layer, id_column), [id_column], number_segment(id_column), [layer])
     chunked = numbered.withColumn("chunk_no", F.floor((F.col("row_no") - 1) / F.lit(size)).cast("bigint"))
     in_chunk = F.array_sort(F.collect_list(id_column))
     return chunked.groupBy(layer, "chunk_no").agg(
@@ -75,10 +75,9 @@ def id_chunk_plan(ids: DataFrame, layer: str, id_column: str, size: int) -> Data
     )
 
 
-def page_slice(df: DataFrame, order: Sequence[str | Column], offset: int, n: int) -> DataFrame:
-    """Rows ``offset .. offset + n`` in a total order, found by row number: no task sees the skipped rows."""
-    numbered = ordered_row_number(df, order, name="_no")
-    return numbered.where((F.col("_no") > offset) & (F.col("_no") <= offset + n)).drop("_no")
+def page_slice(df: DataFrame, order: Sequence[str | Column], segment: Column, offset: int, n: int) -> DataFrame:
+    """Rows ``offset .. offset + n`` in a total order; ``segment`` never falls along it (:mod:`plotweave.plans.ordered`)."""
+    return ordered_slice(df, order, segment, offset, n)
 
 
 # --- landed pages ----------------------------------------------------------------------------------
@@ -217,7 +216,8 @@ def feature_row_id(features: DataFrame, name: str = "id") -> DataFrame:
 
 def feature_global_id(features: DataFrame, name: str = "id") -> DataFrame:
     """0-based id over all collections, by file name and place in the file."""
-    numbered = ordered_row_number(features, order=["source", "pos"], name="_no")
+    place = F.struct(F.col("source"), number_segment("pos"))
+    numbered = ordered_row_number(features, ["source", "pos"], place, name="_no")
     return numbered.withColumn(name, F.col("_no") - 1).drop("_no")
 
 

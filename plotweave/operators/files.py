@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions.paths import last_segment
-from plotweave.plans.ordered import ordered_lag, ordered_row_number
+from plotweave.plans.ordered import ordered_lag, ordered_row_number, time_segment
 from plotweave.schemas import CORNER_COLUMNS
 
 # Endings of downloads still in progress.
@@ -36,7 +36,7 @@ def latest_file(files: DataFrame, by: str) -> DataFrame:
 def size_stable(sightings: DataFrame, tie: str | None = None) -> DataFrame:
     """Sightings with ``stable``: a size above zero that equals the size at the previous look."""
     order = ["seen_at"] + ([tie] if tie else [])
-    looked = ordered_lag(sightings, "size", ["path"], order, name="_before")
+    looked = ordered_lag(sightings, "size", ["path"], order, time_segment("seen_at"), name="_before")
     stable = F.coalesce((F.col("size") > 0) & (F.col("size") == F.col("_before")), F.lit(False))
     return looked.withColumn("stable", stable).drop("_before")
 
@@ -44,7 +44,7 @@ def size_stable(sightings: DataFrame, tie: str | None = None) -> DataFrame:
 def attempt_number(ledger: DataFrame, tie: str | None = None) -> DataFrame:
     """Attempts numbered per section; a failed second attempt is final."""
     order = ["ts"] + ([tie] if tie else [])
-    numbered = ordered_row_number(ledger, order, ["section_id"], name="attempt")
+    numbered = ordered_row_number(ledger, order, time_segment("ts"), ["section_id"], name="attempt")
     final = (F.col("status") == "failed") & (F.col("attempt") >= MAX_ATTEMPTS)
     return numbered.withColumn("final_failure", final)
 

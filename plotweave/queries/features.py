@@ -166,7 +166,7 @@ def _(spark, sf):
 
 @query("page_slice", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY o_orderkey LIMIT 500 OFFSET 700")
 def _(spark, sf):
-    return op.page_slice(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 700, 500)
+    return op.page_slice(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], F.floor(F.col("o_orderkey") / 1000), 700, 500)
 
 
 def _services(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plotweave.operators.geometry import nearest_anchor, nearest_rect_handle
 from plotweave.plans.once import with_once
-from plotweave.plans.ordered import ordered_lag, ordered_row_number
+from plotweave.plans.ordered import ordered_lag, ordered_row_number, ordered_slice
 from plotweave.plans.picking import priority_pick
 from plotweave.plans.skew import salted_join
 from plotweave.plans.spatial_join import point_in_polygon, radius_join
@@ -32,29 +32,44 @@ def skewed(spark):
     )
 
 
+def segment(width=100):
+    """Ranges of the order column."""
+    return F.floor(F.col("o") / width)
+
+
 def test_row_number_equals_window(skewed):
     plain = skewed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")))
-    ours = ordered_row_number(skewed, ["o", "id"], ["k"], "n", partitions=7)
+    ours = ordered_row_number(skewed, ["o", "id"], segment(), ["k"], "n")
     assert rows(ours, "id", "n") == rows(plain, "id", "n")
 
 
-def test_row_number_without_key(skewed):
-    ours = ordered_row_number(skewed, ["o", "id"], name="n", partitions=5)
+def test_row_number_without_key_and_with_null_segments(skewed):
+    some = skewed.withColumn("o", F.when(F.col("o") > 50, F.col("o")))
+    ours = ordered_row_number(some, ["o", "id"], segment(), name="n")
     assert [r["n"] for r in ours.orderBy("o", "id").collect()] == list(range(1, 6001))
 
 
 def test_row_number_spreads_a_hot_key(skewed):
-    """One key alone still uses many tasks."""
+    """One key alone still uses many tasks, and nothing is checkpointed."""
     one = skewed.withColumn("k", F.lit(1))
-    ours = ordered_row_number(one, ["o", "id"], ["k"], "n", partitions=6)
+    ours = ordered_row_number(one, ["o", "id"], segment(), ["k"], "n")
     assert sorted(r["n"] for r in ours.collect()) == list(range(1, 6001))
-    shares = one.repartitionByRange(6, "k", "o", "id").groupBy(F.spark_partition_id()).count().collect()
-    assert len(shares) == 6 and max(r["count"] for r in shares) < 2000
+    assert "checkpoint" not in plan(ours).lower()
+    shares = one.groupBy("k", segment()).count().collect()
+    assert len(shares) == 10 and max(r["count"] for r in shares) < 1000
+
+
+def test_slice_sorts_only_its_segments(skewed):
+    got = ordered_slice(skewed, ["o", "id"], segment(), 1250, 300)
+    want = skewed.orderBy("o", "id").limit(1550).collect()[1250:]
+    assert rows(got, "o", "id") == sorted(((r["o"], r["id"]) for r in want), key=repr)
+    assert ordered_slice(skewed, ["o", "id"], segment(), 5990, 100).count() == 10
+    assert ordered_slice(skewed, ["o", "id"], segment(), 9000, 100).count() == 0
 
 
 def test_lag_equals_window(skewed):
     plain = skewed.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("o", "id")))
-    ours = ordered_lag(skewed, "v", ["k"], ["o", "id"], "p", partitions=7)
+    ours = ordered_lag(skewed, "v", ["k"], ["o", "id"], segment(), "p")
     assert rows(ours, "id", "p") == rows(plain, "id", "p")
 
 
