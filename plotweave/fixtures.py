@@ -308,8 +308,10 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda dx, dy: F.array(F.col("x0") + dx, F.col("y0") + dy)
     ring = F.array(F.array(corner(0, 0), corner(100, 0), corner(100, 100), corner(0, 100), corner(0, 0)))
     properties = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in ("id", "Zone_2024", "STREET_ADD", "QTRSEC_NUMBER")]),
-        F.array(F.col("id").cast("string"), "zone", "street", "sheet"),
+        F.array(*[F.lit(n) for n in ("id", "Zone_2024", "STREET_ADD", "QTRSEC_NUMBER", "area", "even", "corners", "note")]),
+        F.array(*[c.cast("variant") for c in (
+            F.col("id"), F.col("zone"), F.col("street"), F.col("sheet"), F.col("id") / 4, F.col("id") % 2 == 0,
+            F.array("x0", "y0"), F.lit(None).cast("string"))]),
     )
     geometry = F.struct(F.lit("Polygon").alias("type"), F.to_json(ring).alias("coordinates"))
     return flat.select("id", "zone", geometry.alias("geometry"), properties.alias("properties"))

@@ -154,8 +154,8 @@ def has_geometry(features: DataFrame) -> DataFrame:
 
 def tag_source_layer(attributes: Column, layer: Column) -> Column:
     """Attributes plus the layer they come from; an attribute of that name gives way."""
-    others = F.map_filter(F.coalesce(attributes, F.create_map().cast("map<string,string>")), lambda k, _: k != SOURCE_LAYER)
-    return F.map_concat(others, F.create_map(F.lit(SOURCE_LAYER), layer))
+    others = F.map_filter(F.coalesce(attributes, F.create_map().cast("map<string,variant>")), lambda k, _: k != SOURCE_LAYER)
+    return F.map_concat(others, F.create_map(F.lit(SOURCE_LAYER), layer.cast("variant")))
 
 
 def esri_to_geojson(features: DataFrame, multipart: bool = False) -> DataFrame:
@@ -192,20 +192,31 @@ def union_layers(*layers: DataFrame) -> DataFrame:
 # --- stored features -------------------------------------------------------------------------------
 
 
+def property_text(name: str, properties: str = "properties") -> Column:
+    """A property as text; null where it is missing or null."""
+    return F.col(properties).getItem(name).cast("string")
+
+
 def non_empty_property(features: DataFrame, name: str) -> DataFrame:
-    """Features whose property is there and neither empty nor zero; blanks count as a value."""
+    """Features whose property is there and is no empty text, list or object, zero or false; blanks and "0" are values."""
     value = F.col("properties").getItem(name)
-    return features.where(value.isNotNull() & (value != "") & (value != "0"))
+    kind, text = F.schema_of_variant(value), property_text(name)
+    empty = (
+        F.when(kind == "STRING", text == "").when(kind == "BOOLEAN", text == "false")
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), text.isin("[]", "{}"))
+        .otherwise(text.try_cast("double") == 0)
+    )
+    return features.where(text.isNotNull() & ~F.coalesce(empty, F.lit(False)))
 
 
 def non_blank_address(features: DataFrame, name: str) -> DataFrame:
     """Features whose address holds more than white space."""
-    return features.where(F.length(strip(F.col("properties").getItem(name))) > 0)
+    return features.where(F.length(strip(property_text(name))) > 0)
 
 
 def strip_properties(features: DataFrame) -> DataFrame:
     """Geometry and id only."""
-    only_id = F.create_map(F.lit("id"), F.col("id").cast("string"))
+    only_id = F.create_map(F.lit("id"), F.col("id").cast("variant"))
     return features.select("id", "geometry", only_id.alias("properties"))
 
 
@@ -231,8 +242,7 @@ def distinct_codes(features: DataFrame, name: str, sample: int = 10) -> DataFram
     Distinct values are found first; both summaries run over those. The sample is a top-k buffer of
     fixed size, not a sorted list of all values.
     """
-    value = F.col("properties").getItem(name)
-    codes = non_empty_property(features, name).select(value.alias("code")).distinct()
+    codes = non_empty_property(features, name).select(property_text(name).alias("code")).distinct()
     first = sorted_sample(codes, "code", sample)
     counted = codes.agg(F.count("*").alias("n_codes")).withColumn("sample", F.lit(None).cast("array<string>"))
     listed = first.agg(F.array_sort(F.collect_list("code")).alias("sample")).withColumn("n_codes", F.lit(None).cast("bigint"))
@@ -247,7 +257,7 @@ def sorted_sample(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def feature_to_json(features: DataFrame) -> Column:
-    """Feature text of a row with ``geometry`` and ``properties``; coordinates are spliced in as they are."""
+    """Feature text of a row with ``geometry`` and typed ``properties``; coordinates are spliced in as they are."""
     properties = F.to_json(F.col("properties"))
     geometry = F.concat(
         F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), F.col("geometry.coordinates"), F.lit("}")

@@ -15,7 +15,7 @@ def _(spark, sf):
     features = stored_features(spark, sf).withColumn("pos", F.floor(F.col("id") / 17)).withColumn("part", F.col("id") % 17)
     sinks.geojson_collections_sink(features, path, "part", 50)
     read = landed.geojson_scan(spark, path)
-    value = lambda k: F.col("properties").getItem(k)
+    value = op.property_text
     return read.select(value("id").cast("bigint").alias("id"), value("Zone_2024").alias("zone"), value("STREET_ADD").alias("street"))
 
 
@@ -26,7 +26,7 @@ def _(spark, sf):
     features = stored_features(spark, sf).withColumn("pos", F.floor(F.col("id") / 17)).withColumn("part", F.col("id") % 17)
     sinks.geojson_collections_sink(features, path, "part", 50)
     read = landed.geojson_split_scan(spark, path)
-    value = lambda k: F.col("properties").getItem(k)
+    value = op.property_text
     return read.select(value("id").cast("bigint").alias("id"), value("Zone_2024").alias("zone"), value("STREET_ADD").alias("street"))
 
 
@@ -42,7 +42,7 @@ _GOOD = """{service_features} AS f JOIN {service_pages} AS p USING (layer_id, pa
 @query("feature_page_scan", f"SELECT f.layer_id, page_no, CAST(f.id AS VARCHAR) AS object_id FROM {_GOOD}")
 def _(spark, sf):
     features = op.page_features(_landed(spark, sf))
-    return features.select("layer_id", "page_no", F.col("attributes")["OBJECTID"].alias("object_id"))
+    return features.select("layer_id", "page_no", op.property_text("OBJECTID", "attributes").alias("object_id"))
 
 
 @query("has_geometry", f"SELECT f.layer_id, f.id FROM {_GOOD} AND kind NOT IN ('none', 'curve')")
@@ -76,7 +76,7 @@ def _(spark, sf):
     SELECT f.id, f.layer_name AS source_layer, p_name AS name FROM {_GOOD} AND kind NOT IN ('none', 'curve')""")
 def _(spark, sf):
     stored = op.esri_to_geojson(op.page_features(_landed(spark, sf)))
-    value = lambda k: F.col("properties").getItem(k)
+    value = op.property_text
     return stored.select(value("OBJECTID").cast("bigint").alias("id"), value("_source_layer").alias("source_layer"), value("NAME").alias("name"))
 
 
@@ -139,7 +139,7 @@ def _(spark, sf):
     _geojson_pages(spark, sf).write.json(path)
     read = landed.geojson_page_scan(spark, path).join(landed.page_crs(spark, path), "layer_id")
     return read.select(
-        "layer_id", "page_no", F.col("properties")["id"].cast("bigint").alias("id"), F.col("properties")["Zone_2024"].alias("zone"), "crs"
+        "layer_id", "page_no", F.col("properties")["id"].cast("bigint").alias("id"), op.property_text("Zone_2024").alias("zone"), "crs"
     )
 
 
@@ -221,13 +221,13 @@ def _(spark, sf):
 @query("non_empty_property", "SELECT id, sheet FROM {features} AS f WHERE sheet <> ''")
 def _(spark, sf):
     kept = op.non_empty_property(stored_features(spark, sf), "QTRSEC_NUMBER")
-    return kept.select("id", F.col("properties")["QTRSEC_NUMBER"].alias("sheet"))
+    return kept.select("id", op.property_text("QTRSEC_NUMBER").alias("sheet"))
 
 
 @query("non_blank_address", "SELECT id, street FROM {features} AS f WHERE trim(street) <> ''")
 def _(spark, sf):
     kept = op.non_blank_address(stored_features(spark, sf), "STREET_ADD")
-    return kept.select("id", F.col("properties")["STREET_ADD"].alias("street"))
+    return kept.select("id", op.property_text("STREET_ADD").alias("street"))
 
 
 @query("distinct_codes", """
@@ -255,11 +255,19 @@ _BOX = " || ',' || ".join(
 _EXPORT = f"SELECT id, 'Polygon' AS type, '[[' || {_BOX} || ']]' AS coordinates"
 
 
-@query("geojson_export_full", f"{_EXPORT}, zone FROM {{features}} AS f")
+@query("geojson_export_full", f"""
+    {_EXPORT}, '{{"area":' || CASE WHEN id % 4 = 0 THEN CAST(id // 4 AS VARCHAR) ELSE CAST(id / 4.0e0 AS VARCHAR) END ||
+        ',"corners":[' || CAST(x0 AS VARCHAR) || ',' || CAST(y0 AS VARCHAR) || '],"even":' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END ||
+        ',"id":' || CAST(id AS VARCHAR) || ',"note":null}}' AS typed, zone
+    FROM {{features}} AS f""")
 def _(spark, sf):
+    """Numbers, booleans, nulls and lists come back with their types."""
     path = staging_path(spark, "export")
     sinks.geojson_export_full(stored_features(spark, sf), path)
-    return _exported(spark, path).withColumn("zone", F.col("properties")["Zone_2024"]).drop("properties")
+    read = _exported(spark, path)
+    names = ("area", "corners", "even", "id", "note")
+    typed = F.concat(F.lit("{"), F.array_join(F.array(*[F.concat(F.lit(f'"{n}":'), F.to_json(F.col("properties")[n])) for n in names]), ","), F.lit("}"))
+    return read.select("id", "type", "coordinates", typed.alias("typed"), op.property_text("Zone_2024").alias("zone"))
 
 
 @query("geojson_export_geometry_only", f"{_EXPORT}, 1 AS n_properties FROM {{features}} AS f")
@@ -280,12 +288,12 @@ def _(spark, sf):
 @query("strip_properties", f"{_EXPORT}, CAST(id AS VARCHAR) AS only_property FROM {{features}} AS f")
 def _(spark, sf):
     bare = op.strip_properties(stored_features(spark, sf).drop("zone"))
-    only = F.map_values("properties")[0]
+    only = F.map_values("properties")[0].cast("string")
     return bare.select("id", "geometry.type", "geometry.coordinates", only.alias("only_property"))
 
 
 @query("feature_to_json", f"""
-    SELECT id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || {_BOX} || ']]}},"properties":{{"id":"' || CAST(id AS VARCHAR) || '"}}}}' AS text
+    SELECT id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || {_BOX} || ']]}},"properties":{{"id":' || CAST(id AS VARCHAR) || '}}}}' AS text
     FROM <features> AS f""".replace("<features>", "{features}"))
 def _(spark, sf):
     bare = op.strip_properties(stored_features(spark, sf).drop("zone"))

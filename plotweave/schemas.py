@@ -6,16 +6,17 @@ MANIFEST_ARRAY = f"ARRAY<STRUCT<{MANIFEST_ENTRY}>>"
 CORNERS = ("top_left", "top_right", "bottom_right", "bottom_left")
 CORNER_COLUMNS = tuple(f"{corner}_{axis}" for corner in CORNERS for axis in ("lng", "lat"))
 
-#: One stored feature. Coordinates stay JSON text, because their nesting differs by geometry type.
+#: One stored feature. Coordinates stay JSON text, because their nesting differs by geometry type; properties keep their
+#: JSON types (numbers, booleans, nulls, nested values).
 FEATURE = (
     "STRUCT<type: STRING, geometry: STRUCT<type: STRING, coordinates: STRING>,"
-    " properties: MAP<STRING, STRING>>"
+    " properties: MAP<STRING, VARIANT>>"
 )
 FEATURE_COLLECTION = f"type STRING, features ARRAY<{FEATURE}>, crs STRING, error STRING"
 
 #: One response of a feature service in its own JSON dialect.
 SERVICE_FEATURE = (
-    "STRUCT<attributes: MAP<STRING, STRING>, geometry: STRUCT<"
+    "STRUCT<attributes: MAP<STRING, VARIANT>, geometry: STRUCT<"
     "rings: ARRAY<ARRAY<ARRAY<DOUBLE>>>, paths: ARRAY<ARRAY<ARRAY<DOUBLE>>>, x: DOUBLE, y: DOUBLE>>"
 )
 SERVICE_PAGE_BODY = f"features ARRAY<{SERVICE_FEATURE}>, error STRING"
