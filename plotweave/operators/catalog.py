@@ -160,6 +160,17 @@ def display_labels(documents: DataFrame) -> DataFrame:
     return documents.withColumn("label", paths.display_label(F.col("state"), F.col("city"), F.col("name")))
 
 
+def object_by_hash(requests: DataFrame, objects: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Length and time of the stored object of every requested ``hash``; null if nothing is stored under its key.
+
+    ``objects`` is a listing with ``object_key`` (:func:`plotweave.functions.paths.content_addressed_layout`), ``length`` and ``modificationTime``.
+    """
+    keyed = requests.withColumn("object_key", paths.content_addressed_layout(F.col("hash")))
+    stored = objects.groupBy("object_key").agg(F.max(F.struct("modificationTime", "length")).alias("_o")).select(
+        "object_key", "_o.length", "_o.modificationTime")
+    return salted_join(keyed, stored, ["object_key"], salt_by=requests.columns, hot_rows=hot_rows, how="left")
+
+
 def corpus_size(files: DataFrame) -> DataFrame:
     return files.agg(
         F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"), F.count("*").alias("n_files")

@@ -324,6 +324,21 @@ def _(spark, sf):
     return listed.groupBy(lang.alias("lang")).agg(F.sum("length").alias("n_bytes"))
 
 
+@query("object_by_hash", """
+    SELECT s_suppkey, md5(s_name) AS hash, CASE WHEN s_suppkey % 2 = 0 THEN CAST(strlen(s_name) + 1 AS BIGINT) END AS length FROM {supplier}""")
+def _(spark, sf):
+    """Every second supplier has an object, stored in folders by the parts of its content hash."""
+    path = staging_path(spark, "store")
+    named = table(spark, sf, "supplier").withColumn("hash", F.md5("s_name"))
+    named.where("s_suppkey % 2 = 0").select(
+        F.col("s_name").alias("value"), F.substring("hash", 1, 2).alias("fan"), F.substr(F.col("hash"), F.lit(3)).alias("rest")
+    ).repartition("fan").write.partitionBy("fan", "rest").text(path)
+    listed = landed.object_metadata(spark, path, "*.txt")
+    key = F.concat(F.lit("files/md5/"), F.regexp_extract("path", "fan=([^/]+)/", 1), F.lit("/"), F.regexp_extract("path", "rest=([^/]+)/", 1))
+    found = op.object_by_hash(named.select("s_suppkey", "hash"), listed.withColumn("object_key", key))
+    return found.select("s_suppkey", "hash", "length")
+
+
 @query("corpus_size", """
     SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes, count(DISTINCT lang) AS n_files FROM {documents}""")
 def _(spark, sf):
