@@ -130,10 +130,13 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns, the text without the lines of :func:`repeated_lines`; null texts stay null."""
+    """All rows and columns, the text without the lines of :func:`repeated_lines`; null texts stay null.
+
+    How many documents lose lines grows with the corpus, so they meet their texts in a merge join at every size.
+    """
     removed = repeated_lines(docs, doc_id, text, least_words).where(F.size("lines") > 0).select(
         F.col("doc_id").alias("_wn_id"), F.col("text_hash").alias("_wn_hash"), F.col("lines").alias("_wn_lines"))
     keyed = docs.withColumn("_wn_key", F.xxhash64(text_of(F.col(text))))
-    joined = keyed.join(removed, F.col(doc_id).eqNullSafe(F.col("_wn_id")) & (F.col("_wn_key") == F.col("_wn_hash")), "left")
+    joined = keyed.join(removed.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_wn_id")) & (F.col("_wn_key") == F.col("_wn_hash")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_wn_lines", i)), "\n")
     return joined.withColumn(text, F.when(F.col("_wn_lines").isNotNull(), left).otherwise(F.col(text))).select(*docs.columns)
