@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plotweave.llm.common import staged, words_of
 from plotweave.llm.components import components
+from plotweave.plans.skew import salted_join
 
 REGISTERS = 128
 MANTISSA_BITS = 10
@@ -19,7 +20,8 @@ MANTISSA_BITS = 10
 MARGIN = 5.0
 #: Members of a bucket that are compared as one block; larger buckets are compared block by block.
 BLOCK = 512
-
+#: Members of a star that one task compares with its centre before they are dealt to several.
+HOT_CENTRE = 10_000
 
 
 def shingles_of(text: Column, k: int) -> Column:
@@ -38,7 +40,7 @@ def registers_of(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray
     """HyperMinHash registers (rows x REGISTERS, uint16; 0 is empty) of hashed shingles.
 
     The low bits choose the bucket. Of the smallest remaining number in it a register keeps the count of leading zeros,
-    plus one, and the bits after the leading one. Numbers above compare like registers below, so equal sets agree.
+    plus one, and the bits after the leading one. Equal shingles in a bucket give equal registers.
     """
     bits = int(np.log2(REGISTERS))
     width = 64 - bits
@@ -110,44 +112,125 @@ def _kept_pairs(percent: int):
     return keep
 
 
-def _within_buckets(percent: int):
-    """Pairs of different components within runs of equal (bucket, p, q), from batches in that order."""
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        key = x[["bucket", "p", "q"]].to_numpy()
-        start = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
-        run = np.cumsum(start)
-        longest = np.bincount(run).max()
-        ids, comp, n, block = (x[c].to_numpy() for c in ("id", "component", "n", "block"))
-        diagonal = (x["p"] == x["q"]).to_numpy()
-        regs, found = _matrix(x["sketch"]), []
-        for lag in range(1, longest):
-            i = np.flatnonzero(run[:-lag] == run[lag:])
-            j = i + lag
-            i, j = (y[(comp[i] != comp[j]) & (diagonal[i] | (block[i] != block[j]))] for y in (i, j))
-            fine = may_link(regs[i], regs[j], n[i], n[j], percent)
-            found.append(np.stack([ids[i[fine]], ids[j[fine]]], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1, initial=2**63 - 1), "b": pairs.max(axis=1, initial=-2**63)}).drop_duplicates()
+class Unions:
+    """Components met in one task, merged as links between them turn up."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the links that join what was apart: a forest, however many links there are."""
+        new = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            s, t = self.top(x), self.top(y)
+            if s != t:
+                self.up[max(s, t)] = min(s, t)
+                new.append((x, y))
+        return new
+
+
+def _by_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in order of (grp, p, q), cut so that no run of equal keys is torn; runs are of bounded length."""
+    held: list[pd.DataFrame] = []
+    for x in batches:
+        if not len(x):
+            continue
+        key = x[["grp", "p", "q"]].to_numpy()
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        if held and (held[-1][["grp", "p", "q"]].to_numpy()[-1] != key[0]).any():
+            yield pd.concat(held)
+            held = []
+        if len(other):
+            yield pd.concat([*held, x.iloc[:other[-1] + 1]])
+            held = []
+        held.append(x.iloc[other[-1] + 1:] if len(other) else x)
+    if held:
+        yield pd.concat(held)
+
+
+def _runs(x: pd.DataFrame) -> np.ndarray:
+    key = x[["grp", "p", "q"]].to_numpy()
+    return np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+
+
+def _likely_links(percent: int):
+    """Links between components that the sketches of two members within a run do not rule out, as a forest."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = Unions()
+        for x in _by_run(batches):
+            run, new = _runs(x), []
+            comp, n, block = (x[c].to_numpy() for c in ("component", "n", "block"))
+            same_block = (x["p"] == x["q"]).to_numpy()
+            regs = _matrix(x["payload"])
+            for lag in range(1, np.bincount(run).max()):
+                i = np.flatnonzero(run[:-lag] == run[lag:])
+                i = i[(comp[i] != comp[i + lag]) & (same_block[i] | (block[i] != block[i + lag]))]
+                fine = i[may_link(regs[i], regs[i + lag], n[i], n[i + lag], percent)]
+                new += seen.merge(comp[fine], comp[fine + lag])
+            yield pd.DataFrame(new, columns=["a", "b"], dtype=np.int64)
+    return scan
 
+
+def _exact_links(percent: int):
+    """Links between components that full sets within a run prove, as a forest."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for x in batches:
-            if not len(x):
-                continue
-            last = (x[["bucket", "p", "q"]] == x[["bucket", "p", "q"]].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if cut == 0 and held and (held[-1][["bucket", "p", "q"]].iloc[-1] != x[["bucket", "p", "q"]].iloc[0]).any():
-                yield compare(pd.concat(held))
-                held = []
-            if cut:
-                yield compare(pd.concat([*held, x.iloc[:cut]]))
-                held = []
-            held.append(x.iloc[cut:])
-        if held:
-            yield compare(pd.concat(held))
+        seen = Unions()
+        for x in _by_run(batches):
+            run, new = _runs(x), []
+            for r in range(1, run[-1] + 1):
+                one = x.iloc[np.searchsorted(run, r):np.searchsorted(run, r, side="right")]
+                comp, block, sets = one["component"].to_numpy(), one["block"].to_numpy(), one["payload"].to_list()
+                n = np.array([len(s) for s in sets])
+                codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                at = np.r_[0, np.cumsum(n)]
+                flag = np.zeros(codes.max() + 1, dtype=np.int64)
+                both = one["p"].iloc[0] == one["q"].iloc[0]
+                for i in range(len(sets) - 1):
+                    flag[codes[at[i]:at[i + 1]]] = 1
+                    common = np.add.reduceat(flag[codes[at[i + 1]:]], at[i + 1:-1] - at[i + 1])
+                    flag[codes[at[i]:at[i + 1]]] = 0
+                    j = np.arange(i + 1, len(sets))
+                    fine = (100 * common >= percent * (n[i] + n[j] - common)) & (comp[j] != comp[i])
+                    fine &= both | (block[j] != block[i])
+                    new += seen.merge(np.full(fine.sum(), comp[i]), comp[j[fine]])
+            yield pd.DataFrame(new, columns=["a", "b"], dtype=np.int64)
     return scan
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of groups (``grp, id, component, n``) dealt to pairs of blocks in which every two members of different
+    components meet once: adds ``block, p, q``. Groups with one component are left out.
+
+    The largest component of a group has blocks of its own, which meet only blocks of the rest. So what a large group
+    of linked copies costs is its size times the number of blocks of those not linked yet.
+    """
+    of = members.groupBy("grp", "component").agg(F.count("*").alias("_n"))
+    groups = of.groupBy("grp").agg(
+        F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_most"), F.count("*").alias("_components")
+    ).where("_components > 1").select(
+        "grp", F.col("_most.component").alias("_main"), F.ceil(F.col("_most._n") / BLOCK).cast("int").alias("_main_blocks"),
+        F.ceil((F.col("_all") - F.col("_most._n")) / BLOCK).cast("int").alias("_blocks"))
+    main = F.col("component") == F.col("_main")
+    own = F.pmod(F.xxhash64("id"), F.when(main, F.col("_main_blocks")).otherwise(F.col("_blocks"))).cast("int")
+    placed = members.join(groups, "grp").withColumn("block", F.when(main, -1 - own).otherwise(own))
+    # Blocks of the main component have numbers below zero; pairs are (lower, higher), the higher never below zero.
+    partners = F.when(main, F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(
+        F.concat(F.sequence(F.lit(0), F.col("_blocks") - 1), F.transform(F.sequence(F.lit(0), F.col("_main_blocks") - 1), lambda i: -1 - i)))
+    return placed.withColumn("_other", F.explode(partners)).select(
+        "grp", F.least("block", "_other").alias("p"), F.greatest("block", "_other").alias("q"), "block", "id", "component", "n")
+
+
+def _linked(dealt: DataFrame, find) -> DataFrame:
+    """Links between components found by ``find`` in every pair of blocks."""
+    ready = dealt.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+    return ready.mapInPandas(find, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; the row to keep of a component is its smallest id.
 
@@ -159,8 +242,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
        are bands. Sets of different band width meet because a set close below 64 (or 8) shingles is banded both ways.
     3. Each class is compared with the smallest class of its buckets that it meets most often. Verified links
        give first components; a large group of copies is one star, not all its pairs.
-    4. Where a bucket still holds different components, pairs across them are compared by sketch, in blocks of
-       bounded size, so that no link between two components is passed over. Survivors are verified as well.
+    4. Where a bucket still holds different components, sketches across them are compared, in blocks of bounded size.
+       What they do not rule out joins components to neighbourhoods; only a forest of such links leaves a task.
+    5. Within each neighbourhood full sets across components are intersected, in blocks again, and proven links merge the components.
+       So no link between two components is passed over, and no task or table holds all pairs of a group.
 
     Verification intersects the full sets, made again from whole texts; the estimate only rules out.
 
@@ -186,20 +271,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = staged(keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("first")).where("members > 1"), "buckets")
     met = keyed.join(buckets, "bucket").where("id <> first").groupBy("id", "first").agg(F.count("*").alias("times"))
     stars = met.groupBy(F.col("id").alias("b")).agg(F.max_by("first", F.struct("times", -F.col("first"))).alias("a")).select("a", "b")
-    links = _verified(stars, classes, source, k, percent)
-    first = components(links)
-
-    named = keyed.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    crowded = keyed.join(buckets, "bucket").join(first.withColumnRenamed("node", "id"), "id", "left").groupBy("bucket").agg(
-        F.count("*").alias("members"), F.min(F.coalesce("component", "id")).alias("_lo"), F.max(F.coalesce("component", "id")).alias("_hi"),
-    ).where("_lo <> _hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    placed = named.join(crowded, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "_other").alias("p"), F.greatest("block", "_other").alias("q"), "block", "id", "component", "n")
-    ready = dealt.join(classes.select("id", "sketch"), "id").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    across = ready.mapInPandas(_within_buckets(percent), "a bigint, b bigint").distinct()
-    more = _verified(across, classes, source, k, percent, estimated=True)
-    final = components(links.union(more))
+    linked = _verified_stars(stars, classes, source, k, percent)
+    named = classes.select("id", F.col("n_shingles").alias("n")).join(components(linked), F.col("id") == F.col("node"), "left").select(
+        "id", "n", F.coalesce("component", "id").alias("component"))
+    named = staged(named, "named")
+
+    crowded = keyed.join(buckets, "bucket").join(named.drop("n"), "id").select(F.col("bucket").alias("grp"), "id", "component", "n")
+    sketches = classes.select("id", F.col("sketch").alias("payload"))
+    likely = _linked(_in_blocks(staged(crowded, "crowded")).join(sketches, "id"), _likely_links(percent))
+    around = components(likely).select(F.col("node").alias("component"), F.col("component").alias("grp"))
+    near = staged(_in_blocks(staged(named.join(around, "component"), "near")), "blocks")
+    ids = staged(near.select(F.col("id").alias("doc_id"), "n").distinct(), "ids")
+    # The comparison holds for all rows; with one Spark filters the texts by a Bloom filter of the ids before it shuffles them.
+    sets = source.join(ids.where("n > 0"), "doc_id").select(F.col("doc_id").alias("id"), shingles_of(F.col("_text"), k).alias("payload"))
+    merged = components(_linked(near.join(sets, "id"), _exact_links(percent)))
+    final = named.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_merged")), "component", "left").select(
+        F.col("id").alias("node"), F.coalesce("_merged", "component").alias("component")).distinct()
 
     of_class = classes.join(final, classes["id"] == final["node"], "left").select(
         "n_shingles", "f1", "f2", F.coalesce("component", "id").alias("_component"))
@@ -209,17 +296,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, k: int, percent: int, estimated: bool = False) -> DataFrame:
-    """The pairs whose full sets are similar enough, written out."""
-    if not estimated:
-        side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_kept_pairs(percent), "a bigint, b bigint")
-    pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(source.join(ids, "doc_id").select("doc_id", shingles_of(F.col("_text"), k).alias("set")), "sets")
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - F.col("_common")
+def _verified_stars(stars: DataFrame, classes: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of links ``(a, b)`` from centres a to one b each, those whose full sets are similar enough."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    likely = staged(stars.join(side("a"), "a").join(side("b"), "b").mapInPandas(_kept_pairs(percent), "a bigint, b bigint"), "stars")
+    members = staged(likely.select(F.col("b").alias("doc_id"), F.col("a").alias("centre")).union(
+        likely.select(F.col("a").alias("doc_id"), F.col("a").alias("centre")).distinct()), "members")
+    # A centre is the smallest id of its star. As above, the comparison lets Spark filter texts by ids before the shuffle.
+    sets = staged(source.join(members.where("centre <= doc_id"), "doc_id").select(
+        "doc_id", "centre", shingles_of(F.col("_text"), k).alias("set")), "sets")
+    centres = sets.where("doc_id = centre").select("centre", F.col("set").alias("_centre_set"))
+    common = F.size(F.array_intersect("set", "_centre_set"))
     return staged(
-        pairs.join(of("a"), "a").join(of("b"), "b").withColumn("_common", common)
-        .where(100 * F.col("_common") >= percent * union).select("a", "b").distinct(), "verified")
+        salted_join(sets.where("doc_id <> centre"), centres, ["centre"], ["doc_id"], HOT_CENTRE)
+        .withColumn("_common", common)
+        .where(100 * F.col("_common") >= percent * (F.size("set") + F.size("_centre_set") - F.col("_common")))
+        .select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "verified")

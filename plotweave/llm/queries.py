@@ -27,8 +27,9 @@ LLM_ORACLES: dict[str, str] = {}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with batches small enough for whole texts of any length."""
+    """The session with batches small enough for whole texts, and Bloom filters of ids before shuffles of texts of any size."""
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     return spark
 
 
