@@ -17,7 +17,7 @@ from plotweave.llm.quality import fit_quality, in_held_out, with_quality
 from plotweave.llm.secrets import find_secrets, secrets_digest
 from plotweave.llm.toolcalls import MESSAGE_SCHEMAS, link_calls, message_calls
 from plotweave.llm.toxicity import fit_toxicity, with_toxicity
-from plotweave.llm.winnow import repeated_lines
+from plotweave.llm.winnow import repeated_lines, repeated_passages
 from plotweave.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,9 +135,16 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_winnow_lines")
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("lines").cast("bigint").alias("n_removed"), F.col("n_words").alias("n_removed_words"),
-                        F.array_join(F.transform("lines", lambda i: i.cast("string")), ",").alias("removed_lines"))
+    docs = table(spark, sf_dir, "documents")
+    found = repeated_lines(docs)
+    passages = repeated_passages(docs).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "passages", F.col("n_words").alias("_n_words"))
+    both = found.join(passages, found["doc_id"].eqNullSafe(passages["_id"]) & (found["text_hash"] == passages["_th"]), "left")
+    return both.select(
+        "doc_id", "n_lines", F.size("lines").cast("bigint").alias("n_removed"), F.col("n_words").alias("n_removed_words"),
+        F.array_join(F.transform("lines", lambda i: i.cast("string")), ",").alias("removed_lines"),
+        F.coalesce("_n_words", F.lit(0)).cast("bigint").alias("n_passage_words"),
+        F.coalesce(F.array_join(F.transform("passages", lambda x: F.concat_ws("-", x["a"], x["b"])), ","), F.lit("")).alias("removed_passages"))
 
 
 #: Least score of documents that pass.

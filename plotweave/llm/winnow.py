@@ -1,17 +1,19 @@
-"""Repeated runs of lines, found by winnowing line hashes."""
+"""Repeated runs of lines and of words, found by winnowing their hashes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import staged, text_of
+from plotweave.llm.common import staged, text_of, words_of
 from plotweave.llm.spans import named
 from plotweave.plans.once import with_once
 from plotweave.plans.skew import salted_join
 
 #: A run of lines is removed when it repeats an earlier one and has this many words at least.
 LEAST_WORDS = 50
+#: Words of a fingerprint of a passage.
+GRAM = 8
 #: Runs meeting in one line, or in one earlier document, that one task takes before they are dealt to several.
 HOT_RUNS = 20_000
 
@@ -129,14 +131,126 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.aggregate(F.transform(lost, lambda i: F.get("_w", i)), F.lit(0), lambda t, w: t + w).cast("bigint").alias("n_words"))
 
 
+def _least_in_windows(values: Column, width: int) -> Column:
+    """Least of every ``width`` values in a row, by doubling; windows that reach over the end hold what is there."""
+    shifts = [1 << k for k in range(width.bit_length() - 1)]
+    shifts.append(width - (1 << len(shifts)))
+    return F.aggregate(F.array(*[F.lit(s) for s in shifts if s]), values, lambda m, s: F.zip_with(
+        m, F.slice(m, s + 1, F.size(m)), lambda a, b: F.least(a, b)))
+
+
+def _stretches(least_words: int) -> Column:
+    """``struct<lo, hi, f, s>``: windows ``lo`` to ``hi`` of ``least_words`` words that share a fingerprint, its hash, and the hash of all their words.
+
+    The fingerprint of a window is its first ``gram`` words whose beginning has the least hash; beginnings of three words differ more
+    than words do. Values hold the upper half of the hash and the place in the lower, so that the least of a window also says where it is.
+    """
+    gram = min(GRAM, least_words)
+    width = least_words - gram + 1
+    place = lambda x: x.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    values = F.transform("_h", lambda x, i: F.xxhash64(x, *[F.get("_h", i + k) for k in range(1, min(3, gram))]).bitwiseAND(F.lit(-(2**32))) + i)
+    tops = F.array_distinct(F.slice(_least_in_windows(values, width), 1, F.size("_h") - least_words + 1))
+    lows = lambda t: F.transform(t, lambda x, j: F.struct(place(x).alias("p"), F.when(j == 0, 0).when(
+        x < F.get(t, j - 1), place(x) - width + 1).otherwise(place(F.get(t, j - 1)) + 1).alias("lo")))
+    spans = lambda r: F.transform(r, lambda x, j: F.struct(
+        x["p"].alias("p"), x["lo"].alias("lo"), F.coalesce(F.get(r, j + 1)["lo"] - 1, F.size("_h") - least_words).alias("hi")))
+    hashes = lambda r: F.transform(r, lambda x: F.struct(
+        x["lo"].alias("lo"), x["hi"].alias("hi"), F.xxhash64(F.slice("_h", x["p"] + 1, gram)).alias("f"),
+        F.xxhash64(F.slice("_h", x["lo"] + 1, x["hi"] - x["lo"] + least_words)).alias("s")))
+    return hashes(named(named(tops, lows), spans))
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """Words to remove, wherever in a line they start and end: ``doc_id, text_hash, passages, n_words`` for each (id, text) with any.
+
+    ``passages`` are ``struct<a, b>``, first and last word from 0 over the whole text: the words of all runs of ``least_words`` and more words
+    that occur earlier, in the order of (id, hash of the text, word). Line ends and spaces only separate words; case counts.
+
+    1. Every window of ``least_words`` words has a fingerprint within; windows in a row that share one make a stretch. Equal windows
+       have equal fingerprints, so a repeated run shares all of them with the earlier one.
+    2. A stretch equal to an earlier one goes whole.
+    3. Of different stretches with one fingerprint the first of each kind is laid out window by window, and windows with an earlier
+       equal go. The first of equal windows lies in the first stretch of its kind, so nothing else has to be laid out.
+
+    The union of repeated windows is the union of the longest repeated runs. Compared are 64-bit hashes of words, taken together.
+    """
+    whole = docs.select(F.col(doc_id).alias("doc_id"), text_of(F.col(text)).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
+    word_hashes = F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))
+    hashed = with_once(whole, "_h", word_hashes).where(F.size("_h") >= least_words)
+    prints = staged(hashed.select("doc_id", "text_hash", F.explode(_stretches(least_words)).alias("x")).select("doc_id", "text_hash", "x.*"), "prints")
+
+    # Rows that repeat id and text give the same occurrence twice, so occurrences are told apart by their places and not counted.
+    often = prints.groupBy("f").agg(F.count("*").alias("_n")).where("_n > 1").select("f")
+    suspects = staged(salted_join(prints, often, ["f"], ["doc_id", "text_hash", "lo"], HOT_RUNS), "suspects")
+    kinds = staged(suspects.groupBy("f", "s").agg(
+        F.min(F.struct("doc_id", "text_hash", "lo", "hi")).alias("_o"), F.max(F.struct("doc_id", "text_hash", "lo", "hi")).alias("_z")), "kinds")
+    other = ~F.struct("doc_id", "text_hash", "lo", "hi").eqNullSafe(F.col("_o"))
+    again = kinds.where(~F.col("_o").eqNullSafe(F.col("_z"))).select("f", "s", "_o")
+    stretches = salted_join(suspects, again, ["f", "s"], ["doc_id", "text_hash", "lo"], HOT_RUNS).where(other).select(
+        "doc_id", "text_hash", F.col("lo").alias("a"), (F.col("hi") + least_words - 1).alias("b"))
+
+    unlike = kinds.groupBy("f").agg(F.count("*").alias("_n")).where("_n > 1").select("f")
+    laid = salted_join(kinds, unlike, ["f"], ["s"], HOT_RUNS).groupBy(
+        F.col("_o.doc_id").alias("_id"), F.col("_o.text_hash").alias("_th")).agg(F.collect_set(F.struct("_o.lo", "_o.hi")).alias("_at"))
+    window = lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("_h", i + 1, least_words)).alias("w"))
+    own = whole.join(laid.hint("merge"), whole["doc_id"].eqNullSafe(laid["_id"]) & (whole["text_hash"] == laid["_th"]))
+    windows = staged(
+        with_once(own, "_h", word_hashes)
+        .select("doc_id", "text_hash", F.explode(F.flatten(F.transform("_at", lambda x: F.transform(F.sequence(x["lo"], x["hi"]), window)))).alias("x"))
+        .select("doc_id", "text_hash", "x.*"), "looked")
+    at = F.struct("doc_id", "text_hash", "i")
+    origin = windows.groupBy("w").agg(F.min(at).alias("_o"), F.max(at).alias("_z")).where(~F.col("_o").eqNullSafe(F.col("_z"))).select("w", "_o")
+    single = salted_join(windows, origin, ["w"], ["doc_id", "text_hash", "i"], HOT_RUNS).where(~at.eqNullSafe(F.col("_o"))).select(
+        "doc_id", "text_hash", F.col("i").alias("a"), (F.col("i") + least_words - 1).alias("b"))
+
+    # Sorted by their starts, ranges of one text are sorted by their ends as well.
+    gap = lambda x, y: y.isNull() | (y["a"] > x["b"] + 1)
+    merged = lambda r: F.zip_with(
+        F.filter(r, lambda y, j: (j == 0) | gap(F.get(r, j - 1), y)), F.filter(r, lambda x, j: gap(x, F.get(r, j + 1))),
+        lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
+    ranges = stretches.union(single).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("_r"))
+    return with_once(ranges, "passages", named(F.col("_r"), merged)).select(
+        "doc_id", "text_hash", "passages",
+        F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, x: n + x["b"] - x["a"] + 1).alias("n_words"))
+
+
+def _without(text: Column, passages: Column) -> Column:
+    """The text without ranges of its words. Lines left without a word go with their line end; other lines stay apart."""
+    blank = r"[\x20\x09-\x0D]"
+    unled = lambda x: F.regexp_replace(x, f"^{blank}+", "")
+    led = lambda x: F.regexp_extract(x, f"^{blank}*", 0)
+    tail = F.regexp_extract(text, f"(?<!{blank}){blank}*+$", 0)
+
+    def cut(tokens: Column) -> Column:
+        n = F.size(tokens)
+
+        def piece(r: Column, j: Column) -> Column:
+            start = F.when(j == 0, 0).otherwise(F.get(passages, j - 1)["b"] + 1)
+            kept = F.array_join(F.slice(tokens, start + 1, r["a"] - start), "")
+            last = r["b"] == n - 1
+            ahead, behind = led(F.get(tokens, r["a"])), F.when(last, tail).otherwise(led(F.get(tokens, r["b"] + 1)))
+            to_line = F.regexp_extract(ahead, r"(?s)^.*\n", 0)
+            between = (
+                F.when((r["a"] > 0) & ~F.contains(ahead, F.lit("\n")), behind)
+                .when(F.contains(behind, F.lit("\n")), F.concat(to_line, F.regexp_replace(behind, r"^[^\n]*\n", "")))
+                .when(last, F.regexp_extract(ahead, r"(?s)^(.*)\n", 1)).otherwise(to_line))
+            return F.concat(F.when(j == 0, kept).otherwise(unled(kept)), between)
+
+        end = F.element_at(passages, -1)["b"]
+        rest = F.when(end < n - 1, F.concat(unled(F.array_join(F.slice(tokens, end + 2, n), "")), tail)).otherwise("")
+        return F.concat(F.array_join(F.transform(passages, piece), ""), rest)
+
+    return named(F.regexp_extract_all(text, F.lit(f"{blank}*+[^\\x20\\x09-\\x0D]++"), F.lit(0)), cut)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns, the text without the lines of :func:`repeated_lines`; null texts stay null.
+    """All rows and columns, the text without :func:`repeated_passages`, which hold all lines of :func:`repeated_lines`; null texts stay null.
 
-    How many documents lose lines grows with the corpus, so they meet their texts in a merge join at every size.
+    How many documents lose words grows with the corpus, so they meet their texts in a merge join at every size.
     """
-    removed = repeated_lines(docs, doc_id, text, least_words).where(F.size("lines") > 0).select(
-        F.col("doc_id").alias("_wn_id"), F.col("text_hash").alias("_wn_hash"), F.col("lines").alias("_wn_lines"))
+    removed = repeated_passages(docs, doc_id, text, least_words).select(
+        F.col("doc_id").alias("_wn_id"), F.col("text_hash").alias("_wn_hash"), F.col("passages").alias("_wn_passages"))
     keyed = docs.withColumn("_wn_key", F.xxhash64(text_of(F.col(text))))
     joined = keyed.join(removed.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_wn_id")) & (F.col("_wn_key") == F.col("_wn_hash")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_wn_lines", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("_wn_lines").isNotNull(), left).otherwise(F.col(text))).select(*docs.columns)
+    left = _without(F.col(text), F.col("_wn_passages"))
+    return joined.withColumn(text, F.when(F.col("_wn_passages").isNotNull(), left).otherwise(F.col(text))).select(*docs.columns)
