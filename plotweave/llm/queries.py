@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
+from plotweave.llm.audit import CAPITALS, interactions, mask_counts
 from plotweave.llm.decontaminate import indexes_of, with_hits
 from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.linefreq import line_quality
+from plotweave.llm.merkle import build_manifest, folded, leaf_digest, proof_digest, proofs
 from plotweave.llm.mixing import mix_sources
+from plotweave.llm.packing import ids_crc32, pack_sequences
 from plotweave.llm.pii import find_personal_data, personal_digest
 from plotweave.llm.quality import fit_quality, in_held_out, with_quality
 from plotweave.llm.secrets import find_secrets, secrets_digest
@@ -176,3 +178,102 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tool_calls")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(*message_calls(table(spark, sf_dir, "conversations")), MESSAGE_SCHEMAS)
+
+
+#: The file of the tokenizer that counts tokens, of those that :mod:`public_tokenizers` names.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op11_pack_sequences")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packed.select("doc_id", "piece", "start", "length", ids_crc32(F.col("ids")).alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crcs AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents), (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8)),
+d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered
+  FROM (SELECT d.*, c.crc FROM documents d LEFT JOIN crcs c ON d.doc_id IS NOT DISTINCT FROM c.doc_id)),
+hashed AS (
+  SELECT doc_id, source, sha256(a || b || c || e || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(a || b || c || e || coalesce(strlen(altered) || ':' || altered, '-')) AS changed
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS a, coalesce(strlen(source) || ':' || source, '-') AS b,
+               coalesce(strlen(lang) || ':' || lang, '-') AS c, coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS e FROM d)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+up AS (
+  SELECT source, 0 AS h, pos, leaf AS digest, n FROM leaves
+  UNION ALL SELECT source, h + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM up WHERE n > 1 GROUP BY source, h, pos // 16),
+tops AS (SELECT source, h AS depth, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS h, pos, subroot AS digest, n FROM tops
+  UNION ALL SELECT h + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM over WHERE n > 1 GROUP BY h, pos // 16),
+run AS (SELECT source, h, pos // 16 AS run, list(digest ORDER BY pos) AS kids FROM up WHERE n > 1 GROUP BY source, h, pos // 16),
+top_run AS (SELECT h, pos // 16 AS run, list(digest ORDER BY pos) AS kids FROM over WHERE n > 1 GROUP BY h, pos // 16),
+start AS (SELECT row_number() OVER () AS rid, l.doc_id, l.leaf, l.changed, l.source, l.pos, t.depth, t.subroot, t.pos AS top FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source),
+fold AS (
+  SELECT rid, source, 0 AS h, pos, depth, top, changed AS digest, '' AS others FROM start
+  UNION ALL SELECT rid, f.source, f.h + 1, f.pos // 16, depth, top, sha256(array_to_string(kids[:f.pos % 16], '') || digest || array_to_string(kids[f.pos % 16 + 2:], '')),
+                   others || array_to_string(kids[:f.pos % 16], '') || array_to_string(kids[f.pos % 16 + 2:], '')
+            FROM fold f JOIN run r ON f.source IS NOT DISTINCT FROM r.source AND f.h = r.h AND f.pos // 16 = r.run),
+top_fold AS (
+  SELECT rid, 0 AS h, top AS pos, digest, others FROM fold WHERE h = depth
+  UNION ALL SELECT rid, f.h + 1, f.pos // 16, sha256(array_to_string(kids[:f.pos % 16], '') || digest || array_to_string(kids[f.pos % 16 + 2:], '')),
+                   others || array_to_string(kids[:f.pos % 16], '') || array_to_string(kids[f.pos % 16 + 2:], '')
+            FROM top_fold f JOIN top_run r ON f.h = r.h AND f.pos // 16 = r.run),
+top AS (SELECT h, digest AS root FROM over WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM start JOIN top_fold USING (rid) JOIN top USING (h)
+""")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: [*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text]
+    lower = F.translate("text", CAPITALS, CAPITALS.lower())
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf_digest(*fields(lower)))
+    leaves = docs.select("doc_id", "source", leaf_digest(*fields(F.col("text"))).alias("leaf"), altered.alias("altered"))
+    found = proofs(build_manifest(leaves, "source", ["doc_id"]))
+    told = found.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+                        folded(F.coalesce("altered", "digest"), F.col("path")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(d.doc_id > least, false)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d JOIN first USING (t) LEFT JOIN marks ON d.doc_id = marks.doc_id),
+counts AS (SELECT part, mask, count(*)::BIGINT AS n, sum(good)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM masks GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS letter, 1 << (ascii(filter_order[step]) - 65) AS bit,
+                 list_sum(list_transform(string_split(filter_order, ''), lambda c, i: CASE WHEN i < step THEN 1 << (ascii(c) - 65) ELSE 0 END))::INT AS earlier
+          FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step)),
+told AS (
+  SELECT part, filter_order, step::INT AS step, any_value(letter) AS letter,
+         coalesce(sum(n) FILTER (WHERE mask & bit = 0 AND mask & earlier = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & earlier > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM told
+""")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
