@@ -28,16 +28,20 @@ WORDS, LONGEST_WORD = 300_000, 64
 #: Bytes of text split into words at a time.
 SLAB = 1 << 20
 
-#: How the tokenizer's file cuts words; fixed value, compared with the file before the same cut is used on ASCII words.
+#: How the tokenizer's file cuts words; fixed value, compared with the file before the same cut is used on plain words.
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PLAIN = re.compile(rb"[!-~]+")
+#: The same cut for lower-cased words of printable ASCII and composed Latin letters, which no normalisation but lower case changes.
+LATIN = r"\u00df-\u00f6\u00f8-\u017e"
+PLAIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
+#: Bytes as the signs that stand for them in merges: printable Latin-1 stands for itself, the others follow from U+0100 on.
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WordIds(dict):
     """Ids of words as little-endian unsigned 32-bit numbers.
 
-    Holds for tokenizers that never join characters across white space and lower-case what they read. A part of a plain ASCII word goes to the
+    Holds for tokenizers that never join characters across white space and lower-case what they read. A part of a plain word goes to the
     merge model directly, any other word through the whole tokenizer.
     """
 
@@ -45,10 +49,11 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.model, self.parts = tokenizer, tokenizer.model, {}
 
-    def _part(self, part: bytes) -> bytes:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(part.decode())]).tobytes()
+            signs = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
             if len(part) <= LONGEST_WORD:
                 if len(self.parts) >= WORDS:
                     self.parts.clear()
@@ -56,10 +61,11 @@ class WordIds(dict):
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if PLAIN.fullmatch(word) and b"<|" not in word:
-            ids = b"".join([self._part(p) for p in ASCII_PARTS.findall(word.lower())])
+        text = word.decode("utf-8", "replace")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join([self._part(p) for p in PLAIN_PARTS.findall(text.lower())])
         else:
-            ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= LONGEST_WORD:
             if len(self) >= WORDS:
                 self.clear()

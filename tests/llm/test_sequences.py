@@ -65,7 +65,7 @@ def test_ids_are_those_of_whole_texts(texts):
         vocabulary = file.read()
     encode, tokenizer = encoder(vocabulary), Tokenizer.from_str(vocabulary)
     odd = ["It's THE end''s 'lla 12ab3 İSTANBUL ΟΔΟΣ ΟΔΟΣ. é ́x a b a b \x1c\x1d x\x85y <|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b",
-           "́ ̧́ é é", "x" * 3000, "ß ẞ ﬁ Ⅳ ½ 𝒳 \U0001f600‍", "", " \n\t", "a\x00b \x7f ~!@#"]
+           "́ ̧́ é é", "".join(map(chr, range(0xa0, 0x250))), " ".join(map(chr, range(0x20, 0x250))), "L'ÉTÉ's où's œuf ŒUF ŉ ŉs ĳ ſ İı", "x" * 3000, "ß ẞ ﬁ Ⅳ ½ 𝒳 \U0001f600‍", "", " \n\t", "a\x00b \x7f ~!@#"]
     for text in [*odd, *texts.values()]:
         assert encode(text.encode()) == ids_of(tokenizer, text)[:-1].tobytes(), text[:80]
 
