@@ -160,6 +160,14 @@ FIXTURES: dict[str, str] = {
     "points": """
         SELECT c_custkey AS pt_id, CAST((c_custkey * 7919) % 5000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 6000 AS DOUBLE) AS y
         FROM {customer}""",
+    # One polygon under all points, two facing combs, with a vertex for every order.
+    "comb_vertices": """
+        SELECT 1 AS poly_id, 0 AS zone_no, 0 AS ring_no, k AS vertex_no,
+               CASE WHEN k < half THEN k * 5000.0 / half ELSE (n - 1 - k) * 5000.0 / (n - half) END AS x,
+               CASE WHEN k < half THEN (k % 2) * 2900.0 + (k * 7919) % 100 ELSE 6000.0 - (k % 2) * 2900.0 - (k * 104729) % 100 END AS y
+        FROM (SELECT k, n, CAST(floor(n / 2) AS BIGINT) AS half FROM (
+              SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM {orders}) AS c) AS h
+        UNION ALL SELECT 1, 0, 0, count(*), 0.0, 0.0 FROM {orders}""",
     "many_points": """
         SELECT l_orderkey * 8 + l_linenumber AS pt_id,
                CAST(((l_orderkey * 8 + l_linenumber) * 7919) % 5000 AS DOUBLE) AS x,

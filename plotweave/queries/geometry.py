@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plotweave.fixtures import faulty_polygons, frame, polygons
+from plotweave.fixtures import faulty_polygons, frame, nest_rings, polygons
 from plotweave.functions import geometry as geo
 from plotweave.operators import geometry as op
 from plotweave.operators.zones import zone_dim
@@ -29,6 +29,16 @@ def _(spark, sf):
     return point_in_polygon(frame(spark, sf, "points"), polygons(spark, sf)).select("pt_id", "poly_id")
 
 
+_IN_COMB = _INSIDE.replace("{vertices}", "{comb_vertices}")
+
+
+@query("point_in_long_polygon", f"SELECT pt_id, poly_id FROM ({_IN_COMB}) AS i")
+def _(spark, sf):
+    """All points against one polygon with a vertex for every order."""
+    comb = nest_rings(frame(spark, sf, "comb_vertices").withColumns({c: F.col(c).cast("double") for c in "xy"}), "zone_no")
+    return point_in_polygon(frame(spark, sf, "points"), comb).select("pt_id", "poly_id")
+
+
 @query("feature_at_click", f"""
     SELECT pt_id, poly_id, z.code, z.name FROM ({_INSIDE}) AS i LEFT JOIN {{zones}} AS z ON z.i = i.zone_no""")
 def _(spark, sf):
