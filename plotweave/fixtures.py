@@ -54,6 +54,21 @@ _shape_values = ", ".join(
     for vertex_no, (x, y) in enumerate(ring)
 )
 
+# Rings of features: shape, ring, polygon it belongs to, 1 for a hole, and the corners of its square.
+_NESTS = {
+    "plain": [(0, 0, (0, 0, 90, 90))],
+    "lake": [(0, 0, (0, 0, 90, 90)), (0, 1, (20, 20, 70, 70))],
+    "islands": [(0, 0, (0, 0, 40, 40)), (1, 0, (50, 50, 90, 90))],
+    "island in lake": [(0, 1, (10, 10, 80, 80)), (0, 0, (0, 0, 90, 90)), (1, 0, (30, 30, 60, 60))],
+    "deep": [(0, 0, (0, 0, 90, 90)), (0, 1, (5, 5, 85, 85)), (1, 0, (10, 10, 80, 80)), (1, 1, (20, 20, 40, 40)), (1, 1, (50, 50, 70, 70)), (2, 0, (55, 55, 65, 65))],
+}
+_nest_values = ", ".join(
+    f"('{shape}', {ring_no}, {part}, {hole}, {vertex_no}, {corners[x]}, {corners[y]})"
+    for shape, rings in _NESTS.items()
+    for ring_no, (part, hole, corners) in enumerate(rings)
+    for vertex_no, (x, y) in enumerate([(0, 1), (2, 1), (2, 3), (0, 3), (0, 1)])
+)
+
 FIXTURES: dict[str, str] = {
     # Manifest: content hashes and paths; some paths repeat with another hash further down.
     "manifest": """
@@ -157,6 +172,13 @@ FIXTURES: dict[str, str] = {
                           WHEN 4 THEN 'flat' WHEN 5 THEN 'island' WHEN 6 THEN 'holed' WHEN 7 THEN 'ell' ELSE 'rect' END AS shape
               FROM {{part}}) AS p
         JOIN (VALUES {_shape_values}) AS s(shape, ring_no, vertex_no, dx, dy) ON s.shape = p.shape""",
+    # Features whose rings are islands, lakes and islands in lakes.
+    "nested_vertices": f"""
+        SELECT p.id, p.shape, s.ring_no, s.part_no, s.hole, s.vertex_no, CAST(p.x0 + s.dx AS DOUBLE) AS x, CAST(p.y0 + s.dy AS DOUBLE) AS y
+        FROM (SELECT p_partkey AS id, (p_partkey % 50) * 100 AS x0, CAST(floor(p_partkey / 50) AS BIGINT) * 100 AS y0,
+                     CASE p_partkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'lake' WHEN 2 THEN 'islands' WHEN 3 THEN 'island in lake' ELSE 'deep' END AS shape
+              FROM {{part}}) AS p
+        JOIN (VALUES {_nest_values}) AS s(shape, ring_no, part_no, hole, vertex_no, dx, dy) ON s.shape = p.shape""",
     "points": """
         SELECT c_custkey AS pt_id, CAST((c_custkey * 7919) % 5000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 6000 AS DOUBLE) AS y
         FROM {customer}""",

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotweave.operators.rings import nested_rings
 from plotweave.functions.text import strip
 from plotweave.plans.once import with_once
 from plotweave.plans.ordered import number_segment, ordered_row_number, ordered_slice
@@ -158,11 +159,13 @@ def tag_source_layer(attributes: Column, layer: Column) -> Column:
     return F.map_concat(others, F.create_map(F.lit(SOURCE_LAYER), layer.cast("variant")))
 
 
-def esri_to_geojson(features: DataFrame, multipart: bool = False) -> DataFrame:
+def esri_to_geojson(features: DataFrame, multipart: bool = False, nest: bool = False) -> DataFrame:
     """Service features as stored features: geometry as type and coordinate text, tagged attributes.
 
     Of a line only the first path is kept and all rings form one polygon; ``multipart`` gives every
-    path a row of its own instead.
+    path a row of its own instead. With ``nest`` rings are sorted by which lies in which: every ring at an even depth becomes a polygon with the rings
+    right inside it as holes, and several polygons a MultiPolygon, in the order of their shells. Without a ring that has
+    vertices the rings stay as they are.
     """
     kept = has_geometry(features)
     geometry = F.col("geometry")
@@ -171,12 +174,20 @@ def esri_to_geojson(features: DataFrame, multipart: bool = False) -> DataFrame:
         kept = kept.withColumn("_path", paths)
     else:
         kept = kept.withColumn("_path", F.try_element_at(geometry.paths, F.lit(1)))
+    kind, area = geometry_kind(geometry), F.to_json(geometry.rings)
+    if nest:
+        corners = F.transform(geometry.rings, lambda r: F.transform(r, lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y"))))
+        several = F.size(geometry.rings) > 1
+        kept = kept.withColumn("_groups", nested_rings(F.when(several, corners).otherwise(F.slice(corners, 1, 0))))
+        polygons = F.transform("_groups", lambda g: F.transform(g, lambda i: F.get(geometry.rings, i)))
+        kind = F.when(several & (F.size("_groups") > 1), "MultiPolygon").otherwise(kind)
+        area = F.when(several & (F.size("_groups") > 1), F.to_json(polygons)).when(several & (F.size("_groups") == 1), F.to_json(F.get(polygons, F.lit(0)))).otherwise(area)
     coordinates = (
-        F.when(geometry.rings.isNotNull(), F.to_json(geometry.rings))
+        F.when(geometry.rings.isNotNull(), area)
         .when(geometry.paths.isNotNull(), F.to_json(F.col("_path")))
         .otherwise(F.to_json(F.array(geometry.x, geometry.y)))
     )
-    stored = F.struct(geometry_kind(geometry).alias("type"), coordinates.alias("coordinates"))
+    stored = F.struct(kind.alias("type"), coordinates.alias("coordinates"))
     return kept.select(
         *[c for c in features.columns if c not in ("attributes", "geometry")],
         stored.alias("geometry"),

@@ -240,7 +240,7 @@ def invalid_geometry_count(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("total"), F.count_if(~F.col("is_valid")).alias("invalid"))
 
 
-def _repaired_ring(ring: Column) -> Column:
+def repaired_ring(ring: Column) -> Column:
     """Ring without repeated neighbours, closed."""
     kept = F.filter(ring, lambda v, i: (i == 0) | (v.x != F.get(ring, i - 1).x) | (v.y != F.get(ring, i - 1).y))
     first, last = kept[0], F.element_at(kept, -1)
@@ -256,7 +256,7 @@ def geometry_basic_repair(polygons: DataFrame) -> DataFrame:
     """
     filled = F.filter("rings", lambda r: F.size(r) > 0)
     mended = F.filter(
-        F.transform(filled, _repaired_ring), lambda r: (F.size(r) >= 4) & (ring_signed_area(r) != 0)
+        F.transform(filled, repaired_ring), lambda r: (F.size(r) >= 4) & (ring_signed_area(r) != 0)
     )
     tried = geometry_validity(polygons.withColumn("_original", F.col("rings")).withColumn("rings", mended))
     kept = F.when(F.col("is_valid"), F.col("rings")).otherwise(F.col("_original"))

@@ -72,6 +72,26 @@ def _(spark, sf):
     return stored.select(F.col("properties")["OBJECTID"].cast("bigint").alias("id"), "geometry.type", "geometry.coordinates")
 
 
+@query("esri_multipolygons", """
+    SELECT id, CASE WHEN count(*) > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS type,
+           CASE WHEN count(*) > 1 THEN '[' || string_agg(polygon, ',' ORDER BY shell) || ']' ELSE min(polygon) END AS coordinates
+    FROM (SELECT id, part_no, min(ring_no) FILTER (WHERE hole = 0) AS shell, '[' || string_agg(ring, ',' ORDER BY hole, ring_no) || ']' AS polygon
+          FROM (SELECT id, part_no, hole, ring_no, '[' || string_agg('[' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ']', ',' ORDER BY vertex_no) || ']' AS ring
+                FROM {nested_vertices} AS v GROUP BY id, part_no, hole, ring_no) AS r GROUP BY id, part_no) AS p
+    GROUP BY id""")
+def _(spark, sf):
+    """Rings of every feature, in the order they are stored, as polygons and multipolygons."""
+    vertex = F.struct("vertex_no", F.array("x", "y").alias("v"))
+    ring = F.transform(F.array_sort(F.collect_list(vertex)), lambda v: v.v)
+    rings = frame(spark, sf, "nested_vertices").groupBy("id", "ring_no").agg(ring.alias("ring"))
+    nested = F.transform(F.array_sort(F.collect_list(F.struct("ring_no", "ring"))), lambda r: r.ring)
+    none = F.lit(None)
+    features = rings.groupBy("id").agg(nested.alias("rings")).select(
+        "id", F.lit("parcels").alias("layer_name"), none.cast("map<string,variant>").alias("attributes"),
+        F.struct("rings", none.cast("array<array<array<double>>>").alias("paths"), none.cast("double").alias("x"), none.cast("double").alias("y")).alias("geometry"))
+    return op.esri_to_geojson(features, nest=True).select("id", "geometry.type", "geometry.coordinates")
+
+
 @query("tag_source_layer", f"""
     SELECT f.id, f.layer_name AS source_layer, p_name AS name FROM {_GOOD} AND kind NOT IN ('none', 'curve')""")
 def _(spark, sf):
