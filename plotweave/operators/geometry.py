@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from plotweave.plans.spatial_join import point_in_box, point_in_polygon, radius_
 PAIRWISE_EDGES = 16
 #: Edge pairs a sweep holds in memory.
 PAIRS_AT_ONCE = 1_000_000
+#: Points of similar height that are placed in a ring at once.
+POINTS_AT_ONCE = 256
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
@@ -141,49 +143,89 @@ def _sides(ax, ay, bx, by, px, py) -> np.ndarray:
 
 
 def _place(edges: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """1 for points inside a ring, 0 on it, -1 outside (even-odd rule)."""
-    x1, y1, x2, y2 = (edges[:, i][None, :] for i in range(4))
+    """1 for points inside a ring, 0 on it, -1 outside (even-odd rule).
+
+    Points are taken in groups of similar height, and each group meets only edges that reach its heights.
+    """
     out = np.empty(len(points), dtype=int)
-    step = max(1, PAIRS_AT_ONCE // max(len(edges), 1))
-    for start in range(0, len(points), step):
-        px, py = points[start:start + step, 0][:, None], points[start:start + step, 1][:, None]
+    order = np.argsort(points[:, 1], kind="stable")
+    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    start = 0
+    while start < len(points):
+        rows = order[start:start + POINTS_AT_ONCE]
+        near = edges[(low <= points[rows[-1], 1]) & (high >= points[rows[0], 1])]
+        rows = rows[:max(1, PAIRS_AT_ONCE // max(len(near), 1))]
+        x1, y1, x2, y2 = (near[:, i][None, :] for i in range(4))
+        px, py = points[rows, 0][:, None], points[rows, 1][:, None]
         side = _sides(x1, y1, x2, y2, px, py)
         on = (side == 0) & (np.minimum(x1, x2) <= px) & (px <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= py) & (py <= np.maximum(y1, y2))
         crossed = ((y1 > py) != (y2 > py)) & (side == np.where(y2 > y1, 1, -1))
-        out[start:start + step] = np.where(on.any(axis=1), 0, np.where(crossed.sum(axis=1) % 2 == 1, 1, -1))
+        out[rows] = np.where(on.any(axis=1), 0, np.where(crossed.sum(axis=1) % 2 == 1, 1, -1))
+        start += len(rows)
     return out
 
 
-def _edges_conflict(a: np.ndarray, b: np.ndarray) -> bool:
-    """Do edges of two rings cross, or run along each other? Touching in single points is allowed."""
-    step = max(1, PAIRS_AT_ONCE // max(len(b), 1))
-    bx1, by1, bx2, by2 = (b[:, i][None, :] for i in range(4))
-    for start in range(0, len(a), step):
-        ax1, ay1, ax2, ay2 = (a[start:start + step, i][:, None] for i in range(4))
-        s1, s2 = _sides(ax1, ay1, ax2, ay2, bx1, by1), _sides(ax1, ay1, ax2, ay2, bx2, by2)
-        cross = (s1 * s2 < 0) & (_sides(bx1, by1, bx2, by2, ax1, ay1) * _sides(bx1, by1, bx2, by2, ax2, ay2) < 0)
-        shared_x = np.minimum(np.maximum(ax1, ax2), np.maximum(bx1, bx2)) - np.maximum(np.minimum(ax1, ax2), np.minimum(bx1, bx2))
-        shared_y = np.minimum(np.maximum(ay1, ay2), np.maximum(by1, by2)) - np.maximum(np.minimum(ay1, ay2), np.minimum(by1, by2))
-        along = (s1 == 0) & (s2 == 0) & (shared_x >= 0) & (shared_y >= 0) & (shared_x + shared_y > 0)
-        if (cross | along).any():
-            return True
-    return False
+def _edges_conflict(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges of ``a`` cross, or run along, the one of ``b`` beside them? Touching in single points is allowed."""
+    (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = a.T, b.T
+    s1, s2 = _sides(ax1, ay1, ax2, ay2, bx1, by1), _sides(ax1, ay1, ax2, ay2, bx2, by2)
+    cross = (s1 * s2 < 0) & (_sides(bx1, by1, bx2, by2, ax1, ay1) * _sides(bx1, by1, bx2, by2, ax2, ay2) < 0)
+    shared_x = np.minimum(np.maximum(ax1, ax2), np.maximum(bx1, bx2)) - np.maximum(np.minimum(ax1, ax2), np.minimum(bx1, bx2))
+    shared_y = np.minimum(np.maximum(ay1, ay2), np.maximum(by1, by2)) - np.maximum(np.minimum(ay1, ay2), np.minimum(by1, by2))
+    along = (s1 == 0) & (s2 == 0) & (shared_x >= 0) & (shared_y >= 0) & (shared_x + shared_y > 0)
+    return cross | along
+
+
+def box_pairs(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes (lower and upper corners) that meet, each once.
+
+    Boxes are sorted by their left ends, so those that a box meets in x follow it without gaps. A bounded number of pairs is made at a time.
+    """
+    order = np.argsort(low[:, 0], kind="stable")
+    partners = np.searchsorted(low[order, 0], high[order, 0], side="right") - np.arange(len(low)) - 1
+    total, start = np.concatenate([[0], np.cumsum(partners)]), 0
+    while start < len(low):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS_AT_ONCE, side="right")) - 1)
+        ranks = np.repeat(np.arange(start, stop), partners[start:stop])
+        step = np.arange(len(ranks)) - np.repeat(total[start:stop] - total[start], partners[start:stop])
+        a, b = order[ranks], order[ranks + 1 + step]
+        meet = (low[b, 1] <= high[a, 1]) & (low[a, 1] <= high[b, 1])
+        yield a[meet], b[meet]
+        start = stop
 
 
 def rings_conflict(rings: list[np.ndarray]) -> str | None:
-    """What is wrong between the rings of a polygon, given as edges (x1, y1, x2, y2); the first is the shell."""
-    boxes = [(r[:, [0, 2]].min(), r[:, [1, 3]].min(), r[:, [0, 2]].max(), r[:, [1, 3]].max()) for r in rings]
-    for j, hole in enumerate(rings[1:], 1):
-        for i in range(j):
-            (lx, ly, hx, hy), (mx, my, nx, ny) = boxes[i], boxes[j]
-            if lx <= nx and mx <= hx and ly <= ny and my <= hy and _edges_conflict(rings[i], hole):
-                return "rings cross"
-        if (_place(rings[0], hole[:, :2]) < 0).any():
-            return "hole outside shell"
-        for i in range(1, j):
-            if (_place(rings[i], hole[:, :2]) > 0).any() or (_place(hole, rings[i][:, :2]) > 0).any():
-                return "holes overlap"
-    return None
+    """What is wrong between the rings of a polygon, given as edges (x1, y1, x2, y2); the first is the shell.
+
+    The first hole at fault decides, and of its faults the first in this order: it crosses an earlier ring, leaves the shell, overlaps an earlier hole.
+    Edges of all rings meet in one sweep, and only holes whose boxes overlap are compared, so the work follows the number of
+    edges and not the pairs of holes.
+    """
+    faults: list[tuple[int, int]] = []  # number of the hole, and of the reason
+    edges, owner = np.concatenate(rings), np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    crossing = len(rings)
+    for a, b in box_pairs(np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])):
+        later = np.maximum(owner[a], owner[b])
+        a, b = (x[(owner[a] != owner[b]) & (later < crossing)] for x in (a, b))
+        bad = _edges_conflict(edges[a], edges[b])
+        if bad.any():
+            crossing = int(np.maximum(owner[a], owner[b])[bad].min())
+    faults.append((crossing, 0))
+    held = owner > 0
+    outside = owner[held][_place(rings[0], edges[held, :2]) < 0]
+    faults.append((int(outside.min()) if len(outside) else len(rings), 1))
+    first = min(faults)[0]
+    boxes = [np.array([f(r[:, :2], 0) for r in rings[1:]]).reshape(-1, 2) for f in (np.min, np.max)]
+    overlapping = []
+    for a, b in box_pairs(*boxes):
+        inner = ((boxes[0][a] < boxes[1][b]) & (boxes[0][b] < boxes[1][a])).all(1) & (np.maximum(a, b) + 1 < first)
+        overlapping.append(np.stack([np.maximum(a, b)[inner], np.minimum(a, b)[inner]], axis=1) + 1)
+    for j, i in sorted(map(tuple, np.concatenate(overlapping).tolist())) if overlapping else ():
+        if (_place(rings[i], rings[j][:, :2]) > 0).any() or (_place(rings[j], rings[i][:, :2]) > 0).any():
+            faults.append((j, 2))
+            break
+    hole, reason = min(faults)
+    return ("rings cross", "hole outside shell", "holes overlap")[reason] if hole < len(rings) else None
 
 
 def _rings_against_each_other(rings: Column) -> Column:

@@ -102,19 +102,9 @@ def nested_rings(rings: Column) -> Column:
 
 
 def _close_pairs(edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of edges that may share more than the end they have in common, from edges sorted by their left ends."""
-    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
-    order = np.argsort(low[:, 0], kind="stable")
-    partners = np.searchsorted(low[order, 0], high[order, 0], side="right") - np.arange(len(edges)) - 1
-    total, start = np.concatenate([[0], np.cumsum(partners)]), 0
+    """Pairs of edges that may share more than the end they have in common."""
     size = np.abs(edges).max() + 1
-    while start < len(edges):
-        stop = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS_AT_ONCE, side="right")) - 1)
-        ranks = np.repeat(np.arange(start, stop), partners[start:stop])
-        step = np.arange(len(ranks)) - np.repeat(total[start:stop] - total[start], partners[start:stop])
-        a, b = order[ranks], order[ranks + 1 + step]
-        near = (low[b, 1] <= high[a, 1]) & (low[a, 1] <= high[b, 1])
-        a, b = a[near], b[near]
+    for a, b in geometry.box_pairs(np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])):
 
         def clear(p, q):
             """All of q on one side of p, beyond what rounding could hide; or touching it with one end at an end of p."""
@@ -128,7 +118,6 @@ def _close_pairs(edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
         left = ~(clear(a, b) | clear(b, a))
         yield a[left], b[left]
-        start = stop
 
 
 def _common_points(a: np.ndarray, b: np.ndarray) -> list[Point]:

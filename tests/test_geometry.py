@@ -176,3 +176,67 @@ def test_rings_against_each_other(spark):
         [big, box(10, 10, 60), box(20, 20, 10)], [big, box(0, 40, 20)], [big, box(200, 0, 10)], [big, closed(*ring)], [big, closed(*wide)],
         [big, box(10, 10, 20), box(30, 30, 20)], [big, box(10, 10, 20), box(10, 10, 20)])
     assert got == [None, "rings cross", None, "rings cross", "holes overlap", "rings cross", "hole outside shell", None, "rings cross", None, "rings cross"]
+
+
+# --- rings against each other ----------------------------------------------------------------------
+
+
+def brute_conflict(rings):
+    """All pairs of rings, hole by hole."""
+    def conflict(a, b):
+        first, second = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        return op._edges_conflict(a[first], b[second]).any()
+
+    def place(edges, points):
+        found = []
+        for x, y in points:
+            x1, y1, x2, y2 = edges.T
+            side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+            on = (side == 0) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))
+            crossed = ((y1 > y) != (y2 > y)) & (np.sign(side) == np.where(y2 > y1, 1, -1))
+            found.append(0 if on.any() else 1 if crossed.sum() % 2 else -1)
+        return np.array(found)
+
+    for j, hole in enumerate(rings[1:], 1):
+        if any(conflict(rings[i], hole) for i in range(j)):
+            return "rings cross"
+        if (place(rings[0], hole[:, :2]) < 0).any():
+            return "hole outside shell"
+        for i in range(1, j):
+            if (place(rings[i], hole[:, :2]) > 0).any() or (place(hole, rings[i][:, :2]) > 0).any():
+                return "holes overlap"
+    return None
+
+
+def edge_array(points):
+    a = np.array(points, dtype=float)
+    return np.concatenate([a, np.roll(a, -1, axis=0)], axis=1)
+
+
+def test_conflicts_equal_all_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    seen = set()
+    for k in range(1500):
+        monkeypatch.setattr(op, "PAIRS_AT_ONCE", int(rng.choice([3, 50, 1_000_000])))
+        shapes = [edge_array([(0, 0), (20, 0), (20, 20), (0, 20)])]
+        for _ in range(rng.integers(1, 6)):
+            x, y = rng.integers(-1, 18, 2)
+            w, h = rng.integers(1, 5 if k % 3 else 12, 2)
+            box = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+            shapes.append(edge_array(box if k % 2 else [(x, y), (x + w, y + 1), (x + w // 2, y + h)]))
+        want = brute_conflict(shapes)
+        seen.add(want)
+        assert op.rings_conflict(shapes) == want
+    assert seen == {None, "rings cross", "hole outside shell", "holes overlap"}
+
+
+def test_many_holes(spark):
+    """20,000 holes and a shell of 10,000 vertices; also with the last hole over another one, or outside."""
+    shell = circle(10_000, 10)
+    spots = [(-60 + 0.8 * (i % 150), -55 + 0.8 * (i // 150)) for i in range(20_000)]
+    small = lambda x, y: closed((x, y), (x + 0.5, y), (x + 0.5, y + 0.5), (x, y + 0.5))
+    rings = [edge_array(shell[:-1]), *[edge_array(small(x, y)[:-1]) for x, y in spots]]
+    assert op.rings_conflict(rings) is None
+    assert op.rings_conflict([*rings, edge_array([(-59.9, -54.9), (-59.8, -54.9), (-59.8, -54.8)])]) == "holes overlap"
+    assert op.rings_conflict([*rings, edge_array([(300, 0), (301, 0), (301, 1)])]) == "hole outside shell"
+    assert reasons(spark, [shell, *[small(x, y) for x, y in spots[:3000]]]) == [None]
