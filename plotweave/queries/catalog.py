@@ -22,6 +22,17 @@ def _(spark, sf):
     return landed.manifest_scan(spark, path).select("md5", "relpath")
 
 
+@query("manifest_split_scan", "SELECT md5, relpath, row_number() OVER (ORDER BY ord) - 1 AS place FROM {manifest} AS m")
+def _(spark, sf):
+    """The same manifest as one file that several tasks read, with the place of every entry."""
+    path = staging_path(spark, "manifest")
+    manifest = frame(spark, sf, "manifest")
+    listed = F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct("md5", "relpath")).alias("text"))))
+    joined = manifest.agg(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda e: e.text), ","), F.lit("]")).alias("value"))
+    joined.coalesce(1).write.text(path)
+    return landed.manifest_split_scan(spark, path).select("md5", "relpath", F.col("ord").alias("place"))
+
+
 @query("json_parse", "SELECT md5, relpath FROM {manifest} AS m")
 def _(spark, sf):
     texts = frame(spark, sf, "manifest").select(F.to_json(F.struct("md5", "relpath")).alias("value"))

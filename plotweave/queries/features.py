@@ -19,15 +19,17 @@ def _(spark, sf):
     return read.select(value("id").cast("bigint").alias("id"), value("Zone_2024").alias("zone"), value("STREET_ADD").alias("street"))
 
 
-@query("geojson_split_scan", "SELECT id, zone, street FROM {features} AS f")
+@query("geojson_split_scan", "SELECT id, zone, street, TRUE AS gapless FROM {features} AS f")
 def _(spark, sf):
-    """The same features, each file cut where a feature opens."""
+    """The same features, each file cut where a feature opens; places in a file go from 0 without gaps."""
     path = staging_path(spark, "collections")
     features = stored_features(spark, sf).withColumn("pos", F.floor(F.col("id") / 17)).withColumn("part", F.col("id") % 17)
     sinks.geojson_collections_sink(features, path, "part", 50)
-    read = landed.geojson_split_scan(spark, path)
     value = op.property_text
-    return read.select(value("id").cast("bigint").alias("id"), value("Zone_2024").alias("zone"), value("STREET_ADD").alias("street"))
+    read = landed.geojson_split_scan(spark, path).select(
+        "source", "pos", value("id").cast("bigint").alias("id"), value("Zone_2024").alias("zone"), value("STREET_ADD").alias("street"))
+    files = read.groupBy("source").agg(((F.max("pos") + 1 == F.count("*")) & (F.countDistinct("pos") == F.count("*"))).alias("gapless"))
+    return read.join(files, "source").select("id", "zone", "street", "gapless")
 
 
 def _landed(spark, sf):

@@ -15,22 +15,67 @@ def manifest_scan(spark: SparkSession, path: str) -> DataFrame:
 
     ``ord`` is the place in the manifest, which decides what "first match" means: files in the order of their
     paths, numbers in them taken as numbers (part 10 after part 2), then entries of a file.
-    A JSON array cannot be split, so one shard is one task; a large manifest should come in shards.
+    Every shard is parsed whole, in any layout, by one task; :func:`manifest_split_scan` reads one shard with many.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file"),
         F.from_json("value", schemas.MANIFEST_ARRAY, {"mode": "FAILFAST"}).alias("entries"),
     )
+    entries = files.join(_shards(spark, path), "file").select("shard", F.posexplode("entries").alias("pos", "entry"))
+    place = F.shiftleft(F.col("shard"), 32) + F.col("pos")
+    return entries.select("entry.md5", "entry.relpath", place.alias("ord"))
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """``file, shard``: files numbered in the order of their paths, one row per file."""
     # Numbers padded to twenty digits sort as numbers do. One row per file, so ranking them is little work.
     padded = F.array_join(F.transform(
         F.regexp_extract_all("file", F.lit(r"\d+|\D+"), F.lit(0)),
         lambda part: F.when(F.rlike(part, F.lit(r"^\d")), F.lpad(part, 20, "0")).otherwise(part)), "")
-    numbered = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        F.col("_metadata.file_path").alias("file")).select(
-        "file", (F.row_number().over(Window.orderBy(padded, "file")) - 1).cast("bigint").alias("shard"))
-    entries = files.join(numbered, "file").select("shard", F.posexplode("entries").alias("pos", "entry"))
-    place = F.shiftleft(F.col("shard"), 32) + F.col("pos")
-    return entries.select("entry.md5", "entry.relpath", place.alias("ord"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"))
+    return files.select("file", (F.row_number().over(Window.orderBy(padded, "file")) - 1).cast("bigint").alias("shard"))
+
+
+def ordered_pieces(spark: SparkSession, path: str, border: str) -> DataFrame:
+    """Files cut at a border that tasks find by themselves: ``source, number, value``, pieces numbered from 0 in each file.
+
+    A file is read in blocks, each by one task and in order. One pass counts the pieces of each block; the sums over the blocks before, one
+    small row per block, give the numbers. Both passes cut the files into the same blocks and rows; if a file changes in between and
+    a piece falls outside the counted range, the read fails.
+    """
+    meta = F.col("_metadata")
+    pieces = spark.read.option("lineSep", border).option("recursiveFileLookup", True).text(path).select(
+        meta.file_path.alias("source"), meta.file_block_start.alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    blocks = pieces.groupBy("source", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    counted = blocks.select("source", "_block", "_n", "_from", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col("_at") - F.col("_from")
+    moved = F.raise_error(F.concat(F.lit("changed while it was read: "), F.col("source"))).cast("bigint")
+    number = F.col("_before") + F.when((inside >= 0) & (inside < F.col("_n")), inside).otherwise(moved)
+    return pieces.join(counted, ["source", "_block"], "left").select("source", number.alias("number"), "value")
+
+
+def manifest_split_scan(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`manifest_scan` of shards too large for one task: the same ``md5, relpath, ord``.
+
+    Files are cut at the name of an entry's first member, md5, so that many tasks read one file and each parses single entries, compact,
+    spaced or indented. An entry of another order, without a path or cut short fails the read, and so does a file without entries that is no
+    empty array; such manifests are read whole.
+    """
+    key = '"md5"'
+    pieces = ordered_pieces(spark, path, key)
+    head = F.col("number") == 0
+    opened = F.rlike("value", F.lit(r"^\s*\[\s*\{\s*$")) | F.rlike("value", F.lit(r"^\s*\[\s*\]\s*$"))
+    entry = F.concat(F.lit("{" + key), "value")
+    rest = F.rlike("value", F.lit(r"(,\s*\{|\])\s*$"))
+    parsed = with_once(pieces.where(~head | ~opened).withColumn("_entry", entry), "e", F.from_json(
+        "_entry", "md5 STRING, relpath STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
+    members = F.json_object_keys("_entry")
+    whole = ~head & rest & F.col("e._bad").isNull() & F.array_contains(members, "md5") & F.array_contains(members, "relpath")
+    failed = F.raise_error(F.concat(F.lit("not an entry with its md5 first in "), F.col("source"), F.lit(": "), F.substring("value", 1, 80)))
+    checked = parsed.where(F.when(F.coalesce(whole, F.lit(False)), F.lit(True)).otherwise(failed.cast("boolean")))
+    placed = checked.join(_shards(spark, path), checked["source"] == F.col("file"))
+    return placed.select("e.md5", "e.relpath", (F.shiftleft(F.col("shard"), 32) + F.col("number") - 1).alias("ord"))
 
 
 def geojson_scan(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -49,28 +94,29 @@ def collection_texts(spark: SparkSession, path: str, multiline: bool = False) ->
 
 
 def geojson_split_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Features of collections too large for one task: ``source, geometry, properties``.
+    """Features of collections too large for one task: ``source, pos, geometry, properties``.
 
     Files are cut at the word that names a feature's type, so that many tasks read one file and each parses single
     features, compact, spaced or indented. That needs the type to be the first member of a feature, as writers put
     it. A piece without geometry or properties, cut short or in another order fails the read; such files
-    are read whole (:func:`geojson_scan`). There is no place in the file, as no task sees the whole.
+    are read whole (:func:`geojson_scan`). ``pos`` is the place in the file.
     """
     kind = '"Feature"'
-    pieces = spark.read.option("lineSep", kind).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    pieces = ordered_pieces(spark, path, kind)
     # What precedes the first feature is the head of the collection. What follows a feature up to the next
     # one (a comma, or the end of the collection) is behind the closed object, where the parser stops.
     head = F.startswith(F.ltrim("value"), F.lit("{"))
     nothing = F.rlike("value", F.lit(r'"features"\s*:\s*\[\s*\]'))
     cut = pieces.where(~head | ~F.rlike("value", F.lit(r'\{\s*"type"\s*:\s*$')) & ~nothing)
     piece = F.when(head, F.col("value")).otherwise(F.concat(F.lit('{"type":' + kind), "value"))
-    parsed = with_once(cut.select("source", piece.alias("piece")), "f", F.from_json(
+    parsed = with_once(cut.select("source", "number", piece.alias("piece")), "f", F.from_json(
         "piece", "type STRING, geometry STRING, properties STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
     members = F.json_object_keys("piece")
     whole = (F.col("f.type") == "Feature") & F.col("f._bad").isNull() & F.array_contains(members, "geometry") & F.array_contains(members, "properties")
     failed = F.raise_error(F.concat(F.lit("not a feature with its type first in "), F.col("source"), F.lit(": "), F.substring("piece", 1, 80)))
     checked = parsed.where(F.when(F.coalesce(whole, F.lit(False)), F.lit(True)).otherwise(failed.cast("boolean")))
-    return with_once(checked, "g", F.from_json("piece", schemas.FEATURE)).select("source", "g.geometry", "g.properties")
+    return with_once(checked, "g", F.from_json("piece", schemas.FEATURE)).select(
+        "source", (F.col("number") - 1).alias("pos"), "g.geometry", "g.properties")
 
 
 def _parsed_collections(texts: DataFrame) -> DataFrame:

@@ -43,6 +43,36 @@ def test_manifest_shards_keep_the_order(spark, tmp_path):
     assert {r.path: r.md5 for r in first} == {"3": "h3", "nope": None}
 
 
+@pytest.mark.parametrize("layout", [{"separators": (",", ":")}, {}, {"indent": 2}])
+def test_one_huge_manifest_is_read_by_many_tasks(spark, tmp_path, layout):
+    """Two shards; paths that hold borders, braces and quotes."""
+    odd = ['"md5"', '},{"md5":', "]}", "ü", "\\", "[{"]
+    for shard, n in (("part-2", 3000), ("part-10", 500)):
+        entries = [{"md5": f"h{shard}{i}", "relpath": f"maps/{i}/{odd[i % 6]}.pdf"} for i in range(n)]
+        (tmp_path / f"{shard}.json").write_text(json.dumps(entries, **layout))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        scan = landed.manifest_split_scan(spark, str(tmp_path))
+        assert spark.read.option("lineSep", '"md5"').text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = sorted((r.ord, r.md5, r.relpath) for r in scan.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    whole = landed.manifest_scan(spark, str(tmp_path)).collect()
+    assert len(got) == 3500 and got == sorted((r.ord, r.md5, r.relpath) for r in whole)
+
+
+def test_split_manifest_is_whole_or_fails(spark, tmp_path):
+    good = [{"md5": "a", "relpath": "x"}, {"md5": "b", "relpath": "y"}]
+    bad = {"turned": json.dumps([dict(reversed(e.items())) for e in good]), "short": json.dumps(good)[:-8], "no path": '[{"md5": "a"}]', "object": "{}",
+           "cut": json.dumps(good)[:-1], "value": json.dumps([{"md5": "a", "relpath": "md5"}]), "html": "<html>no</html>"}
+    for name, text in bad.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        with pytest.raises(Exception, match="md5 first"):
+            landed.manifest_split_scan(spark, str(tmp_path / f"{name}.json")).collect()
+    (tmp_path / "none.json").write_text(" [ ]\n")
+    assert landed.manifest_split_scan(spark, str(tmp_path / "none.json")).count() == 0
+
+
 def test_broken_manifest_fails(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"md5": "a", ')
     with pytest.raises(Exception):
@@ -99,7 +129,7 @@ def test_one_huge_collection_is_read_by_many_tasks(spark, tmp_path):
     try:
         scan = landed.geojson_split_scan(spark, str(tmp_path / "c.json"))
         assert scan.rdd.getNumPartitions() > 5
-        got = {r.properties["id"].toPython(): r for r in scan.collect()}
+        got = {r.pos: r for r in scan.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
     whole = landed.geojson_scan(spark, str(tmp_path / "c.json"), multiline=True).collect()
