@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import staged, words_of
+from plotweave.llm.common import staged, text_of, words_of
 from plotweave.llm.decontaminate import indexes_of, with_hits
 from plotweave.llm.hyperminhash import near_duplicates
 from plotweave.llm.mixing import mix_sources
 from plotweave.llm.quality import fit_quality, with_quality
 from plotweave.llm.queries import LEAST_QUALITY, prepared, table
 from plotweave.llm.winnow import dedup_lines
+from plotweave.plans.picking import dedup_keep_first
+
+#: Share of its words that a document keeps at least when repeated passages go; what is left of near copies is less.
+LEAST_LEFT = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +30,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of lines. What has no words left goes; what had none before stays."""
+    """Documents without later repeats of runs of lines. What keeps less than ``LEAST_LEFT`` of its words goes; what had none before stays."""
     prepared(spark)
-    had = docs.withColumn("_had", F.size(words_of(F.col("text"))) > 0)
-    return dedup_lines(had).where(~F.col("_had") | (F.size(words_of(F.col("text"))) > 0)).select(*docs.columns)
+    had = docs.withColumn("_had", F.size(words_of(F.col("text"))))
+    return dedup_lines(had).where(F.size(words_of(F.col("text"))) >= LEAST_LEFT * F.col("_had")).select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of smallest id.
+
+    Rows equal in id and text, null ids included, are one document: one row of them stays, the first by its other columns.
+    """
     prepared(spark)
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct().withColumn("_spread", F.lit(0).cast("bigint"))
+    text = F.xxhash64(text_of(F.col("text")))
+    # Rows without an id are spread by their texts. The rows of a document already share a task when repeats are looked for.
+    keyed = docs.withColumn("_text", text).withColumn("_spread", F.when(F.col("doc_id").isNull(), F.col("_text")).otherwise(0))
+    left = keyed.join(dropped, ["doc_id", "_spread"], "left_anti")
+    return dedup_keep_first(left, ["doc_id", "_spread", "_text"], ["lang", "source", "n_chars"]).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
