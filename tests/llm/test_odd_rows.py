@@ -182,3 +182,16 @@ def test_pipeline_stages(llm, sf, tmp_path):
         assert 0 < docs.count() <= before.count()
     assert docs.where("taken <= 0").count() == 0
     assert corpus_pipeline.run(llm, sf).count() > 0
+
+
+def test_repeated_rows_and_fragments(llm, sf):
+    """One row of equal ids and texts stays, also without an id; what line dedup leaves little of goes."""
+    rows = [(1, "a b c", "en", "x", 1), (1, "a b c", "en", "x", 1), (1, "a b c", None, "x", 1), (1, "other text", "en", "x", 1), (None, "q r s", "en", "x", 1),
+            (None, "q r s", "en", "x", 1), (None, "t u v", "en", "x", 1), (2, None, "en", "x", 1), (2, "", "en", "x", 1), (3, "a b c", "en", "x", 1)]
+    left = corpus_pipeline.minhash_dedup(llm, llm.createDataFrame(rows, SCHEMA), sf).collect()
+    assert sorted(map(str, left)) == sorted(map(str, llm.createDataFrame([rows[i] for i in (2, 3, 4, 6, 7)], SCHEMA).collect()))
+    words = [f"w{i}" for i in range(90)]
+    docs = [(1, " ".join(words), "en", "x", 1), (2, " ".join([*words, *[f"tail{i}" for i in range(30)]]), "en", "x", 1),
+            (3, " ".join([*[f"own{i}" for i in range(45)], *words]), "en", "x", 1), (4, " ", "en", "x", 1), (5, None, "en", "x", 1)]
+    cut = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(llm, llm.createDataFrame(docs, SCHEMA), sf).collect()}
+    assert sorted(cut) == [1, 3, 4, 5] and len(cut[3].split()) == 45
