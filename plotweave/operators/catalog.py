@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotweave.functions import paths
 from plotweave.functions.text import blank_to_null, norm_text, strip
 from plotweave.plans.picking import priority_pick
-from plotweave.plans.skew import HOT_ROWS, salted_join
+from plotweave.plans.skew import HOT_ROWS, missing_from, salted_join
 
 
 def pdf_catalog_filter(manifest: DataFrame) -> DataFrame:
@@ -96,12 +96,12 @@ def document_by_hash(requests: DataFrame, documents: DataFrame) -> DataFrame:
 
 def pending_downloads(targets: DataFrame, inventory: DataFrame, on: str = "relpath") -> DataFrame:
     """Targets that are not in the inventory yet."""
-    return targets.join(inventory.select(on), on, "left_anti")
+    return missing_from(targets, inventory, on)
 
 
 def new_files(now: DataFrame, before: DataFrame, on: str = "path") -> DataFrame:
     """Files of the current listing that an earlier listing does not have."""
-    return now.join(before.select(on), on, "left_anti")
+    return missing_from(now, before, on)
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

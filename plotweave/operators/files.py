@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.paths import last_segment
 from plotweave.plans.ordered import ordered_lag, ordered_row_number, time_segment
+from plotweave.plans.skew import salted_join
 from plotweave.schemas import CORNER_COLUMNS
 
 # Endings of downloads still in progress.
@@ -69,7 +70,7 @@ def collection_validate(results: DataFrame, files: DataFrame, min_bytes: int = M
     One row per result and rule. Files are checked one by one through a join, then folded per result.
     """
     listed = results.select("key", F.explode_outer("files").alias("path"))
-    checked = listed.join(files.select("path", "size"), "path", "left").groupBy("key").agg(
+    checked = salted_join(listed, files.select("path", "size"), ["path"], ["key"], how="left").groupBy("key").agg(
         F.count("path").alias("_files"),
         F.count_if(F.col("path").isNotNull() & F.col("size").isNull()).alias("_missing"),
         F.count_if(F.col("size") < min_bytes).alias("_small"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions.geometry import bilinear, corners_centroid, corners_flatten, corners_nest, round_corner
-from plotweave.plans.skew import HOT_ROWS, salted_join
+from plotweave.plans.skew import HOT_ROWS, missing_from, salted_join
 from plotweave.schemas import CORNER_COLUMNS
 
 LABEL_PAYLOAD = ("pdf_path", *CORNER_COLUMNS)
@@ -63,7 +63,7 @@ def label_status(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def unlabeled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The work queue: documents without a label."""
-    return documents.join(labels.select(F.col("pdf_hash").alias("hash")), "hash", "left_anti")
+    return missing_from(documents, labels.select(F.col("pdf_hash").alias("hash")), "hash")
 
 
 def label_progress(documents: DataFrame, labels: DataFrame) -> DataFrame:

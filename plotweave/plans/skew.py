@@ -21,11 +21,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     ``salt_by`` names left columns that tell the rows of a key apart (rows equal in all of them stay
     together); the salt is a hash of them, so a recomputed task deals the rows out the same way. Only right rows of hot keys are copied.
     The table of hot keys holds at most ``rows / hot_rows`` entries, whatever the data looks like,
-    which is why it may be broadcast. Left rows without a key match nothing, so in a left join they are
+    which is why it may be broadcast. Left rows without a key match nothing, so in a left or anti join they are
     dealt out freely. The plan is the same for inputs of every size: what is hot is counted, not estimated.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("a salted join copies right rows, so it supports inner and left joins only")
+    if how not in ("inner", "left", "left_anti"):
+        raise ValueError("a salted join copies right rows, so it supports inner, left and left anti joins only")
     hot = (
         left.groupBy(*keys).agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > hot_rows)
@@ -40,3 +40,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
+def saltable(df: DataFrame) -> list[str]:
+    """Columns that a salt can be made of: those that Spark can hash."""
+    return [name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
+def missing_from(left: DataFrame, right: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows of ``left`` whose key ``right`` does not have; hot keys are split. Rows without a key have no match and stay."""
+    known = right.select(on).where(F.col(on).isNotNull()).distinct()
+    return salted_join(left, known, [on], saltable(left), hot_rows, "left_anti").select(*left.columns)

@@ -11,7 +11,7 @@ from plotweave.operators.geometry import nearest_anchor, nearest_rect_handle
 from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_lag, ordered_row_number, ordered_slice
 from plotweave.plans.picking import priority_pick
-from plotweave.plans.skew import salted_join
+from plotweave.plans.skew import missing_from, salted_join
 from plotweave.plans.spatial_join import point_in_polygon, radius_join
 
 
@@ -137,6 +137,18 @@ def test_salted_join_rejects_right_joins(skewed):
         salted_join(skewed, skewed, ["k"], ["id"], how="full")
 
 
+@pytest.mark.parametrize("hot_rows", [3, 1_000_000])
+def test_missing_from_splits_hot_keys(spark, hot_rows):
+    """A hot key with and without a match, keys of no rows on the other side, null keys, repeated rows, and a map that cannot be hashed."""
+    rows = [("hot", i) for i in range(50)] + [("gone", i) for i in range(50)] + [("one", 1), ("one", 1), (None, 7), (None, 7), (None, 8)]
+    left = spark.createDataFrame(rows, "k STRING, n INT").withColumn("m", F.create_map(F.lit("a"), F.col("n")))
+    right = spark.createDataFrame([("hot",), ("hot",), (None,), ("other",)], "k STRING")
+    got = missing_from(left, right, "k", hot_rows)
+    assert got.columns == ["k", "n", "m"]
+    assert sorted((str(r.k), r.n) for r in got.collect()) == sorted((str(k), n) for k, n in rows if k != "hot")
+    assert missing_from(left, right.limit(0), "k", hot_rows).count() == len(rows)
+
+
 # --- spatial ---------------------------------------------------------------------------------------
 
 RINGS = "ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
