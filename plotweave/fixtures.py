@@ -266,6 +266,18 @@ FIXTURES: dict[str, str] = {
                (CASE c_custkey % 8 WHEN 0 THEN 'codes' WHEN 1 THEN 'charter' ELSE 'town' || CAST(c_custkey % 40 AS STRING) END) || '/codes/x' AS href,
                CASE WHEN c_custkey % 9 = 0 THEN '  ' ELSE c_mktsegment || ' ' || CAST(c_custkey AS STRING) END AS text
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # Pages whose headings are closed, left open, nested, crossed, hidden or empty.
+    "soup_pages": """
+        SELECT o_orderkey AS page_id, '<div class="a>b"><p>' || CAST(o_custkey AS STRING) || (CASE o_orderkey % 8
+            WHEN 0 THEN '<h1>A ' || CAST(o_orderkey AS STRING) || '</h1> x'
+            WHEN 1 THEN '<h2>B <i>' || CAST(o_orderkey AS STRING) || '</div> x'
+            WHEN 2 THEN '<h1>C <h3>' || CAST(o_orderkey AS STRING) || '</h3> in</h1> x'
+            WHEN 3 THEN '<h2>D <b>' || CAST(o_orderkey AS STRING) || '</h2> x</b> y'
+            WHEN 4 THEN '<script>"<h1>no</h1>"</script><h4>E<template> no</template> ' || CAST(o_orderkey AS STRING) || '</h4><!-- <h2>no</h2> -->'
+            WHEN 5 THEN '<h3/> x</h3> y <h3> <br></h3>'
+            WHEN 6 THEN '<H2 title="</h2>">F</h3> &lt; ' || CAST(o_orderkey AS STRING) || ' </H2>'
+            ELSE '<h1>G <h2>H ' || CAST(o_orderkey AS STRING) || '</h1> x</h2> y' END) || '</p></div> end' AS html
+        FROM {orders}""",
     # Links found on municipality pages.
     "code_links": """
         SELECT 's' || CAST(o_custkey % 25 AS STRING) AS state, 'town' || CAST(o_custkey AS STRING) AS slug, o_orderkey AS pos,

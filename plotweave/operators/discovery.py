@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.functions import paths
+from plotweave.functions.markup import elements_of
 from plotweave.functions.text import WHITE_SPACE, strip
 from plotweave.functions.urls import url_path_parts
 from plotweave.plans.picking import dedup_keep_first
@@ -27,18 +28,10 @@ CODES_PATTERNS = (
 #: Character references: decimal, hexadecimal, or a name of HTML 4.
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
-_INVISIBLE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 
-
-def visible_html(html: Column) -> Column:
-    """HTML without comments, scripts and styles, whose content is no markup."""
-    return F.regexp_replace(html, _INVISIBLE, "")
-
-
-def inner_text(html: Column) -> Column:
-    """Text of a fragment: tags dropped, references resolved, white space collapsed."""
-    text = resolve_references(F.regexp_replace(html, "<[^>]*>", ""))
-    return strip(F.regexp_replace(text, f"{WHITE_SPACE}+", " "))
+def shown_text(text: Column) -> Column:
+    """Text between tags as a reader sees it: references resolved, white space collapsed."""
+    return strip(F.regexp_replace(resolve_references(text), f"{WHITE_SPACE}+", " "))
 
 
 def _character(reference: Column) -> Column:
@@ -59,29 +52,28 @@ def resolve_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
-def html_headings(pages: DataFrame) -> DataFrame:
+def html_headings(pages: DataFrame, nested: bool = True) -> DataFrame:
     """Headings h1 to h4 with text, in document order.
 
-    Works on tags that are closed by their own end tag; headings nested in one another or left open
-    are not separated.
+    Headings are nested as a tag-soup parser nests them (``markup.elements``): one left open ends with the element around
+    it, and one inside another is part of its text and a heading of its own. Pages without HTML have none.
     """
-    found = F.regexp_extract_all(visible_html(F.col("html")), F.lit(r"(?is)<h([1-4])\b[^>]*>.*?</h\1\s*>"), F.lit(0))
+    found = elements_of(F.col("html"), ("h1", "h2", "h3", "h4"), nested=nested)
     headings = F.transform(
-        found, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), inner_text(h).alias("text"))
-    )
-    kept = F.filter(headings, lambda h: h.getField("text") != "")
-    return pages.select("page_id", F.posexplode(kept).alias("pos", "_h")).select("page_id", "pos", "_h.level", "_h.text")
-
-
-def page_links(pages: DataFrame, *keep: str) -> DataFrame:
-    """Anchors of every page in page order, with address and text."""
-    href = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>"""
-    found = F.regexp_extract_all(visible_html(F.col("html")), F.lit(href + r".*?</a\s*>"), F.lit(0))
-    links = F.transform(
-        found, lambda a: F.struct(F.regexp_extract(a, href, 1).alias("href"), inner_text(a).alias("text"))
+        "_found", lambda h: F.struct(F.substring(h["name"], 2, 1).cast("int").alias("level"), shown_text(h["text"]).alias("text"))
     )
-    return pages.select("page_id", *keep, F.posexplode(links).alias("pos", "_a")).select(
-        "page_id", *keep, "pos", "_a.href", "_a.text"
+    read = pages.select("page_id", found.alias("_found")).select("page_id", headings.alias("_headings"))
+    kept = F.filter("_headings", lambda h: h.getField("text") != "")
+    return read.select("page_id", F.posexplode(kept).alias("pos", "_h")).select("page_id", "pos", "_h.level", "_h.text")
+
+
+def page_links(pages: DataFrame, *keep: str, nested: bool = True) -> DataFrame:
+    """Anchors with an address, in page order, with address and text; nested as headings are."""
+    found = elements_of(F.col("html"), ("a",), "href", nested)
+    linked = F.filter("_found", lambda a: a["value"].isNotNull())
+    read = pages.select("page_id", *keep, found.alias("_found")).select("page_id", *keep, F.posexplode(linked).alias("pos", "_a"))
+    return read.select(
+        "page_id", *keep, "pos", resolve_references(F.col("_a.value")).alias("href"), shown_text(F.col("_a.text")).alias("text")
     )
 
 

@@ -30,6 +30,18 @@ def _(spark, sf):
     return op.html_headings(table(spark, sf, "pages"))
 
 
+@query("nested_headings", """
+    SELECT o_orderkey AS page_id, CAST(p AS INTEGER) AS pos, CAST(substr(h, 1, 1) AS INTEGER) AS level, substr(h, 3) AS text
+    FROM (SELECT o_orderkey, unnest(range(0, len(hs))) AS p, unnest(hs) AS h
+          FROM (SELECT o_orderkey, CASE o_orderkey % 8
+                           WHEN 0 THEN ['1 A ' || k] WHEN 1 THEN ['2 B ' || k] WHEN 2 THEN ['1 C ' || k || ' in', '3 ' || k]
+                           WHEN 3 THEN ['2 D ' || k] WHEN 4 THEN ['4 E ' || k] WHEN 5 THEN CAST([] AS VARCHAR[])
+                           WHEN 6 THEN ['2 F < ' || k] ELSE ['1 G H ' || k, '2 H ' || k] END AS hs
+                FROM (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k FROM {orders}) AS o) AS a) AS b""")
+def _(spark, sf):
+    return op.html_headings(frame(spark, sf, "soup_pages"))
+
+
 @query("page_links", """
     SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(a, '<href>', 1) AS href, <inner> AS text
     FROM (SELECT page_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS a, unnest(x) AS t

@@ -2,11 +2,16 @@
 
 import json
 import os
+import time
+from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plotweave.fixtures import stored_features
+from plotweave.functions import markup
 from plotweave.operators import catalog as cat
 from plotweave.operators import discovery as disc
 from plotweave.operators import features as ft
@@ -267,12 +272,83 @@ def test_headings(spark):
     assert got == [(0, 1, "One bold"), (1, 3, "Three & more"), (2, 4, "Four x")]
 
 
+def test_headings_left_open(spark):
+    """What is open ends with the element around it; with nested=False with the next heading."""
+    pages = spark.createDataFrame([(1, "<div><h1>a<h2>b</div>c<h3>d"), (2, None), (3, ""), (4, "no tags"), (4, "<h1>x</h1>")], "page_id INT, html STRING")
+    read = lambda nested: sorted(tuple(r) for r in disc.html_headings(pages, nested).collect())
+    assert read(True) == [(1, 0, 1, "ab"), (1, 1, 2, "b"), (1, 2, 3, "d"), (4, 0, 1, "x")]
+    assert read(False) == [(1, 0, 1, "a"), (1, 1, 2, "b"), (1, 2, 3, "d"), (4, 0, 1, "x")]
+    assert disc.html_headings(pages.limit(0)).count() == 0
+
+
+class Tree(HTMLParser):
+    """The whole tree, and the wanted elements' texts read from it: an independent, quadratic version."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.root = ["", None, []]
+        self.path = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs).get("href"), []]
+        self.path[-1][2].append(node)
+        if tag not in markup.VOID:
+            self.path.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.path[-1][2].append([tag, dict(attrs).get("href"), []])
+
+    def handle_endtag(self, tag):
+        if tag in [n[0] for n in self.path]:
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.path[-1][2].append(data)
+
+    def text(self, node):
+        inside = (c if isinstance(c, str) else "" if c[0] in markup.HIDDEN else self.text(c) for c in node[2])
+        return "".join(inside)
+
+    def wanted(self, names, node=None):
+        for child in (node or self.root)[2]:
+            if not isinstance(child, str):
+                if child[0] in names:
+                    yield child[0], child[1], self.text(child)
+                yield from self.wanted(names, child)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([
+    "<h1>", "</h1>", "<h2 class='a>b'>", "</h2>", "<div>", "</div>", "<b>", "</b>", "<a href=\"x y\">", "<a href=z>", "</a>", "<br>", "<br/>", "<h1/>",
+    "<!-- <h1>no</h1> -->", "<!doctype html>", "<script>'</div><h1>'</script>", "one ", "two", " 3 > 2 ", "</p>", "<A HREF='u'>"]), max_size=30))
+def test_elements_equal_those_of_a_whole_tree(parts):
+    """Text directly within a hidden element is hidden there only as part of others; none of the wanted are hidden."""
+    page, tree = "".join(parts), Tree()
+    tree.feed(page)
+    tree.close()
+    names = ("h1", "h2", "a")
+    assert markup.elements(page, names, "href") == list(tree.wanted(names))
+
+
+@pytest.mark.parametrize("page", [
+    "<h1>x" * 100_000, "<a href=\"" * 100_000, "<b>" * 200_000 + "</i>" * 200_000, "<!--" * 200_000, "< " * 300_000, "<script>" * 100_000,
+    "<a b='" * 100_000 + "c=\"" * 100_000, "</" * 200_000, "<h1" + " " * 500_000, "<x/" * 200_000])
+def test_a_broken_page_is_read_in_linear_time(page):
+    started = time.monotonic()
+    assert sum(len(text) for _, _, text in markup.elements(page, ("h1", "a"), nested=False)) <= len(page)
+    assert time.monotonic() - started < 10
+
+
 def test_links(spark):
     html = "<a name='x'>no</a><a class=b href='/al/town/codes'>Town</a><abbr href='/no'>no</abbr><A HREF=\"/x\"> </A>"
     df = spark.createDataFrame([(1, html)], "page_id BIGINT, html STRING")
     links = disc.page_links(df)
     assert [(r.href, r.text) for r in links.orderBy("pos").collect()] == [("/al/town/codes", "Town"), ("/x", "")]
     assert disc.link_has_text(links).count() == 1
+    soup = spark.createDataFrame([(1, "<a href=/u?x=1&amp;y=2>un<b>quoted</a> <p><a href='/open'>open</p> <a href>bare</a>", 7)], "page_id BIGINT, html STRING, site INT")
+    assert [tuple(r) for r in disc.page_links(soup, "site").orderBy("pos").collect()] == [
+        (1, 7, 0, "/u?x=1&y=2", "unquoted"), (1, 7, 1, "/open", "open"), (1, 7, 2, "", "bare")]
 
 
 def test_first_link_wins_even_when_the_slug_is_dropped(spark):
