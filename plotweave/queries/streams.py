@@ -6,7 +6,7 @@ from plotweave.fixtures import frame, table
 from plotweave.queries.registry import query
 from plotweave.session import staging_path
 from plotweave.streaming import labels as lab
-from plotweave.streaming import landing
+from plotweave.streaming import landing, snapshots
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE"
 FLUSH_USER = -1
@@ -78,3 +78,20 @@ def _(spark, sf):
     return current.select("pdf_hash", "pdf_path", "top_left_lng", F.unix_micros("updated_at").alias("event_us"))
 
 
+@query("label_snapshots", """
+    SELECT version, pdf_hash, pdf_path, event_us FROM (
+        SELECT v.version, e.*, CAST(epoch_us(ts) AS BIGINT) AS event_us,
+               row_number() OVER (PARTITION BY v.version, pdf_hash ORDER BY ts DESC, event_id DESC) AS rn
+        FROM {label_events} AS e JOIN (VALUES (1), (2)) AS v(version) ON e.event_id % 2 < v.version) AS r
+    WHERE rn = 1 AND op = 'save'""")
+def _(spark, sf):
+    """Label events arrive in two runs of one stream; each run's version stays readable."""
+    source, store, state = (staging_path(spark, f"label-{name}") for name in ("arrivals", "versions", "progress"))
+    events = frame(spark, sf, "label_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
+        snapshots.label_stream_commit(spark.readStream.schema(events.schema).parquet(source), store, state, buckets=8)
+    first, second = (
+        snapshots.snapshot(spark, store, n).select(F.lit(n).alias("version"), "pdf_hash", "pdf_path", F.unix_micros("updated_at").alias("event_us"))
+        for n in (1, 2))
+    return first.unionByName(second)

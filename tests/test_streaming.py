@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotweave.fixtures import frame, table
 from plotweave.schemas import CORNER_COLUMNS
 from plotweave.streaming import labels as lab
-from plotweave.streaming import landing
+from plotweave.streaming import landing, snapshots
 
 
 def at(minute):
@@ -114,6 +114,96 @@ def test_stream_equals_batch_in_any_order(spark, sf, tmp_path):
     assert {h: v[0] for h, v in current(spark, str(tmp_path / "t")).items()} == expected
 
 
+# --- versions --------------------------------------------------------------------------------------
+
+
+def seen(labels):
+    return {r.pdf_hash: (r.pdf_path, r.created_at, r.updated_at) for r in labels.collect()}
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    """A frame read before a commit keeps its version; earlier versions stay readable; no bucket is rewritten in place."""
+    t, run = str(tmp_path / "t"), str(tmp_path / "run")
+    assert seen(snapshots.snapshot(spark, t)) == {}
+    snapshots.commit_batch(changes(spark, (1, 1, "save", A), (2, 2, "save", B)), 0, t, run, 4)
+    before = snapshots.snapshot(spark, t)
+    snapshots.commit_batch(changes(spark, (3, 3, "save", A), (4, 4, "delete", B), (5, 5, "save", C), (6, 6, "save", None)), 1, t, run, 4)
+    first, second = {A: ("p1", at(1), at(1)), B: ("p2", at(2), at(2))}, {A: ("p3", at(1), at(3)), C: ("p5", at(5), at(5))}
+    assert seen(before) == seen(snapshots.snapshot(spark, t, 1)) == first
+    assert seen(snapshots.snapshot(spark, t)) == seen(snapshots.snapshot(spark, t, 2)) == second
+    with pytest.raises(ValueError, match="no version 3"):
+        snapshots.snapshot(spark, t, 3)
+
+
+def test_interrupted_commit_shows_the_old_version(spark, tmp_path, monkeypatch):
+    """All files are written, the version is not: readers see the old one, and the repeated batch commits."""
+    t, run = str(tmp_path / "t"), str(tmp_path / "run")
+    snapshots.commit_batch(changes(spark, (1, 1, "save", A)), 0, t, run, 4)
+    batch, whole = changes(spark, (2, 2, "save", A), (3, 3, "save", C)), snapshots._write_new
+
+    def die(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(snapshots, "_write_new", die)
+    with pytest.raises(RuntimeError, match="lost"):
+        snapshots.commit_batch(batch, 1, t, run, 4)
+    assert len(list((tmp_path / "t" / "sets").iterdir())) == 2
+    assert snapshots.versions(spark, t) == [1]
+    assert seen(snapshots.snapshot(spark, t)) == {A: ("p1", at(1), at(1))}
+    monkeypatch.setattr(snapshots, "_write_new", whole)
+    for _ in range(2):  # the second time the batch is already there
+        snapshots.commit_batch(batch, 1, t, run, 4)
+    assert snapshots.versions(spark, t) == [1, 2]
+    assert seen(snapshots.snapshot(spark, t)) == {A: ("p2", at(1), at(2)), C: ("p3", at(3), at(3))}
+    assert len(list((tmp_path / "t" / "sets").iterdir())) == 2
+
+
+def test_a_version_is_never_replaced(spark, tmp_path):
+    path = str(tmp_path / "versions" / "v1.json")
+    (tmp_path / "versions").mkdir()
+    snapshots._write_new(spark, path, "first")
+    with pytest.raises(Exception, match="(?i)exists"):
+        snapshots._write_new(spark, path, "second")
+    assert open(path).read() == "first"
+    assert [p.name for p in (tmp_path / "versions").iterdir() if p.suffix != ".crc"] == ["v1.json"]
+
+
+def test_old_versions_expire_with_their_files(spark, tmp_path):
+    t, run = str(tmp_path / "t"), str(tmp_path / "run")
+    hashes = [f"{i:04x}" + "0" * 28 for i in range(3)]
+    for i in range(4):
+        snapshots.commit_batch(changes(spark, (i, i, "save", hashes[i % 3])), i, t, run, 4, keep=1)
+    assert snapshots.versions(spark, t) == [3, 4]
+    assert set(seen(snapshots.snapshot(spark, t, 3))) == set(seen(snapshots.snapshot(spark, t))) == set(hashes)
+    snapshots.expire(spark, t, keep=0)
+    assert snapshots.versions(spark, t) == [4]
+    assert len(list((tmp_path / "t" / "sets").iterdir())) == 3
+    assert seen(snapshots.snapshot(spark, t))[hashes[0]] == ("p3", at(0), at(3))
+
+
+def test_versions_know_their_runs_and_buckets(spark, tmp_path):
+    """A new checkpoint counts batches from 0 again; another bucket count is refused."""
+    t = str(tmp_path / "t")
+    for run in ("one", "two"):
+        snapshots.commit_batch(changes(spark, (1, 1, "save", A if run == "one" else B)), 0, t, str(tmp_path / run), 4)
+    assert set(seen(snapshots.snapshot(spark, t))) == {A, B}
+    snapshots.commit_batch(changes(spark, (9, 9, "save", C)), 0, t, str(tmp_path / "one"), 4)
+    assert snapshots.versions(spark, t) == [1, 2]
+    with pytest.raises(ValueError, match="4 buckets"):
+        snapshots.commit_batch(changes(spark, (1, 1, "save", A)), 1, t, str(tmp_path / "one"), 8)
+
+
+def test_versioned_table_equals_the_overwritten_one(spark, sf, tmp_path):
+    events = frame(spark, sf, "label_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = str(tmp_path / "in")
+    events.repartition(2, F.hash("event_id")).write.parquet(source)
+    for name, run in (("a", lab.label_stream_upsert), ("b", snapshots.label_stream_commit)):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        run(stream, str(tmp_path / name), str(tmp_path / f"cp-{name}"), buckets=4)
+    assert snapshots.versions(spark, str(tmp_path / "b"))[-1] >= 2
+    assert seen(snapshots.snapshot(spark, str(tmp_path / "b"))) == current(spark, str(tmp_path / "a"))
+
+
 # --- windows ---------------------------------------------------------------------------------------
 
 
