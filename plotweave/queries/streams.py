@@ -6,7 +6,7 @@ from plotweave.fixtures import frame, table
 from plotweave.queries.registry import query
 from plotweave.session import staging_path
 from plotweave.streaming import labels as lab
-from plotweave.streaming import landing, snapshots
+from plotweave.streaming import bursts, landing, snapshots
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE"
 FLUSH_USER = -1
@@ -43,16 +43,31 @@ def _(spark, sf):
     return _run(spark, landing.landing_stream(arrivals, ["md5"], "60 days", salts=8)).select("md5")
 
 
-@query("search_burst_collapse", """
+_BURSTS = """
     SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS burst_us, arg_max(query, ts) AS query, count(*) AS n_queries
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst
           FROM (SELECT *, event_type || CAST(event_id AS VARCHAR) AS query,
                        CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 4 HOUR THEN 1 ELSE 0 END AS fresh
-                FROM {events}) AS g) AS b GROUP BY user_id, burst""")
+                FROM {events}) AS g) AS b GROUP BY user_id, burst"""
+
+
+@query("search_burst_collapse", _BURSTS)
 def _(spark, sf):
     typed = event_stream(spark, sf).withColumn("query", F.concat("event_type", F.col("event_id").cast("string")))
-    bursts = _run(spark, landing.search_burst_collapse(typed, "4 hours", "1 day"))
-    return bursts.select("user_id", F.unix_micros("burst_start").alias("burst_us"), "query", "n_queries")
+    collapsed = _run(spark, landing.search_burst_collapse(typed, "4 hours", "1 day"))
+    return collapsed.select("user_id", F.unix_micros("burst_start").alias("burst_us"), "query", "n_queries")
+
+
+@query("search_idle_collapse", _BURSTS)
+def _(spark, sf):
+    """The same bursts from a stream without a last event: the pause alone lets the last burst of every user out."""
+    path, out = staging_path(spark, "searches"), staging_path(spark, "stream-out")
+    table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.concat("event_type", F.col("event_id").cast("string")).alias("query")
+    ).write.parquet(path)
+    typed = spark.readStream.schema("event_id BIGINT, ts TIMESTAMP, user_id BIGINT, query STRING").parquet(path)
+    bursts.run_until_idle(bursts.search_idle_collapse(typed, 4 * 3600, 1), out, staging_path(spark, "stream-state"))
+    return spark.read.parquet(out).select("user_id", F.unix_micros("burst_start").alias("burst_us"), "query", "n_queries")
 
 
 @query("position_sampling", """

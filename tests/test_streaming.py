@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotweave.fixtures import frame, table
 from plotweave.schemas import CORNER_COLUMNS
 from plotweave.streaming import labels as lab
-from plotweave.streaming import landing, snapshots
+from plotweave.streaming import bursts, landing, snapshots
 
 
 def at(minute):
@@ -272,3 +272,50 @@ def test_another_bucket_count_is_refused(spark, tmp_path):
     assert [r.pdf_hash for r in lab.label_table(spark, table).collect()] == ["e1"]
     with pytest.raises(ValueError, match="8 buckets"):
         lab.apply_batch(changes, 1, table, copies, buckets=64)
+
+
+SEARCH = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, query STRING"
+
+
+def test_last_burst_comes_out_by_silence(spark, tmp_path):
+    """No later event: the pause alone ends a burst, and no state is left. A second run begins anew."""
+    source, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    big = 2**62 + 1
+    rows = [(3, at(2), big, "zone"), (1, at(0), big, "z"), (2, at(1), big, "zo"), (4, at(30), big, "map"), (5, at(1), None, "x"),
+            (None, at(1), None, "w"), (6, at(3), 2, None), (7, None, 2, "no time"), (8, at(6), None, "y")]
+    run = lambda: bursts.run_until_idle(bursts.search_idle_collapse(spark.readStream.schema(SEARCH).parquet(source), 300, 0.5), out, cp, 120)
+    got = lambda: sorted(map(str, ((r.user_id, r.burst_start, r["query"], r.n_queries) for r in spark.read.parquet(out).collect())))
+    spark.createDataFrame(rows, SEARCH).repartition(3).write.parquet(source)
+    query = run()
+    first = [(big, at(0), "zone", 3), (big, at(30), "map", 1), (None, at(1), "x", 2), (None, at(6), "y", 1), (2, at(3), None, 1)]
+    assert got() == sorted(map(str, first))
+    assert [op["numRowsTotal"] for op in query.lastProgress["stateOperators"]] == [0]
+    spark.createDataFrame([(9, at(31), big, "maps")], SEARCH).write.mode("append").parquet(source)
+    run()
+    assert got() == sorted(map(str, [*first, (big, at(31), "maps", 1)]))
+
+
+def test_open_burst_waits_for_its_user(spark, tmp_path):
+    """Micro-batches within the pause continue a burst; an earlier burst comes out when a later one begins."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, at(0), 1, "z")], [(2, at(1), 1, "zo"), (3, at(60), 1, "m")], [(4, at(61), 1, "ma"), (5, at(0), 2, "x")]):
+        spark.createDataFrame(rows, SEARCH).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SEARCH).option("maxFilesPerTrigger", 1).parquet(source)
+    bursts.run_until_idle(bursts.search_idle_collapse(stream, 300, 15), out, str(tmp_path / "cp"), 120)
+    got = sorted((r.user_id, r["query"], r.n_queries) for r in spark.read.parquet(out).collect())
+    assert got == [(1, "ma", 2), (1, "zo", 2), (2, "x", 1)]
+
+
+def test_parts_of_bursts_join_in_any_order(spark, searches):
+    """Merging parts dealt at random gives the bursts of all events at once."""
+    import numpy as np
+    import pandas as pd
+
+    events = searches.select(F.col("user_id").cast("string").alias("user"), F.unix_micros("ts").alias("first_us"), F.unix_micros("ts").alias("last_us"),
+                             "event_id", "query", F.lit(1).alias("n_queries")).toPandas()
+    gap = 4 * 3600 * 10**6
+    dealt = np.random.default_rng(1).integers(0, 7, len(events))
+    parts = pd.concat([bursts.merge_parts(events[dealt == i], gap) for i in range(7)])
+    got = sorted((r.user, r.first_us, r.query, r.n_queries) for r in bursts.merge_parts(parts, gap).itertuples())
+    expected = landing.search_burst_collapse(searches, "4 hours").select(F.col("user_id").cast("string"), F.unix_micros("burst_start"), "query", "n_queries")
+    assert got == sorted(map(tuple, expected.collect()))
