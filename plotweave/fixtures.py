@@ -256,6 +256,22 @@ FIXTURES: dict[str, str] = {
         SELECT c_custkey AS query_id,
                CASE WHEN c_custkey % 10 = 0 THEN '  ' WHEN c_custkey % 10 = 1 THEN 'nowhere' ELSE ' PLACE ' || CAST(c_custkey % 25 AS STRING) END AS query
         FROM {customer}""",
+    # Places with names of several words, and queries that leave out words or letters, exchange or add them.
+    "towns": """
+        SELECT p_partkey AS place_id, CAST(p_partkey % 7 AS INT) AS place_rank, CASE WHEN p_partkey % 11 = 0 THEN 'ca' ELSE 'us' END AS country,
+               p_name || (CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' Town' || CAST(p_partkey % 50 AS STRING) END) AS name
+        FROM {part}""",
+    "town_queries": """
+        SELECT c_custkey AS query_id, CASE c_custkey % 8
+                   WHEN 0 THEN ' ' || upper(name) WHEN 1 THEN substr(name, 1, 2) || substr(name, 4) WHEN 2 THEN replace(name, 'i', 'y')
+                   WHEN 3 THEN split_part(name, ' ', 2) WHEN 4 THEN 'x' || name WHEN 5 THEN 'zzzzzz ' || name WHEN 6 THEN '  '
+                   ELSE split_part(name, ' ', 2) || '  ' || split_part(name, ' ', 1) END AS query
+        FROM {customer} JOIN {towns} AS t ON place_id = c_custkey""",
+    "label_queries": """
+        SELECT s_suppkey AS query_id, CASE s_suppkey % 6
+                   WHEN 0 THEN ' EN/src' || CAST(s_suppkey % 20 AS STRING) || ' ' WHEN 1 THEN 'c' || CAST(s_suppkey % 9 AS STRING) || '/' WHEN 2 THEN 'no such'
+                   WHEN 3 THEN CAST(s_suppkey AS STRING) || '.PDF' WHEN 4 THEN CAST(s_suppkey AS STRING) || '.' ELSE 's/' END AS query
+        FROM {supplier}""",
     "dirty": """
         SELECT doc_id, '\u00a0 ' || chr(1) || replace(replace(text, chr(10), chr(10) || chr(11) || chr(10) || chr(10)), ' ', '  ') || chr(127) || chr(9) || '\u2003 ' AS text
         FROM {documents}""",

@@ -7,6 +7,7 @@ from plotweave.functions import paths
 from plotweave.functions.geometry import bbox_reorder
 from plotweave.functions.text import format_count
 from plotweave.operators import catalog as op
+from plotweave.operators import search
 from plotweave.operators.features import json_parse
 from plotweave.plans.picking import top_n_per_query
 from plotweave.queries.registry import query
@@ -125,6 +126,15 @@ def _(spark, sf):
     return op.catalog_search(op.catalog(frame(spark, sf, "manifest")), "  EN/src1 ").select("hash", "label")
 
 
+@query("label_search", """
+    SELECT query_id, hash, label
+    FROM {label_queries} AS q JOIN (SELECT hash, state || '/' || city || '/' || name AS label FROM {catalog} AS c) AS l ON contains(lower(label), lower(trim(query)))""")
+def _(spark, sf):
+    index = staging_path(spark, "label-index")
+    search.build_label_index(op.catalog(frame(spark, sf, "manifest")), index)
+    return search.label_search(frame(spark, sf, "label_queries"), index).select("query_id", "hash", "label")
+
+
 @query("display_label", """
     SELECT hash, state || '/' || city || '/' || name AS label,
            'Page ' || CAST(1 + n_chars % 7 AS VARCHAR) || ' of ' || CAST(8 + n_chars % 7 AS VARCHAR) AS page_label
@@ -284,6 +294,30 @@ def _(spark, sf):
     return found.select("query_id", "place_id", "name")
 
 
+_NORMAL = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@query("gazetteer_search", f"""
+    SELECT query_id, place_id, name, edits, other_words
+    FROM (SELECT q.query_id, p.place_id, p.name, m.edits, m.other_words,
+                 row_number() OVER (PARTITION BY q.query_id ORDER BY m.edits, m.other_words, p.place_rank, p.place_id) AS rn
+          FROM (SELECT query_id, {_NORMAL.format("query")} AS asked FROM {{town_queries}} AS t WHERE trim(query) <> '') AS q
+          LEFT JOIN (SELECT asked, key, CAST(list_sum(ds) AS INTEGER) AS edits, CAST(len(nw) - len(qw) AS INTEGER) AS other_words
+                     FROM (SELECT *, list_transform(list_distinct(qw), lambda q: list_min(list_transform(nw, lambda w: CASE
+                                  WHEN q = w THEN 0 WHEN length(q) BETWEEN 4 AND 64 AND levenshtein(q, w) <= 1 THEN levenshtein(q, w) END))) AS ds
+                           FROM (SELECT asked, key, string_split(asked, ' ') AS qw, string_split(key, ' ') AS nw
+                                 FROM (SELECT DISTINCT {_NORMAL.format("query")} AS asked FROM {{town_queries}} AS t WHERE trim(query) <> '') AS a
+                                 CROSS JOIN (SELECT DISTINCT {_NORMAL.format("name")} AS key FROM {{towns}} AS t WHERE country = 'us') AS k) AS s) AS d
+                     WHERE len(list_filter(ds, lambda d: d IS NULL)) = 0) AS m ON m.asked = q.asked
+          LEFT JOIN (SELECT *, {_NORMAL.format("name")} AS key FROM {{towns}} AS t WHERE country = 'us') AS p ON p.key = m.key) AS r
+    WHERE rn <= 5""")
+def _(spark, sf):
+    index = staging_path(spark, "gazetteer-index")
+    search.build_index(frame(spark, sf, "towns"), index)
+    found = search.gazetteer_search(frame(spark, sf, "town_queries"), index)
+    return found.select("query_id", "place_id", "name", "edits", "other_words")
+
+
 @query("top_n_per_query", """
     SELECT c_nationkey, c_custkey FROM (
         SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM {customer}) AS r
