@@ -22,7 +22,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     together); the salt is a hash of them, so a recomputed task deals the rows out the same way. Only right rows of hot keys are copied.
     The table of hot keys holds at most ``rows / hot_rows`` entries, whatever the data looks like,
     which is why it may be broadcast. Left rows without a key match nothing, so in a left or anti join they are
-    dealt out freely. The plan is the same for inputs of every size: what is hot is counted, not estimated.
+    dealt out freely. The plan is the same for inputs of every size: what is hot is counted, not estimated, and the two sides meet in a
+    merge join, since the size Spark expects of a side does not tell how many rows its explodes make.
     """
     if how not in ("inner", "left", "left_anti"):
         raise ValueError("a salted join copies right rows, so it supports inner, left and left anti joins only")
@@ -39,7 +40,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     copied = right.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(copied.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def saltable(df: DataFrame) -> list[str]:

@@ -246,3 +246,11 @@ def test_rect_handles(spark):
     found = nearest_rect_handle(spark.createDataFrame(points, "pt_id BIGINT, x DOUBLE, y DOUBLE"), rect)
     assert {r.pt_id: r.handle for r in found.collect()} == {
         1: "top_left", 2: "body", 3: "left", 4: "bottom", 5: "body", 6: "body", 7: "body", 9: "body"}
+
+
+def test_rect_handles_are_not_broadcast(spark):
+    """72 copies of every rectangle look as small as the rectangles; only the counts of hot cells go to all tasks."""
+    points = spark.range(100).selectExpr("id AS pt_id", "CAST(id * 7 AS DOUBLE) AS x", "CAST(id * 5 AS DOUBLE) AS y")
+    rects = spark.range(50).selectExpr("id AS frame_id", "CAST(id * 20 AS DOUBLE) AS left", "CAST(id * 15 AS DOUBLE) AS top", "18D AS width", "12D AS height")
+    text = plan(nearest_rect_handle(points, rects))
+    assert text.count("SortMergeJoin") == 2 and "Inner, BuildRight" not in text and "Inner, BuildLeft" not in text
