@@ -254,3 +254,13 @@ def test_rect_handles_are_not_broadcast(spark):
     rects = spark.range(50).selectExpr("id AS frame_id", "CAST(id * 20 AS DOUBLE) AS left", "CAST(id * 15 AS DOUBLE) AS top", "18D AS width", "12D AS height")
     text = plan(nearest_rect_handle(points, rects))
     assert text.count("SortMergeJoin") == 2 and "Inner, BuildRight" not in text and "Inner, BuildLeft" not in text
+
+
+def test_frame_corners_are_not_broadcast(spark):
+    """Neither the nine copies of each corner nor the cells of a frame are."""
+    points = spark.range(100).selectExpr("id AS pt_id", "CAST(id * 7 AS DOUBLE) AS x", "CAST(id * 5 AS DOUBLE) AS y")
+    at = {"top_left": (0, 0), "top_right": (18, 1), "bottom_right": (17, 13), "bottom_left": (1, 12)}
+    frames = spark.range(50).selectExpr("id AS frame_id", *[
+        f"CAST(id * {step} + {d} AS DOUBLE) AS {name}_{axis}" for name, (dx, dy) in at.items() for axis, step, d in (("x", 20, dx), ("y", 15, dy))])
+    text = plan(nearest_anchor(points, frames))
+    assert text.count("SortMergeJoin") == 2 and "Inner, BuildRight" not in text and "Inner, BuildLeft" not in text
