@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.operators.zones import RENDERER_CLASSES, ZONES
+from plotweave.plans.ordered import number_segment, ordered_row_number
 from plotweave.session import configure
 
 TABLES = (
@@ -352,6 +353,18 @@ def nest_rings(vertices: DataFrame, *keys: str) -> DataFrame:
     return rings.groupBy("poly_id", *keys).agg(nested.alias("rings"))
 
 
+def comb_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture of that name with whole numbers of 64 bits and quotients in double precision, as the checking engine has them; no task sees all orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    counted = orders.agg(F.count("*").alias("n")).selectExpr("n", "CAST(floor(n / 2) AS BIGINT) AS half")
+    numbered = ordered_row_number(orders, ["o_orderkey"], number_segment("o_orderkey"), name="row_no").selectExpr("CAST(row_no AS BIGINT) - 1 AS k")
+    rows = numbered.join(F.broadcast(counted)).selectExpr(
+        "1 AS poly_id", "0 AS zone_no", "0 AS ring_no", "k AS vertex_no",
+        "IF(k < half, k * 5000D / half, (n - 1 - k) * 5000D / (n - half)) AS x",
+        "CAST(IF(k < half, k % 2 * 2900 + k * 7919 % 100, 6000 - k % 2 * 2900 - k * 104729 % 100) AS DOUBLE) AS y")
+    return rows.union(counted.selectExpr("1", "0", "0", "n", "0D", "0D"))
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nest_rings(frame(spark, sf_dir, "vertices"), "zone_no")
 

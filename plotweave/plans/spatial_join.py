@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotweave.functions.geometry import inside_edges, point_distance, polygon_edges, rings_bbox
+from plotweave.functions.geometry import edge_crossed, inside_edges, point_distance, polygon_edges, rings_bbox
 from plotweave.plans.once import with_once
+from plotweave.plans.ordered import number_segment, ordered_lag
 from plotweave.plans.skew import HOT_ROWS, salted_join
 
 
@@ -24,6 +25,10 @@ from plotweave.plans.skew import HOT_ROWS, salted_join
 WHOLE_EDGES, PIECE_EDGES = 16, 4
 #: Levels that a shape may lie above the finer grid and still be dealt over its cells, and cells a shape may cover on average.
 LEVELS_ABOVE, CELLS_PER_SHAPE = 5, 8
+#: Cells of a long polygon that an edge of average size crosses in each direction, and columns of a block in which crossings are added up.
+CELLS_PER_EDGE, BLOCK_COLS = 2, 1024
+#: Edges of one polygon that a task lays on the polygon's grid.
+EDGES_PER_TASK = 200_000
 
 PIECE = """array<struct<row:int,col:int,odd:boolean,edges:array<struct<x1:double,y1:double,x2:double,y2:double>>>>"""
 
@@ -194,6 +199,97 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, hot_rows: int = HOT
     return pairs.where(here & inside).drop("_grid", "_piece", "_box")
 
 
+# --- polygons whose edges are rows ------------------------------------------------------------------
+
+
+def edges_of_rings(vertices: DataFrame) -> DataFrame:
+    """Edges (``poly_id, x1, y1, x2, y2``) of rings given as rows ``poly_id, ring_no, vertex_no, x, y``; open rings are closed. No ring is collected."""
+    keys = ["poly_id", "ring_no"]
+    ends = vertices.select(*keys, "vertex_no", F.struct("x", "y").alias("_v"))
+    after = ordered_lag(ends, "_v", keys, ["vertex_no"], number_segment("vertex_no"), "_u").where(F.col("_u").isNotNull())
+    closing = ends.groupBy(*keys).agg(F.max_by("_v", "vertex_no").alias("_u"), F.min_by("_v", "vertex_no").alias("_v"))
+    both = after.select("poly_id", "_u", "_v").union(closing.select("poly_id", "_u", "_v"))
+    return both.selectExpr("poly_id", "_u.x AS x1", "_u.y AS y1", "_v.x AS x2", "_v.y AS y2")
+
+
+def _edge_grid(edges: DataFrame) -> DataFrame:
+    """``poly_id, _box, _grid`` of polygons with an area. Cells are half as wide and high as the average edge, and columns or rows at most as many as edges need."""
+    sums = edges.groupBy("poly_id").agg(
+        F.count("*").alias("n"), F.sum(F.abs(F.col("x2") - F.col("x1"))).alias("dx"), F.sum(F.abs(F.col("y2") - F.col("y1"))).alias("dy"),
+        *[end(F.col(f"{v}1")).alias(f"{name}_{v}") for v in "xy" for name, end in (("min", F.min), ("max", F.max))])
+    parts = lambda v: f"greatest(least(CAST(floor({CELLS_PER_EDGE} * (max_{v} - min_{v}) * n / d{v}) AS BIGINT), CAST(ceil(n / {PIECE_EDGES}) AS BIGINT)), 1)"
+    sized = sums.where("max_x > min_x AND max_y > min_y").selectExpr("*", f"{parts('x')} AS cols", f"{parts('y')} AS rows")
+    return sized.selectExpr(
+        "poly_id", "struct(min_x, min_y, max_x, max_y) AS _box",
+        "struct(min_x, min_y, rows, cols, (max_y - min_y) / rows AS h, (max_x - min_x) / cols AS w) AS _grid")
+
+
+def _place(value: str, v: str) -> str:
+    step, n = {"x": ("w", "cols"), "y": ("h", "rows")}[v]
+    return f"greatest(least(CAST(floor(({value} - _grid.min_{v}) / _grid.{step}) AS BIGINT), _grid.{n} - 1), 0)"
+
+
+def _crossing(edge: Column, x: Column, y: Column) -> Column:
+    """As :func:`edge_crossed`, but an edge that lies wholly to one side of ``x`` is never taken for one on the other by rounding."""
+    straddles = (edge.y1 > y) != (edge.y2 > y)
+    return F.coalesce(straddles & (x < _crossed_at(edge, y)), F.lit(False))
+
+
+def _crossed_at(edge: Column, y: Column) -> Column:
+    at = F.try_divide((edge.x1 - edge.x2) * (y - edge.y2), edge.y1 - edge.y2) + edge.x2
+    return F.greatest(F.least(at, F.greatest(edge.x1, edge.x2)), F.least(edge.x1, edge.x2))
+
+
+def point_in_edges(points: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As :func:`point_in_polygon` for polygons of any length, whose edges are rows (``poly_id, x1, y1, x2, y2``) of closed rings.
+
+    Every polygon has a grid of its own. The lower right corner of a cell is inside when the edges that the lower line of its row meets further
+    right are odd in number; those are counted per column and added up from the right. From there to a point of the cell, up the cell's right side and
+    then left, only edges that touch the cell are met, so an edge is copied to a few cells and never to all the cells to its left. Going up, an
+    edge counts by what it adds at the corner and by its ends right of that side: at every vertex two edges meet, so ends of edges that
+    do not touch the side cancel out. The last step is the exact test of :func:`edge_crossed`.
+    """
+    grid = _edge_grid(edges)
+    laid = salted_join(edges, grid.select("poly_id", "_grid"), ["poly_id"], ["x1", "y1", "x2", "y2"], EDGES_PER_TASK).withColumn("_e", F.struct("x1", "y1", "x2", "y2"))
+    rows = laid.withColumn("_row", F.expr(
+        f"explode(sequence({_place('least(y1, y2) - 0.01D * _grid.h', 'y')}, {_place('greatest(y1, y2) + 0.01D * _grid.h', 'y')}))"))
+    corner = {"x": "_grid.min_x + (_col + 1) * _grid.w", "y": "_grid.min_y + _row * _grid.h"}
+
+    at = rows.withColumn("_y", F.expr(corner["y"])).where((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))).withColumn(
+        "_x", _crossed_at(F.col("_e"), F.col("_y"))).withColumn("_at", F.expr("CAST(floor((_x - _grid.min_x) / _grid.w) AS BIGINT)"))
+    # The last column whose right side lies left of the crossing, whatever rounding says.
+    side = lambda c: f"_grid.min_x + ({c} + 1) * _grid.w < _x"
+    last = at.selectExpr("poly_id", "_row", f"least(CASE WHEN {side('_at')} THEN _at WHEN {side('(_at - 1)')} THEN _at - 1 ELSE _at - 2 END, _grid.cols - 1) AS _col")
+    met = last.where("_col >= 0").groupBy("poly_id", "_row", "_col").agg((F.count("*") % 2).alias("_n")).where("_n = 1")
+
+    reach = lambda end: f"""CASE WHEN y1 = y2 THEN {end}(x1, x2) ELSE greatest(least({end}(
+        x1 + (x2 - x1) * ((greatest(least(y1, y2), _grid.min_y + (_row - 0.01D) * _grid.h) - y1) / (y2 - y1)),
+        x1 + (x2 - x1) * ((least(greatest(y1, y2), _grid.min_y + (_row + 1.01D) * _grid.h) - y1) / (y2 - y1))), greatest(x1, x2)), least(x1, x2)) END"""
+    spare = "(0.01D * _grid.w + 1e-12D * (abs(x1) + abs(x2)))"
+    spread = f"explode(sequence({_place(reach('least') + ' - ' + spare, 'x')}, {_place(reach('greatest') + ' + ' + spare, 'x')})) AS _col"
+    cell = ["poly_id", "_row", "_col"]
+    held = rows.selectExpr("poly_id", "_row", "_e", spread).groupBy(*cell).agg(F.collect_list("_e").alias("_edges"))
+
+    pairs = point_in_box(points, grid, hot_rows).withColumns({"_row": F.expr(_place("y", "y")), "_col": F.expr(_place("x", "x"))})
+    asked = pairs.select(*cell).distinct()
+    marks = met.select(*cell, "_n", F.lit(False).alias("_asked")).union(asked.select(*cell, F.lit(0).cast("bigint"), F.lit(True))).withColumn(
+        "_block", F.floor(F.col("_col") / BLOCK_COLS))
+    block = ["poly_id", "_row", "_block"]
+    later = Window.partitionBy("poly_id", "_row").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marks.groupBy(*block).agg(F.sum("_n").alias("_in")).withColumn("_later", F.coalesce(F.sum("_in").over(later), F.lit(0))).drop("_in")
+    within = marks.withColumn("_in", F.sum("_n").over(Window.partitionBy(*block).orderBy(F.desc("_col")))).where("_asked")
+    corners = within.join(blocks, block).select(*cell, (F.col("_in") + F.col("_later")).alias("_met"))
+
+    known = corners.join(held, cell, "left")
+    x, y, cx, cy = F.col("x"), F.col("y"), F.col("_cx"), F.col("_cy")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    passed = lambda vx, vy: (vx > cx) & ((vy <= y) != (vy <= cy))
+    step = lambda n, e: n + one(edge_crossed(e, x, y)) + one(_crossing(e, cx, cy)) + one(passed(e.x1, e.y1)) + one(passed(e.x2, e.y2))
+    found = salted_join(pairs, known, cell, ["pt_id"], hot_rows).withColumns({"_cx": F.expr(corner["x"]), "_cy": F.expr(corner["y"])})
+    crossed = F.col("_met") + F.coalesce(F.aggregate("_edges", F.lit(0), step), F.lit(0))
+    return found.where(crossed % 2 == 1).drop("_grid", "_row", "_col", "_met", "_edges", "_cx", "_cy")
+
+
 def radius_join(points: DataFrame, anchors: DataFrame, radius: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of points (``pt_id, x, y``) and anchors (``ax, ay``) at most ``radius`` apart.
 

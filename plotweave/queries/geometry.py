@@ -2,14 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from plotweave.fixtures import faulty_polygons, frame, nest_rings, polygons
+from plotweave.fixtures import comb_vertices, faulty_polygons, frame, polygons
 from plotweave.functions import geometry as geo
 from plotweave.operators import geometry as op
 from plotweave.operators import rings as rebuild
 from plotweave.operators.zones import zone_dim
 from plotweave.plans.picking import priority_pick
-from plotweave.plans.spatial_join import point_in_polygon
+from plotweave.plans.spatial_join import edges_of_rings, point_in_edges, point_in_polygon
 from plotweave.queries.registry import query
+from plotweave.session import staging_path
 
 _EDGES = """(SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {vertices} AS v WINDOW w AS (PARTITION BY poly_id, ring_no ORDER BY vertex_no))"""
 _INSIDE = f"""
@@ -35,9 +36,11 @@ _IN_COMB = _INSIDE.replace("{vertices}", "{comb_vertices}")
 
 @query("point_in_long_polygon", f"SELECT pt_id, poly_id FROM ({_IN_COMB}) AS i")
 def _(spark, sf):
-    """All points against one polygon with a vertex for every order."""
-    comb = nest_rings(frame(spark, sf, "comb_vertices").withColumns({c: F.col(c).cast("double") for c in "xy"}), "zone_no")
-    return point_in_polygon(frame(spark, sf, "points"), comb).select("pt_id", "poly_id")
+    """All points against one polygon with a vertex for every order, which is never in one row."""
+    path = staging_path(spark, "comb")
+    comb_vertices(spark, sf).write.parquet(f"{path}/vertices")
+    edges_of_rings(spark.read.parquet(f"{path}/vertices")).write.parquet(f"{path}/edges")
+    return point_in_edges(frame(spark, sf, "points"), spark.read.parquet(f"{path}/edges")).select("pt_id", "poly_id")
 
 
 @query("feature_at_click", f"""

@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plotweave.fixtures import comb_vertices
 from plotweave.operators.geometry import nearest_anchor, nearest_rect_handle
 from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_lag, ordered_row_number, ordered_slice
 from plotweave.plans.picking import priority_pick
 from plotweave.plans.skew import missing_from, salted_join
-from plotweave.plans.spatial_join import point_in_polygon, radius_join
+from plotweave.plans.spatial_join import edges_of_rings, point_in_edges, point_in_polygon, radius_join
 
 
 def plan(df):
@@ -264,3 +265,45 @@ def test_frame_corners_are_not_broadcast(spark):
         f"CAST(id * {step} + {d} AS DOUBLE) AS {name}_{axis}" for name, (dx, dy) in at.items() for axis, step, d in (("x", 20, dx), ("y", 15, dy))])
     text = plan(nearest_anchor(points, frames))
     assert text.count("SortMergeJoin") == 2 and "Inner, BuildRight" not in text and "Inner, BuildLeft" not in text
+
+
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_points_in_edges_equal_nested_loop(spark, scene, hot_rows):
+    """Stars, combs with level teeth, and rings that cross themselves, with points on vertices, on edges and level with them."""
+    points_df, _, points, shapes = scene
+    rng = random.Random(4)
+    comb = [(k / 2, float(k % 2 * (20 + k % 7))) for k in range(200)] + [(k / 2, 50.0 - k % 2 * (20 + k % 5)) for k in range(199, -1, -1)]
+    tangle = [(float(rng.randrange(-40, 40)), float(rng.randrange(-40, 40))) for _ in range(150)]
+    steps = [(float(k // 2), float((k + 1) // 2)) for k in range(80)] + [(60.0, 0.0)]
+    shapes = shapes[:30] + [(900, [comb]), (901, [tangle]), (902, [steps, tangle[:40]])]
+    points = points[:200] + points[600:650] + [(5000 + i, x, y) for i, (x, y) in enumerate(comb[:60] + tangle[:60] + steps[:40])]
+    points += [(9000 + i, float(rng.randrange(-50, 110)) / 2, float(rng.randrange(-50, 110)) / 2) for i in range(300)]
+    vertices = [(s, r, k, x, y) for s, rings in shapes for r, ring in enumerate(rings) for k, (x, y) in enumerate(ring)]
+    edges = edges_of_rings(spark.createDataFrame(vertices, "poly_id BIGINT, ring_no INT, vertex_no INT, x DOUBLE, y DOUBLE"))
+
+    def inside(rings, x, y):  # edges in the direction of the ring, as the operator has them
+        return sum((y1 > y) != (y2 > y) and x < (x1 - x2) * (y - y2) / (y1 - y2) + x2
+                   for ring in rings for (x1, y1), (x2, y2) in zip([ring[-1]] + ring[:-1], ring)) % 2
+
+    expected = sorted((p, s) for p, x, y in points for s, rings in shapes if inside(rings, x, y))
+    assert len(expected) > 300
+    found = point_in_edges(spark.createDataFrame(points, "pt_id BIGINT, x DOUBLE, y DOUBLE"), edges, hot_rows)
+    assert sorted((r.pt_id, r.poly_id) for r in found.collect()) == expected
+
+
+def test_edges_of_a_comb_are_copied_to_few_cells(spark):
+    """All teeth of this comb end at four heights, so cells to the left of an edge that ends in their row must not get it."""
+    n = 20_000
+    ring = spark.range(n).selectExpr("1L AS poly_id", "0 AS ring_no", "id AS vertex_no", f"IF(id < {n // 2}, id, {n - 1} - id) * 1D AS x",
+                                     f"IF(id < {n // 2}, id % 2 * 2900D, 6000D - id % 2 * 2900D) AS y")
+    points = spark.range(500).selectExpr("id AS pt_id", f"CAST(id * 7919 % {n // 2} AS DOUBLE) + 0.25D AS x", "CAST(id * 104729 % 6000 AS DOUBLE) AS y")
+    found = point_in_edges(points, edges_of_rings(ring).cache()).count()
+    assert 100 < found < 400
+
+
+def test_comb_of_many_orders(spark, tmp_path):
+    """Beyond 271,000 orders the products of the fixture need more than 32 bits."""
+    spark.range(300_000).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    found = comb_vertices(spark, str(tmp_path)).where("vertex_no IN (0, 149999, 280000, 299999, 300000)").orderBy("vertex_no").collect()
+    y = [0, 2900 + 149999 * 7919 % 100, 6000 - 280000 * 104729 % 100, 6000 - 2900 - 299999 * 104729 % 100, 0]
+    assert [(r.x, r.y) for r in found] == list(zip([0.0, 149999 * 5000 / 150000, 19999 * 5000 / 150000, 0.0, 0.0], y))
