@@ -171,8 +171,10 @@ def object_by_hash(requests: DataFrame, objects: DataFrame, hot_rows: int = HOT_
     return salted_join(keyed, stored, ["object_key"], salt_by=requests.columns, hot_rows=hot_rows, how="left")
 
 
-def corpus_size(files: DataFrame) -> DataFrame:
-    return files.agg(
+def corpus_size(files: DataFrame, name: Column | None = None) -> DataFrame:
+    """Bytes and number of files; with ``name``, files of one name are parts of one file."""
+    whole = files if name is None else files.groupBy(name.alias("_name")).agg(F.sum("length").alias("length"))
+    return whole.agg(
         F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"), F.count("*").alias("n_files")
     )
 

@@ -215,6 +215,16 @@ def test_metadata_scan_reads_no_content(spark, tmp_path):
     assert (size.total_bytes, size.n_files) == (15, 2)
 
 
+def test_parts_of_a_corpus_file(spark, tmp_path):
+    """Files written in parts by many tasks count once each, with all their bytes."""
+    rows = spark.range(90, numPartitions=6).selectExpr("IF(id % 3 = 0, 'de', 'en') AS lang", "CONCAT('x', id) AS text")
+    rows.write.partitionBy("lang").text(str(tmp_path / "t"))
+    listed = landed.object_metadata(spark, str(tmp_path / "t"), "*.txt")
+    assert listed.count() > 2
+    size = cat.corpus_size(listed, F.regexp_extract("path", "/lang=([^/]*)/", 1)).first()
+    assert (size.total_bytes, size.n_files) == (10 * 3 + 80 * 4, 2)
+
+
 def test_label_lookup_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("b", 2.0)], "pdf_hash STRING, top_left_lng DOUBLE").write.parquet(str(tmp_path / "l"))
     one = landed.labels_scan(spark, str(tmp_path / "l"), "b")
