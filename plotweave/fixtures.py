@@ -344,6 +344,17 @@ def geolabels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"created_at": at("created_s"), "updated_at": at("updated_s")}).drop("created_s", "updated_s", "d")
 
 
+def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture of that name. Texts are hashed before the join, so hashes are shuffled and not the texts."""
+    hashed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), F.md5("text").alias("pdf_hash"))
+    moved = lambda lng, side: f"{lng}D + value / 1000D AS {side}_lng"
+    return table(spark, sf_dir, "events").join(hashed, "user_id").selectExpr(
+        "event_id", "ts", "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'save' END AS op", "pdf_hash",
+        "concat('maps/event/', CAST(event_id AS STRING), '.pdf') AS pdf_path",
+        moved("-85.9", "top_left"), "33.75D AS top_left_lat", moved("-85.8", "top_right"), "33.75D AS top_right_lat",
+        moved("-85.8", "bottom_right"), "33.65D AS bottom_right_lat", moved("-85.9", "bottom_left"), "33.65D AS bottom_left_lat")
+
+
 def nest_rings(vertices: DataFrame, *keys: str) -> DataFrame:
     """Polygons from a table of vertices."""
     vertex = F.struct("vertex_no", "x", "y")

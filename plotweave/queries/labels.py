@@ -5,7 +5,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from plotweave.fixtures import frame, geolabels, table
+from plotweave.fixtures import frame, geolabels, label_events, table
 from plotweave.functions import geometry as geo
 from plotweave.operators import catalog as cat
 from plotweave.operators import files as fl
@@ -59,7 +59,7 @@ _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pdf_hash OR
 
 @query("latest_label", f"SELECT pdf_hash, event_id, op, pdf_path, {_CORNERS} FROM {_LATEST} AS n")
 def _(spark, sf):
-    return op.latest_label(frame(spark, sf, "label_events")).select("pdf_hash", "event_id", "op", "pdf_path", *CORNER_COLUMNS)
+    return op.latest_label(label_events(spark, sf)).select("pdf_hash", "event_id", "op", "pdf_path", *CORNER_COLUMNS)
 
 
 @query("label_upsert", """
@@ -68,7 +68,7 @@ def _(spark, sf):
            coalesce(l.created_s, CAST(floor(epoch(n.ts)) AS BIGINT)) AS created_s, coalesce(CAST(floor(epoch(n.ts)) AS BIGINT), l.updated_s) AS updated_s
     FROM {geolabels} AS l FULL JOIN (SELECT * FROM """ + _LATEST + """ AS x WHERE op = 'save') AS n USING (pdf_hash)""")
 def _(spark, sf):
-    changes = op.latest_label(frame(spark, sf, "label_events")).where("op = 'save'")
+    changes = op.latest_label(label_events(spark, sf)).where("op = 'save'")
     merged = op.label_upsert(geolabels(spark, sf), changes)
     return merged.select(
         "pdf_hash", "pdf_path", *CORNER_COLUMNS, _epoch("created_at").alias("created_s"), _epoch("updated_at").alias("updated_s")
@@ -78,7 +78,7 @@ def _(spark, sf):
 @query("label_delete", f"""
     SELECT pdf_hash FROM {{geolabels}} AS l WHERE pdf_hash NOT IN (SELECT pdf_hash FROM {_LATEST} AS n WHERE op = 'delete')""")
 def _(spark, sf):
-    deleted = op.latest_label(frame(spark, sf, "label_events")).where("op = 'delete'")
+    deleted = op.latest_label(label_events(spark, sf)).where("op = 'delete'")
     return op.label_delete(geolabels(spark, sf), deleted).select("pdf_hash")
 
 
@@ -168,7 +168,7 @@ def _(spark, sf):
         UNION ALL SELECT 'hash_unique', count(*) FROM (SELECT pdf_hash FROM {label_events} AS e GROUP BY pdf_hash HAVING count(*) > 1) AS d
         UNION ALL SELECT 'corners_present', count(*) FILTER (WHERE top_left_lng IS NULL OR top_left_lat IS NULL) FROM {label_events} AS e) AS r""")
 def _(spark, sf):
-    return fl.unique_hash_check(frame(spark, sf, "label_events"))
+    return fl.unique_hash_check(label_events(spark, sf))
 
 
 # --- bulk corrections ------------------------------------------------------------------------------

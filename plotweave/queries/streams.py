@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plotweave.fixtures import frame, table
+from plotweave.fixtures import label_events, table
 from plotweave.queries.registry import query
 from plotweave.session import staging_path
 from plotweave.streaming import labels as lab
@@ -85,7 +85,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Label events in shuffled order; the stored table keeps the last state of each hash."""
     source, store = staging_path(spark, "label-events"), staging_path(spark, "label-table")
-    events = frame(spark, sf, "label_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = label_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(F.xxhash64("event_id")).write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
     lab.label_stream_upsert(stream, store, staging_path(spark, "label-state"), buckets=8)
@@ -102,7 +102,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Label events arrive in two runs of one stream; each run's version stays readable."""
     source, store, state = (staging_path(spark, f"label-{name}") for name in ("arrivals", "versions", "progress"))
-    events = frame(spark, sf, "label_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = label_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     for part in (0, 1):
         events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
         snapshots.label_stream_commit(spark.readStream.schema(events.schema).parquet(source), store, state, buckets=8)

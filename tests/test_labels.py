@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from plotweave.fixtures import frame, geolabels
+from plotweave.fixtures import frame, geolabels, label_events
 from plotweave.operators import catalog as cat
 from plotweave.operators import files as fl
 from plotweave.operators import labels as op
@@ -181,3 +181,12 @@ def test_two_adjustments_of_one_label_are_an_error(spark):
     with pytest.raises(Exception, match="more than one adjustment"):
         op.translate_corners(label, moves).collect()
     assert op.translate_corners(label, moves.limit(1)).count() == 1
+
+
+def test_label_events_shuffle_no_texts(spark, sf):
+    """The same rows as the fixture's SQL, and the hash is taken below the join."""
+    ours, plain = label_events(spark, sf), frame(spark, sf, "label_events")
+    assert ours.dtypes == plain.dtypes and ours.columns == plain.columns
+    assert sorted(map(str, ours.collect())) == sorted(map(str, plain.collect()))
+    tree = ours._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= tree.index("Join") < tree.index("md5")
