@@ -18,8 +18,6 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Strings the models judge: this long at least, of characters keys are written in.
 LONG_TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
-#: Documents and strings per class the models are trained on at most.
-SAMPLE_DOCS, SAMPLE_STRINGS = 2_000, 20_000
 
 
 def _base(text: Column) -> Column:
@@ -40,18 +38,14 @@ def _codes(token: Column) -> Column:
 
 def labelled_strings(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``(token, random)``: values of fixed forms and digests in base 64 (1), ordinary identifiers and
-    numbers of sampled documents, as written and in capitals (0).
+    numbers of all documents, as written and in capitals (0).
 
-    Bounded by ``SAMPLE_DOCS`` documents and ``SAMPLE_STRINGS`` strings per kind, those of least MD5.
+    Different strings count once, so there are as many as the corpus has words of its own.
     """
-    least = lambda df, n: df.distinct().orderBy(F.md5("token"), "token").limit(n)
     value = lambda x: F.when(x["kind"] == 0, F.regexp_extract(x["m"], ASSIGN, 2)).otherwise(x["m"])
-    secrets = least(found.select(F.explode("_base").alias("x")).select(value(F.col("x")).alias("token")), SAMPLE_STRINGS)
-    keyed = docs.select(F.md5(text_of(F.col(text))).alias("_key"), F.col(text).alias("_text"))
-    few = keyed.select("_key").distinct().orderBy("_key").limit(SAMPLE_DOCS)
-    # At most SAMPLE_DOCS keys of 32 bytes, so small enough for a broadcast whatever the table holds.
-    words = keyed.join(F.broadcast(few), "_key").select(F.explode(words_of(F.col("_text"))).alias("token"))
-    ordinary = least(words.where(F.rlike("token", F.lit(r"^(?:[A-Za-z]+(?:[_-][A-Za-z]+)*|[0-9]+)$")) & (F.length("token") >= 4)), SAMPLE_STRINGS)
+    secrets = found.select(F.explode("_base").alias("x")).select(value(F.col("x")).alias("token")).distinct()
+    words = docs.select(F.explode(words_of(F.col(text))).alias("token")).where(F.length("token") >= 4).distinct()
+    ordinary = staged(words.where(F.rlike("token", F.lit(r"^(?:[A-Za-z]+(?:[_-][A-Za-z]+)*|[0-9]+)$"))), "ordinary")
     digests = ordinary.select(F.substring(F.base64(F.unhex(F.sha2("token", 256))), 1, 32).alias("token"))
     shouted = ordinary.select(F.upper("token").alias("token"))
     return staged(

@@ -9,7 +9,7 @@ from plotweave.llm.linefreq import line_quality
 from plotweave.llm.mixing import mix_sources
 from plotweave.llm.pii import find_personal_data, personal_digest
 from plotweave.llm.quality import fit_quality, with_quality
-from plotweave.llm.secrets import find_secrets, secrets_digest
+from plotweave.llm.secrets import find_secrets, labelled_strings, secrets_digest
 from plotweave.llm.toolcalls import link_calls
 from plotweave.llm.toxicity import fit_toxicity, with_toxicity
 from plotweave.llm.winnow import dedup_lines, repeated_lines
@@ -54,6 +54,15 @@ def test_secrets(llm, odd, none):
     assert f"random:{at}:{at + 20}" in rows[1].spans and "internationalization" not in rows[2].spans and rows[2].spans == ""
 
 
+def test_secret_models_see_every_string(llm):
+    """More documents and more strings than a bounded sample would hold."""
+    docs = llm.range(2500).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 9), i -> CAST(100000 + id * 10 + i AS STRING))) AS text")
+    base = "array(struct(0 AS s, 2 AS kind, 24 AS e, lpad(hex(id), 24, 'a') AS m)) AS _base"
+    strings = labelled_strings(llm.range(21_000).selectExpr(base), docs, "text")
+    counted = {r["random"]: r["n"] for r in strings.groupBy("random").agg(F.count_distinct("token").alias("n")).collect()}
+    assert counted == {0: 25_000, 1: 21_000 + 25_000}
+
+
 def test_mix(llm, odd, none):
     rows = mix_sources(odd).collect()
     assert len(rows) == N and mix_sources(none).count() == 0
