@@ -15,8 +15,8 @@ from plotweave.session import staging_path
 
 #: Lengths of words that may be misspelt; shorter and longer ones have to be written right.
 SHORTEST, LONGEST = 4, 64
-#: Length of the parts a label is found by, folders of an index of labels, and shares of the labels of a part.
-GRAM, PARTS, SHARES = 3, 64, 64
+#: Greatest length of the parts a label is found by, folders of an index of labels, and shares of the labels of a part.
+GRAM, PARTS, SHARES = 8, 64, 64
 POSTING = "label_id BIGINT, gram STRING, share INT"
 
 
@@ -139,7 +139,7 @@ def _folders(spark: SparkSession, index: str, name: str) -> DataFrame:
 
 
 def build_label_index(documents: DataFrame, path: str) -> None:
-    """Write the labels of a catalog, and which labels hold which substring of at most three characters.
+    """Write the labels of a catalog, which labels hold which substring of at most eight characters, and how many hold each of eight.
 
     The empty substring is among them: it leads to all labels, as an empty search does.
     """
@@ -152,28 +152,38 @@ def build_label_index(documents: DataFrame, path: str) -> None:
     held = low.select("label_id", F.explode(grams).alias("gram")).withColumns({
         "part": _part(F.col("gram")), "share": F.pmod(F.col("label_id"), F.lit(SHARES)).cast("int")})
     held.hint("rebalance", "part").sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    counts = _folders(documents.sparkSession, path, "postings").groupBy("part", "gram").agg(F.count("*").alias("n_labels"))
+    longest = _folders(documents.sparkSession, path, "postings").where(F.length("gram") == GRAM)
+    counts = longest.groupBy("part", "gram").agg(F.count("*").alias("n_labels"))
     counts.write.mode("overwrite").parquet(f"{path}/counts")
 
 
-def label_search(queries: DataFrame, index: str) -> DataFrame:
-    """Catalog rows whose label holds the trimmed query (``query_id, query``), case ignored; as ``catalog_search``, for many queries at once.
+def label_candidates(texts: DataFrame, index: str) -> DataFrame:
+    """Labels (``_text, label_id, part``) that may hold a text (distinct lower-case ``_text``); of texts of up to eight characters all do.
 
-    The substring of a query with the fewest labels gives the candidates, which are then compared in full. Only folders of the
-    substrings and labels needed are read, and the labels of every substring are split into shares, so that a common one is many
-    tasks' work. Null queries find nothing, empty ones everything.
+    Such a text is itself a substring of the index. Of a longer one the substring of eight characters with the fewest labels gives the
+    candidates. With shorter substrings they would grow with texts times labels: there are only some thousand of three
+    characters, each in a share of all labels.
     """
-    spark = queries.sparkSession
-    counts = spark.read.parquet(f"{index}/counts")
-    asked = queries.select("query_id", F.lower(strip(F.col("query"))).alias("_text")).where(F.col("_text").isNotNull())
+    spark = texts.sparkSession
     text = F.col("_text")
-    grams = F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, range(GRAM, GRAM + 1)))
-    parts = asked.select("_text").distinct().select("_text", F.explode(grams).alias("gram")).withColumn("part", _part(F.col("gram")))
+    short = texts.where(F.length(text) <= GRAM).select("_text", _part(text).alias("part"), text.alias("gram"))
+    parts = texts.where(F.length(text) > GRAM).select("_text", F.explode(_grams(text, range(GRAM, GRAM + 1))).alias("gram")).withColumn("part", _part(F.col("gram")))
     # A substring that no label holds leaves the query without a match.
-    rarest = parts.join(counts, ["part", "gram"], "left").groupBy("_text").agg(
+    rarest = parts.join(spark.read.parquet(f"{index}/counts"), ["part", "gram"], "left").groupBy("_text").agg(
         F.min_by(F.struct("part", "gram"), F.struct("n_labels", "gram")).alias("_rare"), F.bool_and(F.col("n_labels").isNotNull()).alias("_all")
     ).where("_all").select("_text", "_rare.part", "_rare.gram")
-    shares = rarest.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    reached = _folders(spark, index, "postings").join(shares, ["part", "gram", "share"]).select("_text", "label_id", _part(F.col("label_id")).alias("part"))
-    found = _folders(spark, index, "labels").join(reached, ["part", "label_id"]).where(F.contains(F.lower("label"), F.col("_text"))).drop("part", "label_id")
+    shares = short.union(rarest).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return _folders(spark, index, "postings").join(shares, ["part", "gram", "share"]).select("_text", "label_id", _part(F.col("label_id")).alias("part"))
+
+
+def label_search(queries: DataFrame, index: str) -> DataFrame:
+    """Catalog rows whose label holds the trimmed query (``query_id, query``), case ignored; as ``catalog_search``, for many queries at once.
+
+    What :func:`label_candidates` finds is compared in full. Only folders of the substrings and labels needed are read, and the labels
+    of every substring are split into shares, so that a common one is many tasks' work. Null queries find nothing, empty ones everything.
+    """
+    asked = queries.select("query_id", F.lower(strip(F.col("query"))).alias("_text")).where(F.col("_text").isNotNull())
+    reached = label_candidates(asked.select("_text").distinct(), index)
+    found = _folders(queries.sparkSession, index, "labels").join(reached, ["part", "label_id"]).where(
+        F.contains(F.lower("label"), F.col("_text"))).drop("part", "label_id")
     return salted_join(found, asked, ["_text"], ["label"]).drop("_text")

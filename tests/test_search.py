@@ -70,3 +70,13 @@ def test_label_index_equals_the_scan(spark, tmp_path):
     assert got == sorted(str((i, *r)) for i, q in enumerate(queries) for r in scan(q))
     search.build_label_index(documents.limit(0), path)
     assert search.label_search(asked, path).count() == 0
+
+
+def test_labels_of_short_texts_are_found_without_candidates(spark, tmp_path):
+    """Numbers share their last digits; what is looked up must not grow with texts times labels."""
+    rows = [("h", "al", "s", f"{n}.pdf") for n in range(1000, 3000)]
+    path = str(tmp_path / "index")
+    search.build_label_index(spark.createDataFrame(rows, "hash STRING, state STRING, city STRING, name STRING"), path)
+    texts = [f"{n}." for n in range(1000, 3000)] + [f"/{n}.pdf" for n in range(1000, 3000)] + ["x"]
+    found = search.label_candidates(spark.createDataFrame([(t,) for t in texts], "_text STRING"), path)
+    assert found.count() == 4000
