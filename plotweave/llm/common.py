@@ -21,11 +21,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text_of(text), SPACES), "")
 
 
+#: Tells Spark to remove the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again, so that later steps neither repeat nor change them."""
+    """The rows written to the shared folder and read again, so that later steps neither repeat nor change them.
+
+    The write shares no shuffle with other jobs, so its shuffle files go with it.
+    """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import staged, text_of, words_of
+from plotweave.llm.common import staged, text_of
 from plotweave.llm.spans import named
 from plotweave.plans.once import with_once
 from plotweave.plans.skew import salted_join
@@ -18,8 +18,20 @@ GRAM = 8
 HOT_RUNS = 20_000
 
 
+def _spaced(text: Column, blanks: str) -> Column:
+    """The text with spaces for other blanks; plain replacements look at bytes and cost far less than a pattern."""
+    for blank in blanks:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def _plain(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "))
+    """A line whose only blanks are spaces, without needless ones."""
+    return F.trim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " {2,}", " ")).otherwise(line))
+
+
+def _word_hashes(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(_spaced(text, "\t\n\x0b\x0c\r"), " "), ""), lambda w: F.xxhash64(w))
 
 
 def _windows(least_words: int) -> Column:
@@ -81,8 +93,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lined = with_once(
         docs.select(F.col(doc_id).alias("doc_id"), text_of(F.col(text)).alias("_text")).withColumn("text_hash", F.xxhash64("_text")),
         "_lines", F.filter(
-            F.transform(F.split("_text", "\n"), lambda x, p: F.struct(p.alias("p"), _plain(x).alias("x"))), lambda x: x["x"] != ""))
-    spaces = lambda x: F.length(x) - F.length(F.translate(x, " ", ""))
+            F.transform(F.split(_spaced(F.col("_text"), "\t\x0b\x0c\r"), "\n"), lambda x, p: F.struct(p.alias("p"), _plain(x).alias("x"))), lambda x: x["x"] != ""))
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     hashed = lined.select(
         "doc_id", "text_hash", F.transform("_lines", lambda x: x["p"]).alias("_p"),
         F.transform("_lines", lambda x: F.xxhash64(x["x"])).alias("_h"), F.transform("_lines", lambda x: spaces(x["x"]) + 1).alias("_w"))
@@ -139,7 +151,7 @@ def _least_in_windows(values: Column, width: int) -> Column:
         m, F.slice(m, s + 1, F.size(m)), lambda a, b: F.least(a, b)))
 
 
-def _stretches(least_words: int) -> Column:
+def _stretches(hashes: Column, least_words: int) -> Column:
     """``struct<lo, hi, f, s>``: windows ``lo`` to ``hi`` of ``least_words`` words that share a fingerprint, its hash, and the hash of all their words.
 
     The fingerprint of a window is its first ``gram`` words whose beginning has the least hash; beginnings of three words differ more
@@ -148,16 +160,27 @@ def _stretches(least_words: int) -> Column:
     gram = min(GRAM, least_words)
     width = least_words - gram + 1
     place = lambda x: x.bitwiseAND(F.lit(2**32 - 1)).cast("int")
-    values = F.transform("_h", lambda x, i: F.xxhash64(x, *[F.get("_h", i + k) for k in range(1, min(3, gram))]).bitwiseAND(F.lit(-(2**32))) + i)
-    tops = F.array_distinct(F.slice(_least_in_windows(values, width), 1, F.size("_h") - least_words + 1))
-    lows = lambda t: F.transform(t, lambda x, j: F.struct(place(x).alias("p"), F.when(j == 0, 0).when(
-        x < F.get(t, j - 1), place(x) - width + 1).otherwise(place(F.get(t, j - 1)) + 1).alias("lo")))
-    spans = lambda r: F.transform(r, lambda x, j: F.struct(
-        x["p"].alias("p"), x["lo"].alias("lo"), F.coalesce(F.get(r, j + 1)["lo"] - 1, F.size("_h") - least_words).alias("hi")))
-    hashes = lambda r: F.transform(r, lambda x: F.struct(
-        x["lo"].alias("lo"), x["hi"].alias("hi"), F.xxhash64(F.slice("_h", x["p"] + 1, gram)).alias("f"),
-        F.xxhash64(F.slice("_h", x["lo"] + 1, x["hi"] - x["lo"] + least_words)).alias("s")))
-    return hashes(named(named(tops, lows), spans))
+
+    def of(h: Column) -> Column:
+        last = F.size(h) - least_words
+        values = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, min(3, gram))]).bitwiseAND(F.lit(-(2**32))) + i)
+        tops = F.array_distinct(F.slice(_least_in_windows(values, width), 1, last + 1))
+        lows = lambda t: F.transform(t, lambda x, j: F.struct(place(x).alias("p"), F.when(j == 0, 0).when(
+            x < F.get(t, j - 1), place(x) - width + 1).otherwise(place(F.get(t, j - 1)) + 1).alias("lo")))
+        spans = lambda r: F.transform(r, lambda x, j: F.struct(
+            x["p"].alias("p"), x["lo"].alias("lo"), F.coalesce(F.get(r, j + 1)["lo"] - 1, last).alias("hi")))
+        hashed = lambda r: F.transform(r, lambda x: F.struct(
+            x["lo"].alias("lo"), x["hi"].alias("hi"), F.xxhash64(F.slice(h, x["p"] + 1, gram)).alias("f"),
+            F.xxhash64(F.slice(h, x["lo"] + 1, x["hi"] - x["lo"] + least_words)).alias("s")))
+        return hashed(named(named(tops, lows), spans))
+
+    return named(hashes, lambda h: F.when(F.size(h) >= least_words, of(h)))
+
+
+def _repeated(rows: DataFrame, keys: list[str], salt_by: list[str]) -> DataFrame:
+    """The rows whose key occurs more than once."""
+    counts = staged(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1"), "counts")
+    return salted_join(rows, counts.drop("_rows"), keys, salt_by, HOT_RUNS, counts=counts)
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -175,32 +198,29 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The union of repeated windows is the union of the longest repeated runs. Compared are 64-bit hashes of words, taken together.
     """
     whole = docs.select(F.col(doc_id).alias("doc_id"), text_of(F.col(text)).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
-    word_hashes = F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))
-    hashed = with_once(whole, "_h", word_hashes).where(F.size("_h") >= least_words)
-    prints = staged(hashed.select("doc_id", "text_hash", F.explode(_stretches(least_words)).alias("x")).select("doc_id", "text_hash", "x.*"), "prints")
-
-    # Rows that repeat id and text give the same occurrence twice, so occurrences are told apart by their places and not counted.
-    often = prints.groupBy("f").agg(F.count("*").alias("_n")).where("_n > 1").select("f")
-    suspects = staged(salted_join(prints, often, ["f"], ["doc_id", "text_hash", "lo"], HOT_RUNS), "suspects")
-    kinds = staged(suspects.groupBy("f", "s").agg(
-        F.min(F.struct("doc_id", "text_hash", "lo", "hi")).alias("_o"), F.max(F.struct("doc_id", "text_hash", "lo", "hi")).alias("_z")), "kinds")
+    hashes = _word_hashes(F.col("_text"))
+    prints = staged(whole.select("doc_id", "text_hash", F.explode(_stretches(hashes, least_words)).alias("x")).select("doc_id", "text_hash", "x.*"), "prints")
+
+    # Rows that repeat id and text give the same occurrence twice: what is counted twice for that alone is its own first occurrence and goes nowhere.
+    suspects = staged(_repeated(prints, ["f"], ["doc_id", "text_hash", "lo"]), "suspects")
+    kinds = staged(suspects.groupBy("f", "s").agg(F.min(F.struct("doc_id", "text_hash", "lo", "hi")).alias("_o"), F.count("*").alias("_rows")), "kinds")
     other = ~F.struct("doc_id", "text_hash", "lo", "hi").eqNullSafe(F.col("_o"))
-    again = kinds.where(~F.col("_o").eqNullSafe(F.col("_z"))).select("f", "s", "_o")
-    stretches = salted_join(suspects, again, ["f", "s"], ["doc_id", "text_hash", "lo"], HOT_RUNS).where(other).select(
+    again = kinds.where("_rows > 1")
+    stretches = salted_join(suspects, again.drop("_rows"), ["f", "s"], ["doc_id", "text_hash", "lo"], HOT_RUNS, counts=again).where(other).select(
         "doc_id", "text_hash", F.col("lo").alias("a"), (F.col("hi") + least_words - 1).alias("b"))
 
-    unlike = kinds.groupBy("f").agg(F.count("*").alias("_n")).where("_n > 1").select("f")
-    laid = salted_join(kinds, unlike, ["f"], ["s"], HOT_RUNS).groupBy(
+    laid = _repeated(kinds.drop("_rows"), ["f"], ["s"]).groupBy(
         F.col("_o.doc_id").alias("_id"), F.col("_o.text_hash").alias("_th")).agg(F.collect_set(F.struct("_o.lo", "_o.hi")).alias("_at"))
-    window = lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("_h", i + 1, least_words)).alias("w"))
     own = whole.join(laid.hint("merge"), whole["doc_id"].eqNullSafe(laid["_id"]) & (whole["text_hash"] == laid["_th"]))
+    window = lambda h: lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(h, i + 1, least_words)).alias("w"))
     windows = staged(
-        with_once(own, "_h", word_hashes)
-        .select("doc_id", "text_hash", F.explode(F.flatten(F.transform("_at", lambda x: F.transform(F.sequence(x["lo"], x["hi"]), window)))).alias("x"))
+        own.select("doc_id", "text_hash", F.explode(named(hashes, lambda h: F.flatten(
+            F.transform("_at", lambda x: F.transform(F.sequence(x["lo"], x["hi"]), window(h)))))).alias("x"))
         .select("doc_id", "text_hash", "x.*"), "looked")
     at = F.struct("doc_id", "text_hash", "i")
-    origin = windows.groupBy("w").agg(F.min(at).alias("_o"), F.max(at).alias("_z")).where(~F.col("_o").eqNullSafe(F.col("_z"))).select("w", "_o")
-    single = salted_join(windows, origin, ["w"], ["doc_id", "text_hash", "i"], HOT_RUNS).where(~at.eqNullSafe(F.col("_o"))).select(
+    twice = staged(_repeated(windows, ["w"], ["doc_id", "text_hash", "i"]), "twice")
+    origin = staged(twice.groupBy("w").agg(F.min(at).alias("_o"), F.count("*").alias("_rows")), "origins")
+    single = salted_join(twice, origin.drop("_rows"), ["w"], ["doc_id", "text_hash", "i"], HOT_RUNS, counts=origin).where(~at.eqNullSafe(F.col("_o"))).select(
         "doc_id", "text_hash", F.col("i").alias("a"), (F.col("i") + least_words - 1).alias("b"))
 
     # Sorted by their starts, ranges of one text are sorted by their ends as well.

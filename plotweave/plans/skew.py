@@ -15,7 +15,7 @@ KEYLESS_SALTS = 4096
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
-                hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+                hot_rows: int = HOT_ROWS, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Equi-join in which keys with more than ``hot_rows`` left rows are split over several tasks.
 
     ``salt_by`` names left columns that tell the rows of a key apart (rows equal in all of them stay
@@ -23,12 +23,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     The table of hot keys holds at most ``rows / hot_rows`` entries, whatever the data looks like,
     which is why it may be broadcast. Left rows without a key match nothing, so in a left or anti join they are
     dealt out freely. The plan is the same for inputs of every size: what is hot is counted, not estimated, and the two sides meet in a
-    merge join, since the size Spark expects of a side does not tell how many rows its explodes make.
+    merge join, since the size Spark expects of a side does not tell how many rows its explodes make. ``counts``, where a caller has them, are the
+    keys with the number of their left rows, ``_rows``; they save counting.
     """
     if how not in ("inner", "left", "left_anti"):
         raise ValueError("a salted join copies right rows, so it supports inner, left and left anti joins only")
     hot = (
-        left.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        (left.groupBy(*keys).agg(F.count("*").alias("_rows")) if counts is None else counts)
         .where(F.col("_rows") > hot_rows)
         .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
     )

@@ -1,9 +1,13 @@
 """Repeated passages that start and end inside lines."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from plotweave.llm.winnow import dedup_lines, repeated_passages
+from plotweave.llm.common import TIDY, staged
+from plotweave.llm.winnow import dedup_lines, repeated_lines, repeated_passages
 from tests.llm import brute
 
 
@@ -53,3 +57,30 @@ def test_query_reports_passages(llm, sf, texts):
     want = passages(texts)
     assert {r.doc_id: r.n_passage_words for r in rows} == {d: len(x) for d, x in want.items()}
     assert all(r.n_passage_words >= r.n_removed_words for r in rows) and any(r.n_passage_words > r.n_removed_words for r in rows)
+
+
+def test_blanks_of_every_kind(llm):
+    """Runs and passages do not depend on which blanks stand between words."""
+    lines = [" ".join(f"b{i}w{j}" for j in range(30)) for i in range(3)]
+    odd = ["\t" + lines[0].replace(" ", "\x0b "), lines[1].replace(" ", "\x0c\t\r") + " \r", "  " + lines[2].replace(" ", "   ") + "\t"]
+    texts = {1: "\n".join(lines), 2: "\n \t\n".join(odd), 3: "x y " + lines[0].replace(" ", " ")}
+    df = llm.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING")
+    want = brute.repeated_lines(texts)
+    assert {r.doc_id: r.lines for r in repeated_lines(df).collect()} == want and want[2] == [0, 2, 4]
+    assert {r.doc_id: r.n_words for r in repeated_passages(df).collect()} == {2: 90}
+
+
+def test_staged_steps_leave_no_shuffle_files(llm):
+    """Shuffle files go with the step that wrote them; before, they piled up until the driver collected its garbage."""
+    store = llm._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = store.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    rows = staged(llm.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    deadline = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not shuffled() - before and rows.count() == 7 and llm.conf.get(TIDY) == "false"

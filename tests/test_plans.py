@@ -90,6 +90,15 @@ def test_salted_join_equals_join(spark, skewed, how):
     assert rows(ours, "id", "k", "w") == rows(plain, "id", "k", "w")
 
 
+def test_salted_join_takes_counts(spark, skewed):
+    counts = skewed.groupBy("k").agg(F.count("*").alias("_rows"))
+    right = counts.where("k % 2 = 0").select("k", (F.col("k") * 10).alias("x"))
+    ours = salted_join(skewed, right, ["k"], salt_by=["id"], hot_rows=300, counts=counts)
+    assert rows(ours, "k", "id", "x") == rows(skewed.join(right, "k"), "k", "id", "x")
+    known = spark.createDataFrame(counts.collect(), counts.schema)
+    assert "count(" not in plan(salted_join(skewed, known.drop("_rows"), ["k"], ["id"], 300, counts=known))
+
+
 def test_rows_without_key_are_spread(spark):
     """Half of the rows have no key; a left join must not send them all to one task."""
     left = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))
