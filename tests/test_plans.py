@@ -12,7 +12,7 @@ from plotweave.operators.geometry import nearest_anchor, nearest_rect_handle
 from plotweave.plans.once import with_once
 from plotweave.plans.ordered import ordered_lag, ordered_row_number, ordered_slice
 from plotweave.plans.picking import priority_pick
-from plotweave.plans.skew import missing_from, salted_join
+from plotweave.plans.skew import block_join, marked, missing_from, salted_join
 from plotweave.plans.spatial_join import edges_of_rings, point_in_edges, point_in_polygon, radius_join
 
 
@@ -99,6 +99,34 @@ def test_salted_join_takes_counts(spark, skewed):
     assert "count(" not in plan(salted_join(skewed, known.drop("_rows"), ["k"], ["id"], 300, counts=known))
 
 
+def test_block_join_equals_join(spark, skewed):
+    left = skewed.withColumn("h", F.xxhash64("id"))
+    right = spark.range(900).select(
+        F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 9 == 1, F.lit(None)).otherwise(F.col("id") % 60).alias("k"),
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 200).cast("string")).alias("w"))
+    plain = left.where("id < 900").join(right, "k").groupBy("k", "id", "h", "o", "v", "w").count()
+    ours = block_join(left.where("id < 900"), right, "k", "h", "w", rows=20, values=30)
+    assert ours.columns == ["k", "id", "o", "v", "h", "w"]
+    assert rows(ours.groupBy("k", "id", "h", "o", "v", "w").count(), "k", "id", "w", "count") == rows(plain, "k", "id", "w", "count")
+
+
+def test_a_key_on_both_sides_is_split_into_blocks(spark):
+    """A result of 160,000 rows from 400 and 400 of one key is not one task's work."""
+    k = F.when(F.col("id") >= 0, "a").otherwise("b").alias("k")
+    pairs = block_join(spark.range(400).select(k, F.xxhash64("id").alias("h")), spark.range(400).select(k, "id"), "k", "h", "id", rows=40, values=100)
+    counts = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 160_000 and max(counts) < 60_000
+
+
+def test_marked_keeps_all_keys_and_few_others(spark):
+    keys = spark.range(0, 3000, 3).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
+    every = spark.range(100_000).select("id", F.when(F.col("id") % 10 != 1, F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    kept = marked(every, keys, "k")
+    assert kept.columns == ["id", "k"] and kept.count() < 1200
+    assert rows(kept.join(keys, "k", "left_semi"), "id") == rows(every.join(keys, "k", "left_semi"), "id")
+    assert marked(every, keys.limit(0), "k").count() == 0
+
+
 def test_rows_without_key_are_spread(spark):
     """Half of the rows have no key; a left join must not send them all to one task."""
     left = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))

@@ -80,3 +80,27 @@ def test_labels_of_short_texts_are_found_without_candidates(spark, tmp_path):
     texts = [f"{n}." for n in range(1000, 3000)] + [f"/{n}.pdf" for n in range(1000, 3000)] + ["x"]
     found = search.label_candidates(spark.createDataFrame([(t,) for t in texts], "_text STRING"), path)
     assert found.count() == 4000
+
+
+def test_a_common_text_that_many_ask_for_is_many_tasks_work(spark, tmp_path):
+    """20,000 labels hold what 200 queries ask for; no task makes all four million rows."""
+    rows = spark.range(20_000).select(F.lit("h").alias("hash"), F.lit("es").alias("state"), F.lit("s").alias("city"), F.concat("id", F.lit(".pdf")).alias("name"))
+    path = str(tmp_path / "index")
+    search.build_label_index(rows, path)
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.lit("s/").alias("query"))
+    counts = [r["count"] for r in search.label_search(asked, path).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 4_000_000 and max(counts) < 4_000_000
+
+
+def test_an_index_of_labels_has_a_row_a_character(spark, tmp_path):
+    """Not one for each of the hundred substrings of a label; repeated and null queries keep their rows all the same."""
+    documents = spark.createDataFrame([("h", "al", "s", f"{n}.pdf") for n in range(1000, 1500)], "hash STRING, state STRING, city STRING, name STRING")
+    path = str(tmp_path / "index")
+    search.build_label_index(documents, path)
+    assert spark.read.parquet(f"{path}/postings").count() <= 500 * (len("al/s/1000.pdf") + 1)
+    asked = spark.createDataFrame([(1, "1000"), (1, "1000"), (None, "1000"), (2, " 1000.PDF"), (3, "l"), (4, None)], "query_id INT, query STRING")
+    found = search.label_search(asked, path)
+    assert found.columns == [*documents.columns, "label", "query_id"]
+    counts = {r["query_id"]: r["count"] for r in found.groupBy("query_id").count().collect()}
+    assert counts == {1: 2, None: 1, 2: 1, 3: 500}
+    assert search.label_search(asked.limit(0), path).count() == 0
